@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions import fixed
 from corvane.functions.text import strip, word_tokens
+from corvane.operators.once import once
 from corvane.operators.ordered import (
     CHUNK,
     CHUNK_COL,
@@ -148,10 +149,9 @@ def chat_prompts(
     """
     head = f"System: {system}\n\n" if system else ""
     rows = _user_rows(df, size).withColumn("answered", F.col("assistant").isNotNull())
-    own = F.lit(3 + 1) + _count(F.col("user"))  # "User:" and "Assistant:" are two each
-    rows = rows.withColumn("own", own).withColumn(
-        "pair", F.when(F.col("answered"), F.col("own") + _count(F.col("assistant"))).otherwise(0)
-    )
+    own = F.lit(4) + _count(F.col("user"))  # "User:" and "Assistant:" are two tokens each
+    rows = once(rows, own=own, reply=F.when(F.col("answered"), _count(F.col("assistant"))))
+    rows = rows.withColumn("pair", F.coalesce(F.col("own") + F.col("reply"), F.lit(0)))
     tail = F.concat(F.lit("User: "), F.col("user"), F.lit("\nAssistant:"))
     head_tokens = _count(F.lit(head))
     if not context:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions.records import eval_pair, render_record
 from corvane.functions.text import strip
+from corvane.operators.once import once
 
 
 def render(
@@ -17,7 +18,7 @@ def render(
     answer_keys: Sequence[str] = ("output",),
 ) -> DataFrame:
     """Keep the named columns and add ``text``; all other columns are dropped."""
-    return df.select(*keep, render_record(F.col(record), answer_keys).alias("text"))
+    return once(df, text=render_record(F.col(record), answer_keys)).select(*keep, "text")
 
 
 def validate(df: DataFrame, max_length: int, text: str = "text") -> DataFrame:
@@ -32,7 +33,7 @@ def eval_pairs(
 ) -> DataFrame:
     """Keep the named columns and add ``prompt`` and ``reference``."""
     pair = eval_pair(F.col(record), prefer_instruction)
-    return df.select(*keep, pair.alias("pair")).select(*keep, "pair.prompt", "pair.reference")
+    return once(df, _pair=pair).select(*keep, "_pair.prompt", "_pair.reference")
 
 
 def nonempty_pairs(df: DataFrame) -> DataFrame:

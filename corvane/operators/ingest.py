@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.functions import fixed
-from corvane.functions.records import MESSAGES_TYPE, accepted, has, messages_of
+from corvane.functions.records import accepted, messages_of
+from corvane.operators.once import once
 
 JSON_OPTIONS = {"allowSingleQuotes": "false"}
 RECORD_TYPE = "map<string,string>"
@@ -49,7 +50,7 @@ def parse_record(line: Column) -> Column:
 
 def with_record(lines: DataFrame, line: str = "line") -> DataFrame:
     """Add ``record`` and ``reason``; the reason is NULL for rows to keep."""
-    parsed = lines.withColumn("record", parse_record(F.col(line)))
+    parsed = once(lines, record=parse_record(F.col(line)))
     record = F.col("record")
     return parsed.withColumn(
         "reason",
@@ -105,16 +106,3 @@ def reject_sample(rejects: DataFrame, *order: str, n: int = 5) -> DataFrame:
     """The first ``n`` rejects in the given order (a report, not a filter)."""
     return rejects.orderBy(*order).limit(n)
 
-
-__all__ = [
-    "Ingested",
-    "MESSAGES_TYPE",
-    "NoRowsError",
-    "canonical",
-    "has",
-    "ingest",
-    "parse_record",
-    "record_from_columns",
-    "reject_sample",
-    "with_record",
-]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions.text import word_tokens
+from corvane.operators.once import once
 
 START = "<s>"
 HOT_ROWS = 10_000
@@ -22,23 +23,20 @@ class Bigrams:
     k: float
 
 
-def bigrams_of(text: Column, max_tokens: int | None = None) -> Column:
-    """Array of ``(w1, w2)``, one per token, the first with the start mark."""
-    tokens = word_tokens(F.lower(text))
+def _bigrams(df: DataFrame, text: str, max_tokens: int | None = None) -> DataFrame:
+    """Add ``bigrams``: an array of ``(w1, w2)`` per token, the first with the start mark."""
+    tokens = word_tokens(F.lower(F.col(text)))
     if max_tokens is not None:
         tokens = F.slice(tokens, 1, max_tokens)
-    return F.transform(
-        tokens,
-        lambda w, i: F.struct(
-            F.when(i == 0, START).otherwise(F.get(tokens, i - 1)).alias("w1"), w.alias("w2")
-        ),
-    )
+    before = F.concat(F.array(F.lit(START)), F.slice("_words", 1, F.size("_words")))
+    both = F.arrays_zip(F.slice(before, 1, F.size("_words")).alias("w1"), F.col("_words").alias("w2"))
+    return once(df, _words=tokens).withColumn("bigrams", both)
 
 
 def fit_ngram(df: DataFrame, text: str = "text", k: float = 1.0) -> Bigrams:
     """Count the corpus's bigrams; counts combine before the shuffle."""
     pairs = (
-        df.select(F.explode(bigrams_of(F.col(text))).alias("b"))
+        _bigrams(df, text).select(F.explode("bigrams").alias("b"))
         .groupBy("b.w1", "b.w2")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -81,7 +79,7 @@ def ngram_nll(
     ``max_tokens`` cuts every text as the scoring of generated text does; give
     None to score whole texts. Equal bigrams of a text are counted first.
     """
-    listed = df.select(key, F.explode_outer(bigrams_of(F.col(text), max_tokens)).alias("b"))
+    listed = _bigrams(df, text, max_tokens).select(key, F.explode_outer("bigrams").alias("b"))
     counted = listed.groupBy(key, "b.w1", "b.w2").agg(F.count("b").alias("times"))
     counted = lookup_counts(counted, model.pairs, ["w1", "w2"], "pair_n")
     counted = lookup_counts(counted, model.contexts, ["w1"], "context_n")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from corvane.functions import fixed
 from corvane.functions.scoring import clamp_score, final_score, grade, ppl_score, two_decimals
 from corvane.functions.similarity import greedy_match, rouge_l
+from corvane.operators.once import once
 from corvane.operators.ordered import Running, running
 
 
@@ -20,13 +21,14 @@ def attach_predictions(pairs: DataFrame, predictions: DataFrame, key: str = "exa
 
 def score_rows(df: DataFrame, *keep: str, pred_vectors: str, ref_vectors: str) -> DataFrame:
     """One scored row per prediction, scores on the 0-100 scale."""
-    raw = df.select(
+    ready = once(df, _pred=F.col(pred_vectors), _ref=F.col(ref_vectors))
+    raw = ready.select(
         *keep,
         "prompt",
         "reference",
         "prediction",
         rouge_l(F.col("prediction"), F.col("reference")).alias("_rouge"),
-        greedy_match(F.col(pred_vectors), F.col(ref_vectors))["f1"].alias("_match"),
+        greedy_match(F.col("_pred"), F.col("_ref"))["f1"].alias("_match"),
     )
     return raw.select(
         *keep,

@@ -102,5 +102,5 @@ def loss_gap(
     rows = running(rows, by, "step", {"train_loss": Running("last", F.col("_train"))}, size)
     gap = F.col("eval_loss") - F.col("train_loss")
     return rows.filter(F.col("eval_loss").isNotNull()).select(
-        *by, "step", "train_loss", "eval_loss", gap.alias("gap"), (gap > limit).alias("overfit")
+        *by, "step", "train_loss", "eval_loss", gap.alias("gap"), F.coalesce(gap > limit, F.lit(False)).alias("overfit")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from corvane.functions import fixed
 from corvane.functions.text import word_tokens
+from corvane.operators.once import once
 
 # A vocabulary travels to every task, so its size has a hard bound.
 MAX_VOCAB = 1 << 18
@@ -21,7 +22,7 @@ def tokenize(df: DataFrame, max_length: int | None, text: str = "text") -> DataF
 
     ``n_tokens`` is the size before the cut. No padding happens here.
     """
-    out = df.withColumn("tokens", word_tokens(F.col(text)))
+    out = once(df, tokens=word_tokens(F.col(text)))
     out = out.withColumn("n_tokens", F.size("tokens"))
     if max_length is not None:
         out = out.withColumn("tokens", F.slice("tokens", 1, max_length))

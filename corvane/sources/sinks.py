@@ -12,16 +12,23 @@ SUMMARY_SCHEMA = (
     "score_breakdown map<string,struct<score:double,weight:double,contribution:double>>, "
     "statistics map<string,double>"
 )
-_CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+# Quotes are doubled and blanks kept, so texts come back as they were.
+_CSV = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def write_scores(df: DataFrame, path: str) -> None:
     """Per-example CSV; line breaks and quotes in texts survive a read back."""
-    df.write.options(header="true", quote='"', escape='"').mode("overwrite").csv(path)
+    df.write.options(**_CSV).mode("overwrite").csv(path)
 
 
 def read_scores(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.options(**_CSV).schema(schema).csv(path)
+    return spark.read.options(**_CSV, multiLine="true").schema(schema).csv(path)
 
 
 def write_summary(df: DataFrame, path: str) -> None:

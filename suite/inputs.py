@@ -210,8 +210,8 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == "error", "README.md")
         .otherwise("tokenizer.json")
     )
-    place = F.when(F.col("value") > 40, F.lit("")).otherwise(
-        F.concat(F.lit("checkpoint-"), F.floor(F.col("event_id") / 700).cast("string"), F.lit("/"))
+    place = F.when(F.col("value") > 60, F.lit("")).otherwise(
+        F.concat(F.lit("checkpoint-"), F.floor(F.col("event_id") / 1500).cast("string"), F.lit("/"))
     )
     return load(spark, sf, "events").select(
         F.concat(F.lit("adapters/a"), F.col("user_id").cast("string"), F.lit("/"), place, file).alias("path"),
@@ -222,7 +222,7 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
 LISTING_SQL = """
 files AS (
   SELECT 'a' || user_id AS adapter,
-    CASE WHEN value > 40 THEN NULL ELSE event_id // 700 END AS number,
+    CASE WHEN value > 60 THEN NULL ELSE event_id // 1500 END AS number,
     CASE event_type WHEN 'click' THEN 'adapter_config.json' WHEN 'view' THEN 'adapter_model.safetensors'
       WHEN 'purchase' THEN 'adapter_model.bin' WHEN 'error' THEN 'README.md' ELSE 'tokenizer.json' END AS file,
     CAST(floor(value * 100) AS BIGINT) AS length

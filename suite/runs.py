@@ -109,7 +109,7 @@ def early_stop(spark, sf):
         last_value(CASE WHEN metric = 'loss' THEN value END IGNORE NULLS) OVER (PARTITION BY run ORDER BY step) AS train_loss
       FROM metrics)
     SELECT run, step, train_loss, value AS eval_loss, round(value - train_loss, 6) AS gap,
-      value - train_loss > 0.5 AS overfit FROM m WHERE metric = 'eval_loss'"""
+      coalesce(value - train_loss > 0.5, false) AS overfit FROM m WHERE metric = 'eval_loss'"""
 )
 def loss_gap(spark, sf):
     return gap(metric_rows(spark, sf), size=STRETCH).withColumn("gap", F.round("gap", 6))
