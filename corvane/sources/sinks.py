@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SUMMARY_SCHEMA = (
     "run_id string, num_examples bigint, overall_score double, quality_grade string, "
@@ -39,7 +39,16 @@ def read_summaries(spark: SparkSession, pattern: str, schema: str = SUMMARY_SCHE
     return spark.read.schema(schema).json(pattern)
 
 
-def write_transcripts(df: DataFrame, path: str) -> None:
-    """One text file set per conversation, below ``conv_id=...``, parts in order."""
-    ordered = df.select("conv_id", "transcript", "part").sortWithinPartitions("conv_id", "part")
-    ordered.drop("part").write.mode("overwrite").partitionBy("conv_id").option("lineSep", "").text(path)
+def write_transcripts(df: DataFrame, path: str, per_conversation: bool = False) -> None:
+    """Transcripts as JSON rows ``(conv_id, part, transcript)``.
+
+    ``per_conversation`` writes plain text below ``conv_id=.../part=...``, one
+    directory each: for a selection of conversations, not for all of a big table.
+    """
+    if not per_conversation:
+        df.select("conv_id", "part", "transcript").write.mode("overwrite").json(path)
+        return
+    # The text writer ends every row with a line break of its own.
+    text = F.regexp_replace("transcript", "\n$", "").alias("value")
+    rows = df.select("conv_id", "part", text)
+    rows.write.mode("overwrite").partitionBy("conv_id", "part").text(path)

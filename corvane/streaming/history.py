@@ -38,7 +38,8 @@ def stream_history(
     message, and goes away after ``idle`` without news. Within a trigger the
     rows of a conversation are put in order of their turn; how many there can
     be is set by the source's admission limit. Turns must not arrive in an
-    earlier trigger than turns before them.
+    earlier trigger than turns before them. A run that is to end by itself
+    (``availableNow``) needs ``idle=None``: timeouts keep a query going.
     """
     millis = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
     timeout = GroupStateTimeout.NoTimeout if millis is None else GroupStateTimeout.ProcessingTimeTimeout
