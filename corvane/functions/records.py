@@ -24,16 +24,21 @@ def has(record: Column, *keys: str) -> Column:
     return present
 
 
+def is_list(record: Column, key: str) -> Column:
+    """True when the value of a key is a list (told by how its JSON text starts)."""
+    return F.coalesce(record[key].startswith("["), F.lit(False))
+
+
 def messages_of(record: Column) -> Column:
     """The ``messages`` list, NULL when the value is not a list."""
-    raw = record["messages"]
-    return F.when(F.ltrim(raw).startswith("["), F.from_json(raw, MESSAGES_TYPE))
+    return F.when(is_list(record, "messages"), F.from_json(record["messages"], MESSAGES_TYPE))
 
 
 def turns_of(record: Column) -> Column:
     """The ``conversation`` list, NULL when the value is not a list."""
-    raw = record["conversation"]
-    return F.when(F.ltrim(raw).startswith("["), F.from_json(raw, "array<string>"))
+    return F.when(
+        is_list(record, "conversation"), F.from_json(record["conversation"], "array<string>")
+    )
 
 
 def accepted(record: Column) -> Column:
@@ -53,8 +58,8 @@ def classify_shape(record: Column) -> Column:
         F.when(has(record, "instruction"), "instruction")
         .when(has(record, "prompt", "completion"), "prompt_completion")
         .when(has(record, "input", "output"), "input_output")
-        .when(messages_of(record).isNotNull(), "messages")
-        .when(turns_of(record).isNotNull(), "conversation")
+        .when(is_list(record, "messages"), "messages")
+        .when(is_list(record, "conversation"), "conversation")
         .when(has(record, "text"), "text")
         .otherwise("other")
     )
@@ -123,14 +128,22 @@ def render_record(record: Column, answer_keys: Sequence[str] = ("output",)) -> C
     non-empty one is used. Add ``"response"`` to keep answers given there.
     """
     answer = F.coalesce(*[F.when(truthy(record[k]), record[k]) for k in answer_keys])
-    shape = classify_shape(record)
     return (
-        F.when(shape == "instruction", render_instruction(record["instruction"], record["input"], answer))
-        .when(shape == "prompt_completion", render_prompt_completion(record["prompt"], record["completion"]))
-        .when(shape == "input_output", render_input_output(record["input"], record["output"]))
-        .when(shape == "messages", render_messages(messages_of(record)))
-        .when(shape == "conversation", render_conversation(turns_of(record)))
-        .when(shape == "text", render_text(record["text"]))
+        F.when(
+            has(record, "instruction"),
+            render_instruction(record["instruction"], record["input"], answer),
+        )
+        .when(
+            has(record, "prompt", "completion"),
+            render_prompt_completion(record["prompt"], record["completion"]),
+        )
+        .when(has(record, "input", "output"), render_input_output(record["input"], record["output"]))
+        .when(is_list(record, "messages"), render_messages(F.from_json(record["messages"], MESSAGES_TYPE)))
+        .when(
+            is_list(record, "conversation"),
+            render_conversation(F.from_json(record["conversation"], "array<string>")),
+        )
+        .when(has(record, "text"), render_text(record["text"]))
         .otherwise(render_fallback(record))
     )
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions.text import word_tokens
 from corvane.operators.once import once
+from corvane.operators.top import most_frequent
+from corvane.session import staged
 
 START = "<s>"
 HOT_ROWS = 10_000
@@ -34,12 +36,16 @@ def _bigrams(df: DataFrame, text: str, max_tokens: int | None = None) -> DataFra
 
 
 def fit_ngram(df: DataFrame, text: str = "text", k: float = 1.0) -> Bigrams:
-    """Count the corpus's bigrams; counts combine before the shuffle."""
+    """Count the corpus's bigrams; counts combine before the shuffle.
+
+    Fitting reads the corpus once: the counts are stored, scoring reads them.
+    """
     pairs = (
         _bigrams(df, text).select(F.explode("bigrams").alias("b"))
         .groupBy("b.w1", "b.w2")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    pairs = staged(pairs, "bigrams")
     contexts = pairs.groupBy("w1").agg(F.sum("n").alias("n"))
     vocabulary = pairs.select("w2").distinct().agg((F.count(F.lit(1)) + 1).alias("v"))
     return Bigrams(pairs, contexts, vocabulary, k)
@@ -52,7 +58,7 @@ def lookup_counts(df: DataFrame, counts: DataFrame, keys: list[str], out: str) -
     answer are spread by a salt through the second join and match nothing
     there; the keys left over are rare by construction.
     """
-    hot = counts.orderBy(F.desc("n"), *keys).limit(HOT_ROWS)
+    hot = most_frequent(counts, HOT_ROWS, "n", *keys)
     hot = hot.select(*keys, F.col("n").alias("_hot"))
     cold = counts.select(*keys, F.col("n").alias("_cold"), F.lit(-1).cast("long").alias("_salt"))
     answered = F.col("_hot").isNotNull()

@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 from corvane.functions import fixed
 from corvane.functions.text import word_tokens
 from corvane.operators.once import once
+from corvane.operators.top import most_frequent
 
 # A vocabulary travels to every task, so its size has a hard bound.
 MAX_VOCAB = 1 << 18
-SLOTS = 4096
+SLOTS = 1 << 15
 
 
 def tokenize(df: DataFrame, max_length: int | None, text: str = "text") -> DataFrame:
@@ -43,9 +44,8 @@ def fit_vocab(df: DataFrame, size: int, tokens: str = "tokens", min_count: int =
         .agg(F.count(F.lit(1)).alias("rows"))
         .filter(F.col("rows") >= min_count)
     )
-    order = (F.col("rows").desc(), F.col("token"))
-    top = counts.orderBy(*order).limit(size)
-    rank = F.row_number().over(Window.orderBy(*order))
+    top = most_frequent(counts, size, "rows", "token")
+    rank = F.row_number().over(Window.orderBy(F.desc("rows"), "token"))
     return top.withColumn("token_id", rank + fixed.UNK_ID)
 
 

@@ -14,6 +14,7 @@ from corvane.operators.sampling import sample_n_by
 from corvane.operators.examples import min_chars
 from corvane.operators.scores import breakdown, long_scores, normalise_weights, overall, profiles, summarise
 from corvane.operators.stats import perplexity, quality_metrics
+from corvane.session import staged
 
 METRICS = {
     "BERTScore": "bert_score",
@@ -59,6 +60,8 @@ def evaluate(scored: DataFrame, perplexities: DataFrame, by: Sequence[str] = ("r
     for name in ("perplexity_generated", "perplexity_reference"):
         metrics = metrics.withColumn(name, F.coalesce(name, F.lit(fixed.EMPTY_PERPLEXITY)))
     metrics = metrics.withColumn("perplexity_score", ppl_score(F.col("perplexity_generated")))
+    # A row per run, from one pass over the scored rows; used three times below.
+    metrics = staged(metrics, "run-metrics")
     weights = normalise_weights(profiles(scored.sparkSession))
     rows = breakdown(long_scores(metrics, by, METRICS), weights, by)
     advice = metrics.select(

@@ -12,6 +12,7 @@ from corvane.operators.examples import render, validate
 from corvane.operators.ingest import ingest
 from corvane.operators.sampling import sample_n, train_eval_split
 from corvane.operators.tokens import encode, fit_vocab, tokenize
+from corvane.session import staged
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,7 @@ class PrepareOptions:
 
 @dataclass(frozen=True)
 class Prepared:
-    """Every stage as a lazy DataFrame."""
+    """Every stage; examples and tokenized rows are stored, the rest is lazy."""
 
     rejects: DataFrame
     counts: DataFrame
@@ -39,16 +40,20 @@ class Prepared:
 
 
 def prepare(lines: DataFrame, key: str, options: PrepareOptions = PrepareOptions()) -> Prepared:
-    """``lines`` has the unique ``key`` and ``line``."""
+    """``lines`` has the unique ``key`` and ``line``.
+
+    Parsing and rendering run once: sampling and splitting then read only the
+    key column of the stored examples, batching only the stored ids.
+    """
     taken = ingest(lines)
-    examples = validate(render(taken.good, key, answer_keys=options.answer_keys), options.max_length)
+    rendered = render(taken.good, key, answer_keys=options.answer_keys)
+    examples = staged(validate(rendered, options.max_length), "examples")
     if options.max_samples is not None:
         examples = sample_n(examples, key, options.max_samples, options.seed)
     examples = train_eval_split(examples, key, options.eval_ratio, options.seed)
     tokens = tokenize(examples, options.max_length).drop("text")
-    train = tokens.filter(F.col("split") == "train")
-    vocab = fit_vocab(train, options.vocab_size)
-    tokenized = encode(tokens, vocab).drop("tokens")
+    vocab = fit_vocab(tokens.filter(F.col("split") == "train"), options.vocab_size)
+    tokenized = staged(encode(tokens, vocab).drop("tokens"), "tokenized")
     batches = pad_batches(
         length_batches(
             tokenized.filter(F.col("split") == "train"), key, options.batch_size, seed=options.seed

@@ -31,6 +31,15 @@ def glob_paths(spark: SparkSession, pattern: str, directories: bool | None = Non
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few files that cannot be split, over all slots of the cluster.
+
+    Does nothing where the input already has as many partitions as slots.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def read_lines(
     spark: SparkSession,
     paths: Sequence[str],
@@ -52,10 +61,7 @@ def read_lines(
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("line"),
     )
-    slots = spark.sparkContext.defaultParallelism
-    if any(p.endswith(".gz") for p in paths) and len(paths) < slots:
-        lines = lines.repartition(slots)
-    return lines
+    return spread(lines) if any(p.endswith(".gz") for p in paths) else lines
 
 
 def read_jsonl(spark: SparkSession, pattern: str) -> DataFrame:

@@ -17,6 +17,7 @@ from corvane.operators.sampling import (
     split_report as report,
     train_eval_split as split_rows,
 )
+from corvane.session import staged
 from suite.inputs import (
     PAIRS_SQL,
     RECORDS_SQL,
@@ -227,6 +228,10 @@ def _valid(spark, sf, max_length=1536):
     return validate(render(records(spark, sf), "doc_id"), max_length)
 
 
+def _stored(spark, sf):
+    return staged(_valid(spark, sf), "examples")
+
+
 @query(f"WITH {VALID_SQL} SELECT doc_id, text FROM valid")
 def valid_examples(spark, sf):
     return _valid(spark, sf).select("doc_id", "text")
@@ -280,7 +285,7 @@ splits AS (SELECT doc_id, CASE WHEN r <= ceil(0.05 * n) THEN 'eval' ELSE 'train'
 
 @query(f"WITH {SPLIT_SQL} SELECT doc_id, split FROM splits")
 def train_eval_split(spark, sf):
-    return split_rows(_valid(spark, sf), "doc_id", 0.05, 42).select("doc_id", "split")
+    return split_rows(_stored(spark, sf), "doc_id", 0.05, 42).select("doc_id", "split")
 
 
 @query(
@@ -289,6 +294,6 @@ def train_eval_split(spark, sf):
       COUNT(*) * 1000 / 1e6::DOUBLE AS est_tokens_m FROM splits GROUP BY split"""
 )
 def split_report(spark, sf):
-    return report(split_rows(_valid(spark, sf), "doc_id", 0.05, 42)).withColumn(
+    return report(split_rows(_stored(spark, sf), "doc_id", 0.05, 42)).withColumn(
         "percent", F.round("percent", 6)
     )

@@ -13,14 +13,16 @@ from corvane.functions.text import halves
 from corvane.operators.conversations import turn_pairs
 from corvane.operators.ingest import with_record
 from corvane.session import scratch_dir
-from corvane.sources.files import glob_paths
+from corvane.sources.files import glob_paths, spread
 
 WS = "'" + fixed.WHITESPACE + "'"
 WORDS = "'" + fixed.WORD_PATTERN + "'"
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    # The texts come as one file of one row group: a single task's work.
+    return spread(df) if name == "documents" else df
 
 
 # --- Raw records --------------------------------------------------------------

@@ -27,9 +27,20 @@ from corvane.operators.scores import (
 )
 from corvane.operators.stats import exact_match as share_equal
 from corvane.operators.stats import quality_metrics
-from corvane.plans.evaluate import METRICS, evaluate
-from suite.inputs import PAIRS_SQL, RUN_METRICS_SQL, WS, dialog_pairs, load, predictions, run_metrics
+from corvane.operators.ngram import fit_ngram
+from corvane.plans.evaluate import METRICS, evaluate, text_perplexity
+from suite.inputs import (
+    PAIRS_SQL,
+    RUN_METRICS_SQL,
+    WORDS,
+    WS,
+    dialog_pairs,
+    load,
+    predictions,
+    run_metrics,
+)
 from suite.registry import query
+from suite.tokens import NGRAM_SQL
 
 DIM = 8
 
@@ -346,9 +357,22 @@ def recommendations(spark, sf):
     return _run_scores(spark, sf).select("run_id", F.array_join(advice, "; ").alias("advice"))
 
 
+def _ppl_sql(run: str, texts: str) -> str:
+    """A subquery ``(run_id, ppl)`` of texts ``(run_id, id, text)``."""
+    return f"""(WITH t AS ({texts}),
+      w AS (SELECT run_id, regexp_extract_all(lower(text), {WORDS}) AS tokens FROM t
+        WHERE length(trim(text, {WS})) >= 5),
+      g AS (SELECT run_id, unnest(list_concat(['<s>'], tokens[:-2])) AS w1, unnest(tokens) AS w2 FROM w WHERE len(tokens) > 0)
+      SELECT run_id, exp(SUM(-ln((coalesce(p.n, 0) + 1.0::DOUBLE)
+        / (coalesce(c.n, 0) + 1.0::DOUBLE * (SELECT v FROM vocab_size)))) / COUNT(*)) AS {run}
+      FROM g LEFT JOIN pair_counts p USING (w1, w2) LEFT JOIN context_counts c USING (w1) GROUP BY run_id)"""
+
+
 @query(
-    f"""WITH RECURSIVE {QUALITY_SQL},
-    ppl AS (SELECT *, 100 * exp(-(avg_pred_words + 20) / 250) AS perplexity_score FROM quality),
+    f"""WITH RECURSIVE {QUALITY_SQL}, {NGRAM_SQL},
+    ppl AS (SELECT *, 100 * exp(-gen / 250) AS perplexity_score FROM quality
+      JOIN {_ppl_sql('gen', 'SELECT run_id, prediction AS text FROM preds')} USING (run_id)
+      JOIN {_ppl_sql('ref', 'SELECT run_id, reference AS text FROM preds JOIN pairs USING (example_id)')} USING (run_id)),
     long AS (
       SELECT run_id, 'BERTScore' AS metric, bert_score AS score, 0.30::DOUBLE AS weight FROM ppl
       UNION ALL SELECT run_id, 'ROUGE-L', rouge_score, 0.40 FROM ppl
@@ -364,7 +388,7 @@ def recommendations(spark, sf):
         WHEN overall_score >= 70 THEN 'C+ (Average)' WHEN overall_score >= 65 THEN 'C  (Below Average)'
         WHEN overall_score >= 60 THEN 'D  (Poor)' ELSE 'F  (Needs Improvement)' END AS quality_grade,
       round(bert_score, 4) AS bert_score, round(rouge_score, 4) AS rouge_score,
-      round(avg_pred_words + 20, 4) AS perplexity_generated, 100.0::DOUBLE AS perplexity_reference,
+      round(gen, 4) AS perplexity_generated, round(ref, 4) AS perplexity_reference,
       round(perplexity_score, 4) AS perplexity_score, round(consistency, 4) AS consistency_score,
       round(high_quality_pct, 4) AS high_quality_percentage, parts AS score_breakdown,
       round(avg_pred_words / avg_ref_words, 4) AS length_ratio
@@ -372,11 +396,17 @@ def recommendations(spark, sf):
 )
 def run_summary(spark, sf):
     scored = _scored(spark, sf)
-    # A stand-in perplexity from the data; the reference one is left to its default.
-    ppl = quality_metrics(scored, ["run_id"]).select(
-        "run_id",
-        (F.col("avg_pred_words") + 20).alias("perplexity_generated"),
-        F.lit(None).cast("double").alias("perplexity_reference"),
+    model = fit_ngram(load(spark, sf, "documents"))
+    texts = _answered(spark, sf).withColumn(
+        "text_id", F.concat_ws(":", "run_id", F.col("example_id").cast("string"))
+    )
+
+    def ppl_of(text, name):
+        out = text_perplexity(texts, model, "text_id", text, ["run_id"], max_tokens=None)
+        return out.select("run_id", F.col("perplexity").alias(name))
+
+    ppl = ppl_of("prediction", "perplexity_generated").join(
+        ppl_of("reference", "perplexity_reference"), "run_id"
     )
     out = evaluate(scored, ppl).summary
     entries = F.array_sort(F.map_entries("score_breakdown"))
@@ -391,6 +421,7 @@ def run_summary(spark, sf):
         "bert_score",
         "rouge_score",
         "perplexity_generated",
+        "perplexity_reference",
         "perplexity_score",
         "consistency_score",
         "high_quality_percentage",

@@ -17,6 +17,7 @@ from corvane.operators.stats import perplexity as perplexity_of
 from corvane.operators.tokens import encode as encode_tokens
 from corvane.operators.tokens import fit_vocab, tokenize as split_tokens, tokenize_with
 from corvane.plans.evaluate import text_perplexity
+from corvane.session import staged
 from suite.inputs import PAIRS_SQL, WORDS, WS, dialog_pairs, load, predictions
 from suite.registry import query
 
@@ -83,7 +84,7 @@ def _encoded(spark, sf, cut):
 
 def _batched(spark, sf):
     ids = _encoded(spark, sf, MAX_LENGTH).select("doc_id", "input_ids")
-    return group_lengths(ids, "doc_id", 16)
+    return group_lengths(staged(ids, "ids"), "doc_id", 16)
 
 
 def _joined(name):
