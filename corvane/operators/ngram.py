@@ -60,13 +60,15 @@ def lookup_counts(df: DataFrame, counts: DataFrame, keys: list[str], out: str) -
     """
     hot = most_frequent(counts, HOT_ROWS, "n", *keys)
     hot = hot.select(*keys, F.col("n").alias("_hot"))
-    cold = counts.select(*keys, F.col("n").alias("_cold"), F.lit(-1).cast("long").alias("_salt"))
-    answered = F.col("_hot").isNotNull()
+    # Always 0, but not a literal: the planner would take that out of the join key.
+    none = F.pmod(F.xxhash64(*keys), F.lit(1).cast("long"))
+    cold = counts.select(*keys, F.col("n").alias("_cold"), none.alias("_salt"))
     # A function of the row itself, so a repeated task salts it the same way.
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20))
+    spread = 1 + F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20).cast("long"))
+    salt = F.when(F.col("_hot").isNotNull(), spread).otherwise(F.lit(0).cast("long"))
     return (
         df.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(answered, salt).otherwise(F.lit(-1).cast("long")))
+        .withColumn("_salt", salt)
         .join(cold, [*keys, "_salt"], "left")
         .withColumn(out, F.coalesce("_hot", "_cold", F.lit(0).cast("long")))
         .drop("_hot", "_cold", "_salt")

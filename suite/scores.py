@@ -48,8 +48,10 @@ DIM = 8
 def _vectors(text):
     """A vector per word from its digest; stands in for a model's encoder."""
     words = F.filter(F.split(overlap_words(text), " "), lambda w: w != "")
-    digit = lambda w, i: F.conv(F.substr(F.md5(w), i, F.lit(1)), 16, 10).cast("double") - 7.5
-    return F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.lit(DIM)), lambda i: digit(w, i)))
+    digits = lambda w: F.slice(F.split(F.md5(w), ""), 1, DIM)
+    return F.transform(
+        words, lambda w: F.transform(digits(w), lambda d: F.conv(d, 16, 10).cast("double") - 7.5)
+    )
 
 
 def _answered(spark, sf):

@@ -272,6 +272,33 @@ def test_ngram_against_plain_counts(spark, corpus, hot, monkeypatch):
         assert (got[key]["nll"] or 0.0) == pytest.approx(nll)
 
 
+def test_salt_is_a_join_key(spark, corpus, monkeypatch):
+    """Rows of frequent keys must not meet in one task of the second join."""
+    monkeypatch.setattr(ngram, "HOT_ROWS", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        counts = spark.createDataFrame([("the", 5), ("cat", 1)], "w1 string, n long")
+        texts = spark.range(100).withColumn("w1", F.lit("the"))
+        out = ngram.lookup_counts(texts, counts, ["w1"], "found")
+        assert out.filter("found = 5").count() == 100
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        join = [x for x in plan.splitlines() if "SortMergeJoin" in x][0]
+        assert "_salt" in join.split("LeftOuter")[0].split("[", 2)[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("n", [1, 3, 10, 500])
+def test_most_frequent(spark, n):
+    from corvane.operators.top import most_frequent
+
+    rnd = random.Random(n)
+    rows = [(f"t{i}", int(rnd.paretovariate(0.7))) for i in range(400)]
+    df = spark.createDataFrame(rows, "token string, rows long")
+    got = [tuple(r) for r in most_frequent(df, n, "rows", "token").collect()]
+    assert got == sorted(rows, key=lambda r: (-r[1], r[0]))[:n]
+
+
 def test_predict_and_embed(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("prompt"))
     sizes = lambda: lambda prompts: [str(len(prompts))] * len(prompts)
