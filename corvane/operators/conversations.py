@@ -270,15 +270,15 @@ def export_transcript(
         F.col("assistant"),
         F.lit("\n" + "-" * fixed.RULE_WIDTH + "\n"),
     )
-    pairs = with_chunk(turn_pairs(df, part_turns), "turn", part_turns)
-    bodies = pairs.groupBy("conv_id", F.col(CHUNK_COL).alias("part")).agg(
+    pairs = _user_rows(df, part_turns).filter(F.col("assistant").isNotNull())
+    bodies = pairs.groupBy(*KEY, CHUNK_COL).agg(
         F.array_sort(F.collect_list(F.struct("turn", block.alias("block")))).alias("blocks")
     )
-    first = F.lag("part").over(Window.partitionBy("conv_id").orderBy("part")).isNull()
-    return bodies.withColumn("first", first).select(
+    ends = pairs.filter("_later").select(*KEY, CHUNK_COL, F.lit(True).alias("any")).distinct()
+    bodies = _with_carry(bodies, _later_chunks(df, part_turns), ends, "any", "begun")
+    title = F.when(F.col("begun").isNull(), head).otherwise("")
+    return bodies.select(
         "conv_id",
-        "part",
-        F.concat(F.when(F.col("first"), head).otherwise(""), F.array_join(F.col("blocks")["block"], "")).alias(
-            "transcript"
-        ),
+        F.col(CHUNK_COL).alias("part"),
+        F.concat(title, F.array_join(F.col("blocks")["block"], "")).alias("transcript"),
     )

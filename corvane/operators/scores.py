@@ -116,6 +116,15 @@ def breakdown(
     )
 
 
+def display_breakdown(rows: DataFrame) -> DataFrame:
+    """The breakdown as printed: two decimals, weights in percent."""
+    return (
+        rows.withColumn("score", F.format_number("score", 2))
+        .withColumn("weight", F.concat(F.format_number(F.col("weight") * 100, 2), F.lit("%")))
+        .withColumn("contribution", F.format_number("contribution", 2))
+    )
+
+
 def overall(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sum of the contributions, each rounded to two decimals first, clamped."""
     total = F.sum(two_decimals(F.col("contribution"))).cast("double")

@@ -44,15 +44,16 @@ def read_lines(
     spark: SparkSession,
     paths: Sequence[str],
     recursive_name: str | None = None,
+    tolerant: bool = False,
 ) -> DataFrame:
-    """Lines of the given files; unreadable files are passed over.
+    """Lines of the given files; ``tolerant`` passes over unreadable ones.
 
     Gzip files cannot be split, so where they are fewer than the cluster's
     slots their lines are spread out once.
     """
-    reader = (
-        spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    )
+    reader = spark.read
+    if tolerant:
+        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     if recursive_name:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", recursive_name)
     lines = reader.text(list(paths)).select(
@@ -109,7 +110,8 @@ def data_files(spark: SparkSession, directory: str) -> list[str]:
 
 
 def read_split_files(spark: SparkSession, directory: str, split: str) -> DataFrame:
+    """Lines of a split's shards, without those that cannot be read."""
     paths = split_files(spark, directory, split)
     if not paths:
         raise FileNotFoundError(f"no files found for split '{split}' in {directory}")
-    return read_lines(spark, paths)
+    return read_lines(spark, paths, tolerant=True)

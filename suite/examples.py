@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import records as R
-from corvane.functions.text import extract_response, halves, run_name, wrap_prompt
+from corvane.functions import text as T
 from corvane.operators.examples import eval_pairs as to_pairs
 from corvane.operators.examples import min_chars, nonempty_pairs, render, validate
 from corvane.operators.ingest import canonical as to_canonical
@@ -187,7 +187,7 @@ def eval_nonempty(spark, sf):
       substr(text, length(text) // 2 + 1) AS reference FROM documents"""
 )
 def text_halves(spark, sf):
-    docs = load(spark, sf, "documents").select("doc_id", halves(F.col("text")).alias("half"))
+    docs = load(spark, sf, "documents").select("doc_id", T.halves(F.col("text")).alias("half"))
     return docs.select("doc_id", "half.prompt", "half.reference")
 
 
@@ -195,16 +195,16 @@ def text_halves(spark, sf):
     """SELECT conv_id, turn, E'### Instruction:\\n' || text || E'\\n\\n### Response:\\n' AS prompt
     FROM conversations WHERE role = 'user'"""
 )
-def wrap_prompt_text(spark, sf):
+def wrap_prompt(spark, sf):
     users = load(spark, sf, "conversations").filter(F.col("role") == "user")
-    return users.select("conv_id", "turn", wrap_prompt(F.col("text")).alias("prompt"))
+    return users.select("conv_id", "turn", T.wrap_prompt(F.col("text")).alias("prompt"))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT example_id, reference AS response FROM pairs")
-def extract_response_text(spark, sf):
-    pairs = dialog_pairs(spark, sf).withColumn("sent", wrap_prompt(F.col("prompt")))
+def extract_response(spark, sf):
+    pairs = dialog_pairs(spark, sf).withColumn("sent", T.wrap_prompt(F.col("prompt")))
     decoded = F.concat(F.col("sent"), F.lit(" \n"), F.col("reference"), F.lit("\n"))
-    return pairs.select("example_id", extract_response(decoded, F.col("sent")).alias("response"))
+    return pairs.select("example_id", T.extract_response(decoded, F.col("sent")).alias("response"))
 
 
 @query(
@@ -213,11 +213,11 @@ def extract_response_text(spark, sf):
       ELSE 'base-7b_with_' || lang || '_' || source || '_' || source || '_train' END AS run_name
     FROM documents"""
 )
-def run_names(spark, sf):
+def run_name(spark, sf):
     lang, source = F.col("lang"), F.col("source")
     adapters = F.when(lang == "en", F.array().cast("array<string>")).otherwise(F.array(lang, source))
     override = F.when(lang == "es", F.concat(F.lit("run-"), F.col("doc_id").cast("string")))
-    name = run_name(F.lit("base-7b"), adapters, source, F.lit("train"), override)
+    name = T.run_name(F.lit("base-7b"), adapters, source, F.lit("train"), override)
     return load(spark, sf, "documents").select("doc_id", name.alias("run_name"))
 
 

@@ -17,6 +17,7 @@ from corvane.operators.scores import (
     attach_predictions as attach,
     breakdown,
     compare_runs as compare,
+    display_breakdown,
     long_scores,
     normalise_weights,
     overall,
@@ -331,6 +332,14 @@ def score_breakdown(spark, sf):
     return _rounded(_parts(spark, sf), 6, "score", "contribution")
 
 
+@query(
+    f"""WITH {LONG_SQL} SELECT run_id, metric, format('{{:.2f}}', score) AS score,
+      format('{{:.2f}}%', weight * 100) AS weight, format('{{:.2f}}', contribution) AS contribution FROM parts"""
+)
+def score_table(spark, sf):
+    return display_breakdown(_parts(spark, sf))
+
+
 @query(f"WITH {LONG_SQL} SELECT run_id, overall_score FROM totals")
 def overall_score(spark, sf):
     return overall(_parts(spark, sf), ["run_id"])

@@ -11,6 +11,7 @@ from corvane.operators.batches import (
     pad_batches as pad,
 )
 from corvane.operators.ngram import fit_ngram, ngram_nll as score_texts
+from corvane.operators.predict import embed_tokens as add_vectors
 from corvane.operators.predict import predict as run_predictor
 from corvane.operators.stats import length_stats as stats_of
 from corvane.operators.stats import perplexity as perplexity_of
@@ -272,6 +273,23 @@ def perplexity_of_losses(spark, sf):
     return perplexity_of(losses, ["user_id"]).withColumn("perplexity", F.round("perplexity", 6))
 
 
+@query(
+    f"""WITH {PAIRS_SQL}, w AS (SELECT example_id, regexp_extract_all(reference, '[^ \\t\\n]+') AS words FROM pairs)
+    SELECT example_id, CAST(len(words) AS INTEGER) AS vectors, array_to_string(list_transform(words,
+      lambda x: CAST(length(x) AS VARCHAR) || ':' || CAST(ascii(x) AS VARCHAR)), ' ') AS parts FROM w"""
+)
+def embed_tokens(spark, sf):
+    def make_encoder():
+        import re
+
+        words = re.compile(r"[^ \t\n]+")
+        return lambda texts: [[[float(len(w)), float(ord(w[0]))] for w in words.findall(t)] for t in texts]
+
+    out = add_vectors(dialog_pairs(spark, sf), make_encoder, "reference", "v")
+    part = lambda x: F.concat_ws(":", x[0].cast("int").cast("string"), x[1].cast("int").cast("string"))
+    return out.select("example_id", F.size("v").alias("vectors"), F.array_join(F.transform("v", part), " ").alias("parts"))
+
+
 @query(f"WITH {PAIRS_SQL} SELECT example_id, reverse(prompt) AS prediction FROM pairs")
 def predict(spark, sf):
     def make_predict_fn():
