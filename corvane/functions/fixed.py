@@ -128,5 +128,8 @@ CATALOG_SUFFIXES = (".json", ".jsonl")
 SPLIT_INFO_FILE = "dataset_infos.json"
 
 # --- Fixed values: training log ----------------------------------------------
-LOG_LINE = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) \| (\w+) *\| ([^:]*):([^:]*):(\d+) - (.*)$"
-STEP_MESSAGE = r"^Step (\d+) \| (.*)$"
+# time | level | name:function:line - Step N | key: value, ...
+STEP_LINE = (
+    r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d \| \w+ *\| [^:]*:[^:]*:\d+ - Step (\d+) \| (.*)$"
+)
+LOG_TIME = "yyyy-MM-dd HH:mm:ss"

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.functions import fixed
+from corvane.functions.let import let
 from corvane.functions.records import accepted, messages_of
 from corvane.operators.once import once
 
@@ -36,16 +37,20 @@ def parse_record(line: Column) -> Column:
     listed = F.from_json(
         F.concat(F.lit("["), line, F.lit("]")), f"array<{RECORD_TYPE}>", JSON_OPTIONS
     )
-    record = F.when(F.size(listed) == 1, listed[0])
+    only = let(listed, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
+    return let(only, _last_of_each_key)
+
+
+def _last_of_each_key(record: Column) -> Column:
     entries = F.map_entries(record)
-    last_of_each = F.filter(
+    last = F.filter(
         entries,
         lambda e, i: ~F.exists(
             F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]
         ),
     )
     repeated = F.size(F.array_distinct(F.map_keys(record))) < F.size(record)
-    return F.when(repeated, F.map_from_entries(last_of_each)).otherwise(record)
+    return F.when(repeated, F.map_from_entries(last)).otherwise(record)
 
 
 def with_record(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -78,23 +78,24 @@ def lookup_counts(df: DataFrame, counts: DataFrame, keys: list[str], out: str) -
 def ngram_nll(
     df: DataFrame,
     model: Bigrams,
-    key: str,
+    *keys: str,
     text: str = "text",
     max_tokens: int | None = 128,
 ) -> DataFrame:
     """Per text: ``n_tokens``, summed ``nll`` and mean ``loss`` under the model.
 
+    ``keys`` tell the texts apart (further columns to keep may be among them).
     ``max_tokens`` cuts every text as the scoring of generated text does; give
-    None to score whole texts. Equal bigrams of a text are counted first.
+    None to score whole texts.
     """
-    listed = _bigrams(df, text, max_tokens).select(key, F.explode_outer("bigrams").alias("b"))
-    counted = listed.groupBy(key, "b.w1", "b.w2").agg(F.count("b").alias("times"))
-    counted = lookup_counts(counted, model.pairs, ["w1", "w2"], "pair_n")
-    counted = lookup_counts(counted, model.contexts, ["w1"], "context_n")
+    rows = _bigrams(df, text, max_tokens).select(*keys, F.explode_outer("bigrams").alias("b"))
+    rows = rows.select(*keys, "b.w1", "b.w2")
+    rows = lookup_counts(rows, model.pairs, ["w1", "w2"], "pair_n")
+    rows = lookup_counts(rows, model.contexts, ["w1"], "context_n")
     p = (F.col("pair_n") + model.k) / (F.col("context_n") + model.k * model.vocabulary.scalar())
-    scored = counted.groupBy(key).agg(
-        F.sum("times").alias("n_tokens"),
-        F.sum(-F.log(p) * F.col("times")).alias("nll"),
+    scored = rows.groupBy(*keys).agg(
+        F.count("w2").alias("n_tokens"),
+        F.coalesce(F.sum(F.when(F.col("w2").isNotNull(), -F.log(p))), F.lit(0.0)).alias("nll"),
     )
     return scored.withColumn(
         "loss", F.when(F.col("n_tokens") > 0, F.col("nll") / F.col("n_tokens")).otherwise(0.0)

@@ -18,23 +18,20 @@ def parse_log(lines: DataFrame, line: str = "line") -> DataFrame:
 
     Lines of other kinds and values that are not numbers give no row.
     """
-    message = F.regexp_extract(F.col(line), fixed.LOG_LINE, 6)
-    parsed = lines.filter(F.col(line).rlike(fixed.LOG_LINE)).select(
+    text = F.col(line)
+    level = F.rtrim(F.substring_index(F.substr(text, F.lit(len(fixed.LOG_TIME) + 4)), " |", 1))
+    steps = lines.filter(text.rlike(fixed.STEP_LINE)).select(
         *[c for c in lines.columns if c != line],
-        F.to_timestamp(F.regexp_extract(F.col(line), fixed.LOG_LINE, 1), "yyyy-MM-dd HH:mm:ss").alias("ts"),
-        F.regexp_extract(F.col(line), fixed.LOG_LINE, 2).alias("level"),
-        message.alias("message"),
+        F.to_timestamp(F.substring(text, 1, len(fixed.LOG_TIME)), fixed.LOG_TIME).alias("ts"),
+        level.alias("level"),
+        F.regexp_extract(text, fixed.STEP_LINE, 1).cast("long").alias("step"),
+        F.explode(F.split(F.regexp_extract(text, fixed.STEP_LINE, 2), ", ")).alias("field"),
     )
-    steps = parsed.filter(F.col("message").rlike(fixed.STEP_MESSAGE))
-    fields = F.split(F.regexp_extract("message", fixed.STEP_MESSAGE, 2), ", ")
-    pairs = F.transform(fields, lambda f: F.split(f, ": ", 2))
+    value = F.expr("try_cast(substring_index(field, ': ', -1) AS DOUBLE)")
     return (
-        steps.withColumn("step", F.regexp_extract("message", fixed.STEP_MESSAGE, 1).cast("long"))
-        .withColumn("pair", F.explode(pairs))
-        .drop("message")
-        .withColumn("metric", F.get("pair", F.lit(0)))
-        .withColumn("value", F.expr("try_cast(get(pair, 1) AS DOUBLE)"))
-        .drop("pair")
+        steps.withColumn("metric", F.substring_index("field", ": ", 1))
+        .withColumn("value", value)
+        .drop("field")
         .filter(F.col("value").isNotNull())
     )
 

@@ -48,8 +48,7 @@ def text_perplexity(
     used = min_chars(texts, text)
     if sample is not None:
         used = sample_n_by(used, list(by), key, sample, seed)
-    losses = ngram_nll(used, model, key, text, max_tokens)
-    return perplexity(losses.join(used.select(key, *by), key), by)
+    return perplexity(ngram_nll(used, model, key, *by, text=text, max_tokens=max_tokens), by)
 
 
 def evaluate(scored: DataFrame, perplexities: DataFrame, by: Sequence[str] = ("run_id",)) -> Evaluated:
@@ -57,8 +56,11 @@ def evaluate(scored: DataFrame, perplexities: DataFrame, by: Sequence[str] = ("r
     ``perplexity_generated`` and ``perplexity_reference`` (100 where missing)."""
     by = list(by)
     metrics = quality_metrics(scored, by).join(perplexities, by, "left")
-    for name in ("perplexity_generated", "perplexity_reference"):
-        metrics = metrics.withColumn(name, F.coalesce(name, F.lit(fixed.EMPTY_PERPLEXITY)))
+    # Without generated texts neither perplexity is computed.
+    known = F.col("perplexity_generated").isNotNull()
+    for name in ("perplexity_reference", "perplexity_generated"):
+        value = F.coalesce(F.when(known, F.col(name)), F.lit(fixed.EMPTY_PERPLEXITY))
+        metrics = metrics.withColumn(name, value)
     metrics = metrics.withColumn("perplexity_score", ppl_score(F.col("perplexity_generated")))
     # A row per run, from one pass over the scored rows; used three times below.
     metrics = staged(metrics, "run-metrics")

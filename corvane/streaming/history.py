@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corvane.functions import fixed
 
+MESSAGES = "conv_id long, turn long, role string, text string"
 OUTPUT = "conv_id long, turn long, prompt string"
 STATE = "blocks array<string>, waiting string, last_turn long"
 
@@ -29,6 +30,17 @@ def _advance(state: tuple, role: str, text: str, turn: int, last: int):
     return (blocks, said, turn), prompt
 
 
+def stream_messages(
+    spark: SparkSession, directory: str, files_per_trigger: int = 100
+) -> DataFrame:
+    """Messages of Parquet files that arrive in a directory, a bounded number per trigger."""
+    return (
+        spark.readStream.schema(MESSAGES)
+        .option("maxFilesPerTrigger", files_per_trigger)
+        .parquet(directory)
+    )
+
+
 def stream_history(
     messages: DataFrame, last: int = fixed.HISTORY_PAIRS, idle: str | None = "1 hour"
 ) -> DataFrame:
@@ -37,7 +49,7 @@ def stream_history(
     The state of a conversation is at most ``last`` exchanges and one waiting
     message, and goes away after ``idle`` without news. Within a trigger the
     rows of a conversation are put in order of their turn; how many there can
-    be is set by the source's admission limit. Turns must not arrive in an
+    be is set by the source's admission limit (``stream_messages``). Turns must not arrive in an
     earlier trigger than turns before them. A run that is to end by itself
     (``availableNow``) needs ``idle=None``: timeouts keep a query going.
     """

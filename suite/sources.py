@@ -8,7 +8,7 @@ from corvane.operators.ingest import parse_record
 from corvane.session import scratch_dir
 from corvane.sources import catalog, files, locator, sinks
 from corvane.streaming.examples import stream_lines, stream_prepare as prepare_stream
-from corvane.streaming.history import stream_history as history_stream
+from corvane.streaming.history import stream_history as history_stream, stream_messages
 from corvane.streaming.metrics import stream_metrics as metrics_stream
 from suite.dialogs import HISTORY_SQL
 from suite.examples import VALID_SQL
@@ -122,7 +122,7 @@ def stream_history(spark, sf):
     source, out = scratch_dir(spark, "messages"), scratch_dir(spark, "prompts")
     table = load(spark, sf, "conversations")
     table.write.parquet(source)
-    _drain(spark, history_stream(spark.readStream.schema(table.schema).parquet(source), idle=None), out)
+    _drain(spark, history_stream(stream_messages(spark, source), idle=None), out)
     return spark.read.parquet(out)
 
 

@@ -8,7 +8,7 @@ from corvane.operators.ingest import ingest
 from corvane.operators.telemetry import parse_log
 from corvane.session import scratch_dir
 from corvane.streaming.examples import stream_lines, stream_prepare
-from corvane.streaming.history import stream_history
+from corvane.streaming.history import stream_history, stream_messages
 from corvane.streaming.metrics import stream_log_lines, stream_metrics
 from test_ordered import random_turns
 
@@ -39,7 +39,7 @@ def test_history_stream_equals_batch(spark):
     for low in range(0, 200, 15):
         part = df.filter((F.col("turn") >= low) & (F.col("turn") < low + 15))
         part.coalesce(1).write.mode("append").parquet(source)
-    arriving = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    arriving = stream_messages(spark, source, 1)
     got, progress = drain(spark, stream_history(arriving, idle=None), scratch_dir(spark, "out"))
     assert sum(p["numInputRows"] > 0 for p in progress) >= 3
     want = history_prompts(df)
