@@ -54,24 +54,22 @@ def fit_ngram(df: DataFrame, text: str = "text", k: float = 1.0) -> Bigrams:
 def lookup_counts(df: DataFrame, counts: DataFrame, keys: list[str], out: str) -> DataFrame:
     """Left join of a count table (unique keys, count ``n``) that frequent keys cannot skew.
 
-    The most frequent keys, a fixed number of rows, are broadcast. Rows they
-    answer are spread by a salt through the second join and match nothing
-    there; the keys left over are rare by construction.
+    The most frequent keys, a fixed number of rows, are broadcast. In the second
+    join a row's place is the hash of its keys, but for rows already answered the
+    hash of the whole row: those are spread out and match nothing. What is left
+    to meet there are keys that are rare by construction.
     """
     hot = most_frequent(counts, HOT_ROWS, "n", *keys)
     hot = hot.select(*keys, F.col("n").alias("_hot"))
-    # Always 0, but not a literal: the planner would take that out of the join key.
-    none = F.pmod(F.xxhash64(*keys), F.lit(1).cast("long"))
-    cold = counts.select(*keys, F.col("n").alias("_cold"), none.alias("_salt"))
-    # A function of the row itself, so a repeated task salts it the same way.
-    spread = 1 + F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20).cast("long"))
-    salt = F.when(F.col("_hot").isNotNull(), spread).otherwise(F.lit(0).cast("long"))
+    home = F.xxhash64(*keys)
+    cold = counts.select(home.alias("_place"), *keys, F.col("n").alias("_cold"))
+    place = F.when(F.col("_hot").isNotNull(), F.xxhash64(*df.columns)).otherwise(home)
     return (
         df.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", salt)
-        .join(cold, [*keys, "_salt"], "left")
+        .withColumn("_place", place)
+        .join(cold, ["_place", *keys], "left")
         .withColumn(out, F.coalesce("_hot", "_cold", F.lit(0).cast("long")))
-        .drop("_hot", "_cold", "_salt")
+        .drop("_hot", "_cold", "_place")
     )
 
 

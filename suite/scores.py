@@ -280,7 +280,7 @@ def clamp_score(spark, sf):
         F.when(kind == "signup", F.lit(float("nan")))
         .when(kind == "error", F.lit(float("inf")))
         .when(kind == "click", F.lit(float("-inf")))
-        .when(kind == "view", -F.col("value"))
+        .when(kind == "view", F.lit(0.0) - F.col("value"))
         .otherwise(F.col("value"))
     )
     return load(spark, sf, "events").select("event_id", clamp(raw).alias("score"))

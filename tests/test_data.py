@@ -272,7 +272,7 @@ def test_ngram_against_plain_counts(spark, corpus, hot, monkeypatch):
         assert got[key]["nll"] == pytest.approx(nll)
 
 
-def test_salt_is_a_join_key(spark, corpus, monkeypatch):
+def test_place_is_a_join_key(spark, corpus, monkeypatch):
     """Rows of frequent keys must not meet in one task of the second join."""
     monkeypatch.setattr(ngram, "HOT_ROWS", 1)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
@@ -283,7 +283,7 @@ def test_salt_is_a_join_key(spark, corpus, monkeypatch):
         assert out.filter("found = 5").count() == 100
         plan = out._jdf.queryExecution().executedPlan().toString()
         join = [x for x in plan.splitlines() if "SortMergeJoin" in x][0]
-        assert "_salt" in join.split("LeftOuter")[0].split("[", 2)[1]
+        assert "_place" in join.split("LeftOuter")[0].split("[", 2)[1]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
