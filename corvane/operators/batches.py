@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions import fixed
@@ -85,8 +83,3 @@ def batch_plan(df: DataFrame, batch_size: int, accumulation: int) -> DataFrame:
         F.ceil(F.col("batches") / accumulation).alias("steps_per_epoch"),
         (1 - F.col("ids") / F.col("slots")).alias("padding_share"),
     )
-
-
-def eval_size(rows: int, ratio: float) -> int:
-    """Rows that ``train_eval_split`` puts into ``eval``."""
-    return math.ceil(ratio * rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.functions.records import eval_pair, render_record
 from corvane.functions.text import strip
@@ -21,11 +21,19 @@ def render(
     return once(df, text=render_record(F.col(record), answer_keys)).select(*keep, "text")
 
 
+def usable(text: Column) -> Column:
+    """True for a text that is not empty after a strip; never NULL."""
+    return F.coalesce(F.length(strip(text)) > 0, F.lit(False))
+
+
+def overlong(text: Column, max_length: int) -> Column:
+    """True for a text far above the length in tokens, judged by its characters."""
+    return F.length(text) > 10 * max_length
+
+
 def validate(df: DataFrame, max_length: int, text: str = "text") -> DataFrame:
-    """Drop texts that are empty after a strip; flag, but keep, very long ones."""
-    return df.filter(F.length(strip(F.col(text))) > 0).withColumn(
-        "overlong", F.length(text) > 10 * max_length
-    )
+    """Drop unusable texts; flag, but keep, very long ones."""
+    return df.filter(usable(F.col(text))).withColumn("overlong", overlong(F.col(text), max_length))
 
 
 def eval_pairs(

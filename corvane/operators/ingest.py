@@ -71,14 +71,18 @@ def ingest(lines: DataFrame, line: str = "line", require_rows: bool = False) ->
     tagged = with_record(lines, line)
     good = tagged.filter(F.col("reason").isNull()).drop("reason", line)
     rejects = tagged.filter(F.col("reason").isNotNull()).drop("record")
-    counts = tagged.agg(
+    if require_rows and good.isEmpty():
+        raise NoRowsError("no valid example among the input lines")
+    return Ingested(good, rejects, count_reasons(tagged))
+
+
+def count_reasons(tagged: DataFrame) -> DataFrame:
+    """One row: total, valid and skipped rows."""
+    return tagged.agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.count_if(F.col("reason").isNull()).alias("valid_rows"),
         F.count_if(F.col("reason").isNotNull()).alias("skipped_rows"),
     )
-    if require_rows and good.isEmpty():
-        raise NoRowsError("no valid example among the input lines")
-    return Ingested(good, rejects, counts)
 
 
 def canonical(df: DataFrame, record: str = "record") -> DataFrame:

@@ -46,7 +46,7 @@ def fit_ngram(df: DataFrame, text: str = "text", k: float = 1.0) -> Bigrams:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     pairs = staged(pairs, "bigrams")
-    contexts = pairs.groupBy("w1").agg(F.sum("n").alias("n"))
+    contexts = staged(pairs.groupBy("w1").agg(F.sum("n").alias("n")), "contexts")
     vocabulary = pairs.select("w2").distinct().agg((F.count(F.lit(1)) + 1).alias("v"))
     return Bigrams(pairs, contexts, vocabulary, k)
 

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions import fixed
+from corvane.functions.records import render_record
 from corvane.operators.batches import length_batches, lm_labels, pad_batches
-from corvane.operators.examples import render, validate
-from corvane.operators.ingest import ingest
+from corvane.operators.examples import overlong, usable
+from corvane.operators.ingest import count_reasons, with_record
+from corvane.operators.once import once
 from corvane.operators.sampling import sample_n, train_eval_split
 from corvane.operators.tokens import encode, fit_vocab, tokenize
 from corvane.session import staged
@@ -29,7 +31,7 @@ class PrepareOptions:
 
 @dataclass(frozen=True)
 class Prepared:
-    """Every stage; examples and tokenized rows are stored, the rest is lazy."""
+    """Every stage; records and tokenized rows are stored, the rest is lazy."""
 
     rejects: DataFrame
     counts: DataFrame
@@ -42,12 +44,21 @@ class Prepared:
 def prepare(lines: DataFrame, key: str, options: PrepareOptions = PrepareOptions()) -> Prepared:
     """``lines`` has the unique ``key`` and ``line``.
 
-    Parsing and rendering run once: sampling and splitting then read only the
-    key column of the stored examples, batching only the stored ids.
+    Lines are parsed and rendered once; sampling and splitting then read only
+    two narrow columns of the stored records, batching only the stored ids.
     """
-    taken = ingest(lines)
-    rendered = render(taken.good, key, answer_keys=options.answer_keys)
-    examples = staged(validate(rendered, options.max_length), "examples")
+    kept, text = F.col("reason").isNull(), F.col("text")
+    rendered = render_record(F.col("record"), options.answer_keys)
+    records = once(with_record(lines), text=F.when(kept, rendered)).select(
+        key,
+        "reason",
+        usable(text).alias("usable"),
+        overlong(text, options.max_length).alias("overlong"),
+        F.when(~kept, F.col("line")).alias("line"),
+        "text",
+    )
+    records = staged(records, "records")
+    examples = records.filter("usable").select(key, "overlong", "text")
     if options.max_samples is not None:
         examples = sample_n(examples, key, options.max_samples, options.seed)
     examples = train_eval_split(examples, key, options.eval_ratio, options.seed)
@@ -60,4 +71,5 @@ def prepare(lines: DataFrame, key: str, options: PrepareOptions = PrepareOptions
         ),
         options.pad_multiple,
     ).withColumn("labels", lm_labels(F.col("padded_ids"), fixed.PAD_ID))
-    return Prepared(taken.rejects, taken.counts, examples, vocab, tokenized, batches)
+    rejects = records.filter(~kept).select(key, "reason", "line")
+    return Prepared(rejects, count_reasons(records), examples, vocab, tokenized, batches)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,16 +28,18 @@ def build_session(
     return builder.getOrCreate()
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="corvane-")
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh directory below the cluster's shared checkpoint folder.
 
-    Only where the session names no such folder (tests, one machine) is a
-    temporary folder made, and it is then recorded in the session.
+    Only where the session names no such folder (tests, one machine) is one
+    temporary folder made for the process.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
