@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.functions import fixed
 from corvane.functions.scoring import ppl_score, recommendations
+from corvane.functions.text import strip
 from corvane.operators.ngram import Bigrams, ngram_nll
 from corvane.operators.sampling import sample_n_by
 from corvane.operators.examples import min_chars
@@ -51,6 +52,42 @@ def text_perplexity(
     return perplexity(ngram_nll(used, model, key, *by, text=text, max_tokens=max_tokens), by)
 
 
+def run_perplexities(
+    answered: DataFrame,
+    model: Bigrams,
+    key: str,
+    by: Sequence[str] = ("run_id",),
+    sample: int | None = 128,
+    seed: int = 42,
+    max_tokens: int | None = 128,
+) -> DataFrame:
+    """``perplexity_generated`` and ``perplexity_reference`` of every run.
+
+    Predictions below five characters are left out. Both sides are sampled on
+    their own and scored in one pass, so the model's counts are joined once.
+    ``sample=None`` takes every text.
+    """
+    by = list(by)
+    sides = F.array(
+        *[
+            F.struct(F.lit(side).alias("side"), F.col(column).alias("text"))
+            for side, column in (("generated", "prediction"), ("reference", "reference"))
+        ]
+    )
+    texts = answered.select(key, *by, F.inline(sides))
+    texts = texts.filter((F.col("side") == "reference") | (F.length(strip(F.col("text"))) >= 5))
+    if sample is not None:
+        named = texts.withColumn("_name", F.concat_ws(":", "side", F.col(key).cast("string")))
+        texts = sample_n_by(named, [*by, "side"], "_name", sample, seed).drop("_name")
+    losses = ngram_nll(texts, model, key, *by, "side", max_tokens=max_tokens)
+    found = perplexity(losses, [*by, "side"])
+
+    def of(side: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col("perplexity"))).alias(f"perplexity_{side}")
+
+    return found.groupBy(*by).agg(of("generated"), of("reference"))
+
+
 def evaluate(scored: DataFrame, perplexities: DataFrame, by: Sequence[str] = ("run_id",)) -> Evaluated:
     """``scored`` as from ``score_rows``; ``perplexities`` has the run key,
     ``perplexity_generated`` and ``perplexity_reference`` (100 where missing)."""

@@ -29,7 +29,7 @@ from corvane.operators.scores import (
 from corvane.operators.stats import exact_match as share_equal
 from corvane.operators.stats import quality_metrics
 from corvane.operators.ngram import fit_ngram
-from corvane.plans.evaluate import METRICS, evaluate, text_perplexity
+from corvane.plans.evaluate import METRICS, evaluate, run_perplexities
 from suite.inputs import (
     PAIRS_SQL,
     RUN_METRICS_SQL,
@@ -369,10 +369,9 @@ def recommendations(spark, sf):
 
 
 def _ppl_sql(run: str, texts: str) -> str:
-    """A subquery ``(run_id, ppl)`` of texts ``(run_id, id, text)``."""
+    """A subquery of the perplexity per run of texts ``(run_id, text)``."""
     return f"""(WITH t AS ({texts}),
-      w AS (SELECT run_id, regexp_extract_all(lower(text), {WORDS}) AS tokens FROM t
-        WHERE length(trim(text, {WS})) >= 5),
+      w AS (SELECT run_id, regexp_extract_all(lower(text), {WORDS}) AS tokens FROM t),
       g AS (SELECT run_id, unnest(list_concat(['<s>'], tokens[:-2])) AS w1, unnest(tokens) AS w2 FROM w WHERE len(tokens) > 0)
       SELECT run_id, exp(SUM(-ln((coalesce(p.n, 0) + 1.0::DOUBLE)
         / (coalesce(c.n, 0) + 1.0::DOUBLE * (SELECT v FROM vocab_size)))) / COUNT(*)) AS {run}
@@ -382,7 +381,7 @@ def _ppl_sql(run: str, texts: str) -> str:
 @query(
     f"""WITH RECURSIVE {QUALITY_SQL}, {NGRAM_SQL},
     ppl AS (SELECT *, 100 * exp(-gen / 250) AS perplexity_score FROM quality
-      JOIN {_ppl_sql('gen', 'SELECT run_id, prediction AS text FROM preds')} USING (run_id)
+      JOIN {_ppl_sql('gen', f'SELECT run_id, prediction AS text FROM preds WHERE length(trim(prediction, {WS})) >= 5')} USING (run_id)
       JOIN {_ppl_sql('ref', 'SELECT run_id, reference AS text FROM preds JOIN pairs USING (example_id)')} USING (run_id)),
     long AS (
       SELECT run_id, 'BERTScore' AS metric, bert_score AS score, 0.30::DOUBLE AS weight FROM ppl
@@ -408,17 +407,7 @@ def _ppl_sql(run: str, texts: str) -> str:
 def run_summary(spark, sf):
     scored = _scored(spark, sf)
     model = fit_ngram(load(spark, sf, "documents"))
-    texts = _answered(spark, sf).withColumn(
-        "text_id", F.concat_ws(":", "run_id", F.col("example_id").cast("string"))
-    )
-
-    def ppl_of(text, name):
-        out = text_perplexity(texts, model, "text_id", text, ["run_id"], max_tokens=None)
-        return out.select("run_id", F.col("perplexity").alias(name))
-
-    ppl = ppl_of("prediction", "perplexity_generated").join(
-        ppl_of("reference", "perplexity_reference"), "run_id"
-    )
+    ppl = run_perplexities(_answered(spark, sf), model, "example_id", sample=None, max_tokens=None)
     out = evaluate(scored, ppl).summary
     entries = F.array_sort(F.map_entries("score_breakdown"))
     shown = F.transform(

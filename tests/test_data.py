@@ -12,7 +12,7 @@ from corvane.functions import fixed
 from corvane.operators import artifacts, batches, ngram, sampling, scores, stats, telemetry, tokens
 from corvane.operators.predict import embed_tokens, predict
 from corvane.plans.converse import converse
-from corvane.plans.evaluate import evaluate
+from corvane.plans.evaluate import evaluate, run_perplexities
 from corvane.plans.prepare import PrepareOptions, prepare
 
 
@@ -249,6 +249,22 @@ def test_evaluate_run(spark):
     assert done.advice.first()["recommendations"][0] == fixed.ADVICE["bert_score"][3]
 
 
+def test_perplexities_of_both_sides(spark, corpus):
+    model = ngram.fit_ngram(corpus)
+    rows = [("r", i, "the cat sat here" if i else "the", "a dog") for i in range(5)]
+    df = spark.createDataFrame(rows, "run_id string, id long, prediction string, reference string")
+    out = run_perplexities(df, model, "id", sample=3).first()
+
+    def one(text):
+        texts = spark.createDataFrame([(1, text)], "id long, text string")
+        return math.exp(ngram.ngram_nll(texts, model, "id").first()["loss"])
+
+    assert out["perplexity_generated"] == pytest.approx(one("the cat sat here"))
+    assert out["perplexity_reference"] == pytest.approx(one("a dog"))
+    short = run_perplexities(df.filter("id = 0"), model, "id").first()
+    assert short["perplexity_generated"] is None and short["perplexity_reference"] is not None
+
+
 def test_compare(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0, 3.0, 4.0), ("b", 2.0, 2.5, 1.0, 8.0)], "run_id string, overall_score double, bert_score double, rouge_score double, perplexity_generated double")
     got = {r["run_id"]: r["rouge_score_delta"] for r in scores.compare_runs(df, "a").collect()}
