@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.functions import fixed
-from corvane.sources.files import data_files, glob_paths
+from corvane.sources.files import data_files, glob_paths, subdirectories
 
 SPLIT_INFO_TYPE = "map<string,struct<splits:map<string,struct<num_examples:bigint>>>>"
 
@@ -29,10 +31,12 @@ def relative_path(path: str, root: str):
     return F.substring_index(F.col(path), plain, -1)
 
 
-def dataset_catalog(spark: SparkSession, root: str) -> DataFrame:
+def dataset_catalog(
+    spark: SparkSession, root: str, suffixes: Sequence[str] = fixed.CATALOG_SUFFIXES
+) -> DataFrame:
     """``(dataset, files)``: sub-directories that hold data files, at any depth."""
     below = list_files(spark, root).select(relative_path("path", root).alias("rest"))
-    kinds = "|".join(s.replace(".", r"\.") for s in fixed.CATALOG_SUFFIXES)
+    kinds = "|".join(s.replace(".", r"\.") for s in suffixes)
     inside = below.filter(F.col("rest").rlike(f"^[^./][^/]*/.*({kinds})$"))
     return inside.groupBy(F.substring_index("rest", "/", 1).alias("dataset")).agg(
         F.count(F.lit(1)).alias("files")
@@ -40,8 +44,9 @@ def dataset_catalog(spark: SparkSession, root: str) -> DataFrame:
 
 
 def split_catalog(spark: SparkSession, directory: str) -> DataFrame:
-    """``(split, rows)`` from the dataset's own description, else counted from
-    shard names (before the first ``-``), else all under ``train``."""
+    """``(split, rows)`` from the dataset's own description, else counted: by
+    sub-directory of a columnar dataset, by shard name (before the first ``-``),
+    or all under ``train``."""
     root = directory.rstrip("/")
     described = glob_paths(spark, f"{root}/{fixed.SPLIT_INFO_FILE}")
     if described:
@@ -50,6 +55,14 @@ def split_catalog(spark: SparkSession, directory: str) -> DataFrame:
         )
         entries = info.select(F.explode("splits").alias("split", "info"))
         return entries.select("split", F.coalesce("info.num_examples", F.lit(0).cast("long")).alias("rows"))
+    if glob_paths(spark, f"{root}/*.parquet"):
+        rows = spark.read.parquet(root)
+        return rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("train").alias("split"), "rows")
+    columnar = [n for n in subdirectories(spark, root) if glob_paths(spark, f"{root}/{n}/*.parquet")]
+    if columnar:
+        rows = spark.read.parquet(*[f"{root}/{n}" for n in columnar])
+        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        return rows.groupBy(name.alias("split")).agg(F.count(F.lit(1)).alias("rows"))
     files = data_files(spark, root)
     if not files:
         return spark.createDataFrame([("train", 0)], "split string, rows bigint")

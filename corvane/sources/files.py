@@ -31,6 +31,13 @@ def glob_paths(spark: SparkSession, pattern: str, directories: bool | None = Non
     )
 
 
+def subdirectories(spark: SparkSession, directory: str) -> list[str]:
+    """Names of the directories directly below one, hidden ones left out."""
+    paths = glob_paths(spark, f"{directory.rstrip('/')}/*", directories=True)
+    names = [p.rsplit("/", 1)[-1] for p in paths]
+    return [n for n in names if not n.startswith(("_", "."))]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a few files that cannot be split, over all slots of the cluster.
 

@@ -22,6 +22,7 @@ from corvane.sources.files import (
     read_lines,
     read_split_files,
     split_files,
+    subdirectories,
 )
 
 DEFAULT_SPLIT = "train"
@@ -35,8 +36,7 @@ def read_columnar(
     root = directory.rstrip("/")
     if glob_paths(spark, f"{root}/*.parquet"):
         return spark.read.parquet(root)
-    names = [p.rsplit("/", 1)[-1] for p in glob_paths(spark, f"{root}/*", directories=True)]
-    splits = [n for n in names if not n.startswith(("_", "."))]
+    splits = subdirectories(spark, root)
     if not splits:
         raise FileNotFoundError(f"no columnar dataset in {directory}")
     if split in splits:

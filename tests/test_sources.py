@@ -113,6 +113,12 @@ def test_catalogs(spark, root):
     assert splits("shards") == {"train": 3, "test": 1}
     assert splits("loose") == {"train": 2}
     assert splits("empty") == {"train": 0}
+    for split, n in (("train", 4), ("test", 2)):
+        spark.range(n).write.parquet(f"{root}/tables/{split}")
+    assert splits("tables") == {"train": 4, "test": 2}
+    assert splits("tables/train") == {"train": 4}
+    parquet = catalog.dataset_catalog(spark, root, [".parquet"])
+    assert "tables" in {r["dataset"] for r in parquet.collect()}
 
 
 def test_catalog_reads_no_content(spark, root):
