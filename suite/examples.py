@@ -9,7 +9,7 @@ from corvane.functions import text as T
 from corvane.operators.examples import eval_pairs as to_pairs
 from corvane.operators.examples import min_chars, nonempty_pairs, render, validate
 from corvane.operators.ingest import canonical as to_canonical
-from corvane.operators.ingest import ingest, reject_sample as first_rejects
+from corvane.operators.ingest import ingest, reject_sample as first_rejects, with_record
 from corvane.operators.sampling import (
     head_n as first_n,
     sample_n,
@@ -41,17 +41,25 @@ def ingest_good(spark, sf):
     return render(ingest(record_lines(spark, sf)).good, "doc_id")
 
 
-@query(
-    """SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'malformed' ELSE 'no_known_shape' END AS reason
-    FROM documents WHERE doc_id % 10 IN (5, 7, 8, 9)"""
+REJECTS_SQL = (
+    RECORDS_SQL
+    + """,
+rejects AS (
+  SELECT doc_id, CASE WHEN shape = 9 THEN 'malformed' ELSE 'no_known_shape' END AS reason
+  FROM d WHERE shape IN (5, 7, 8, 9)
+)"""
 )
+
+
+@query(f"WITH {REJECTS_SQL} SELECT doc_id, reason FROM rejects")
 def ingest_rejects(spark, sf):
     return ingest(record_lines(spark, sf)).rejects.select("doc_id", "reason")
 
 
 @query(
-    """SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE doc_id % 10 NOT IN (5, 7, 8, 9)) AS valid_rows,
-      COUNT(*) FILTER (WHERE doc_id % 10 IN (5, 7, 8, 9)) AS skipped_rows FROM documents"""
+    f"""WITH {RECORDS_SQL} SELECT COUNT(*) AS total_rows,
+      COUNT(*) FILTER (WHERE shape NOT IN (5, 7, 8, 9)) AS valid_rows,
+      COUNT(*) FILTER (WHERE shape IN (5, 7, 8, 9)) AS skipped_rows FROM d"""
 )
 def ingest_counts(spark, sf):
     return ingest(record_lines(spark, sf)).counts
@@ -74,20 +82,17 @@ def canonical(spark, sf):
     return typed.withColumn("messages", F.array_join(shown, "|"))
 
 
-@query(
-    """SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'malformed' ELSE 'no_known_shape' END AS reason
-    FROM documents WHERE doc_id % 10 IN (5, 7, 8, 9) ORDER BY doc_id LIMIT 5"""
-)
+@query(f"WITH {REJECTS_SQL} SELECT doc_id, reason FROM rejects ORDER BY doc_id LIMIT 5")
 def reject_sample(spark, sf):
     return first_rejects(ingest(record_lines(spark, sf)).rejects, "doc_id").select("doc_id", "reason")
 
 
 @query(
-    """SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'instruction' WHEN 1 THEN 'instruction'
+    f"""WITH {RECORDS_SQL} SELECT doc_id, CASE shape WHEN 0 THEN 'instruction' WHEN 1 THEN 'instruction'
       WHEN 2 THEN 'prompt_completion' WHEN 3 THEN 'input_output' WHEN 4 THEN 'messages'
       WHEN 5 THEN 'conversation' WHEN 6 THEN 'text' ELSE 'other' END AS shape,
-      doc_id % 10 NOT IN (5, 7, 8) AS accepted
-    FROM documents WHERE doc_id % 10 <> 9"""
+      shape NOT IN (5, 7, 8) AS accepted
+    FROM d WHERE shape <> 9"""
 )
 def classify_shape(spark, sf):
     return records(spark, sf).select(
@@ -95,50 +100,72 @@ def classify_shape(spark, sf):
     )
 
 
-def _by_shape(spark, sf, shape, expr):
-    rows = records(spark, sf).filter(R.classify_shape(_rec()) == shape)
-    return rows.select("doc_id", expr.alias("text"))
+def _docs(spark, sf):
+    """Documents with their halves."""
+    docs = load(spark, sf, "documents").withColumn("half", T.halves(F.col("text")))
+    return docs.select("*", F.col("half.prompt").alias("h"), F.col("half.reference").alias("t"))
 
 
-def _rendered(*shapes):
-    return f"WITH {RENDERED_SQL} SELECT doc_id, text FROM rendered WHERE shape IN ({', '.join(map(str, shapes))})"
+def _rendered(expression):
+    return f"WITH {RECORDS_SQL} SELECT doc_id, {expression} AS text FROM d"
 
 
-@query(_rendered(0, 1))
+@query(
+    _rendered(
+        """E'### Instruction:\\n' || source || E'\\n'
+      || CASE WHEN lang = 'es' THEN '' ELSE E'\\n### Input:\\n' || text || E'\\n' END
+      || CASE WHEN lang = 'fr' THEN '' ELSE E'\\n### Response:\\n' || lang END"""
+    )
+)
 def render_instruction(spark, sf):
-    text = R.render_instruction(_rec()["instruction"], _rec()["input"], _rec()["output"])
-    return _by_shape(spark, sf, "instruction", text)
+    lang = F.col("lang")
+    given = F.when(lang == "es", F.lit("")).otherwise(F.col("text"))
+    text = R.render_instruction(F.col("source"), given, F.when(lang != "fr", lang))
+    return _docs(spark, sf).select("doc_id", text.alias("text"))
 
 
-@query(_rendered(2))
+@query(_rendered("E'### Prompt:\\n' || h || E'\\n\\n### Response:\\n' || t"))
 def render_prompt_completion(spark, sf):
-    text = R.render_prompt_completion(_rec()["prompt"], _rec()["completion"])
-    return _by_shape(spark, sf, "prompt_completion", text)
+    text = R.render_prompt_completion(F.col("h"), F.col("t"))
+    return _docs(spark, sf).select("doc_id", text.alias("text"))
 
 
-@query(_rendered(3))
+@query(_rendered("E'### Input:\\n' || h || E'\\n\\n### Output:\\n' || t"))
 def render_input_output(spark, sf):
-    return _by_shape(spark, sf, "input_output", R.render_input_output(_rec()["input"], _rec()["output"]))
+    text = R.render_input_output(F.col("h"), F.col("t"))
+    return _docs(spark, sf).select("doc_id", text.alias("text"))
 
 
-@query(_rendered(4))
+@query(
+    _rendered(
+        f"""trim(E'### System:\\n' || source || E'\\n\\n### Tool_Call:\\n' || h
+      || E'\\n\\n### Unknown:\\n' || t, {WS})"""
+    )
+)
 def render_messages(spark, sf):
-    return _by_shape(spark, sf, "messages", R.render_messages(R.messages_of(_rec())))
+    parts = [("system", "source"), ("tool_call", "h"), (None, "t")]
+    messages = F.array(
+        *[F.struct(F.lit(r).cast("string").alias("role"), F.col(c).alias("content")) for r, c in parts]
+    )
+    return _docs(spark, sf).select("doc_id", R.render_messages(messages).alias("text"))
 
 
-@query(_rendered(5))
+@query(_rendered("E'### Turn 1:\\n' || h || E'\\n\\n### Turn 2:\\n' || t"))
 def render_conversation(spark, sf):
-    return _by_shape(spark, sf, "conversation", R.render_conversation(R.turns_of(_rec())))
+    text = R.render_conversation(F.array("h", "t"))
+    return _docs(spark, sf).select("doc_id", text.alias("text"))
 
 
-@query(_rendered(6))
+@query(_rendered("text"))
 def render_text(spark, sf):
-    return _by_shape(spark, sf, "text", R.render_text(_rec()["text"]))
+    return _docs(spark, sf).select("doc_id", R.render_text(F.col("text")).alias("text"))
 
 
-@query(_rendered(7, 8))
+@query(_rendered("'title:' || source || ' body:' || text || ' doc_id:' || doc_id"))
 def render_fallback(spark, sf):
-    return _by_shape(spark, sf, "other", R.render_fallback(_rec()))
+    line = F.to_json(F.struct(F.col("source").alias("title"), F.col("text").alias("body"), "doc_id"))
+    parsed = with_record(load(spark, sf, "documents").select("doc_id", line.alias("line")))
+    return parsed.select("doc_id", R.render_fallback(_rec()).alias("text"))
 
 
 @query(f"WITH {RENDERED_SQL} SELECT doc_id, text FROM rendered")
@@ -221,7 +248,7 @@ def run_name(spark, sf):
     return load(spark, sf, "documents").select("doc_id", name.alias("run_name"))
 
 
-VALID_SQL = RENDERED_SQL + f", valid AS (SELECT doc_id, text FROM rendered WHERE length(trim(text, {WS})) > 0)"
+VALID_SQL = RENDERED_SQL + f", valid AS (SELECT doc_id, shape, text FROM rendered WHERE length(trim(text, {WS})) > 0)"
 
 
 def _valid(spark, sf, max_length=1536):

@@ -1,7 +1,7 @@
 """Inputs of the registered queries, all derived from the given tables.
 
-Every row and the whole of every text is used; ``doc_id % 10`` only decides
-which record shape a document takes.
+Every row and the whole of every text is used. Documents become records of ten
+kinds, the last digit of their source saying which.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def record_lines(spark: SparkSession, sf: str) -> DataFrame:
         obj(title=source, body=text),
         F.concat(F.lit('{"text": "'), source),
     ]
-    shape = F.pmod("doc_id", F.lit(10))
+    shape = F.substring("source", -1, 1).cast("int")
     line = F.when(shape == 0, kinds[0])
     for i, kind in enumerate(kinds[1:], 1):
         line = line.when(shape == i, kind)
@@ -69,7 +69,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 RECORDS_SQL = """
 d AS (
-  SELECT doc_id, lang, source, text, doc_id % 10 AS shape,
+  SELECT doc_id, lang, source, text, CAST(right(source, 1) AS INTEGER) AS shape,
          substr(text, 1, length(text) // 2) AS h,
          substr(text, length(text) // 2 + 1) AS t,
          CASE WHEN lang = 'es' THEN E' \\n\\t ' ELSE text END AS b
@@ -312,10 +312,10 @@ log_metrics AS (
 
 
 def document_json(spark: SparkSession, sf: str) -> DataFrame:
-    """``(doc_id, lang, line)``: every document as ``{"doc_id", "text"}``."""
+    """``(doc_id, lang, source, line)``: every document as ``{"doc_id", "text"}``."""
     docs = load(spark, sf, "documents")
     line = F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "text"))
-    return docs.select("doc_id", "lang", line.alias("line"))
+    return docs.select("doc_id", "lang", "source", line.alias("line"))
 
 
 def write_shards(df: DataFrame, directory: str, split: str, suffix: str) -> None:

@@ -74,11 +74,11 @@ def src_named(spark, sf):
     return rows.select("doc_id", F.md5("text").alias("digest"))
 
 
-@query("SELECT lang AS dataset, COUNT(DISTINCT doc_id % 3) AS files FROM documents GROUP BY lang")
+@query("SELECT lang AS dataset, COUNT(DISTINCT source) AS files FROM documents GROUP BY lang")
 def dataset_catalog(spark, sf):
     root = scratch_dir(spark, "catalog")
-    docs = document_json(spark, sf).withColumn("part", F.col("doc_id") % 3)
-    docs.select("lang", "part", "line").repartition("lang", "part").write.partitionBy("lang", "part").json(root)
+    docs = document_json(spark, sf).select("lang", "source", "line")
+    docs.repartition("lang", "source").write.partitionBy("lang", "source").json(root)
     found = catalog.dataset_catalog(spark, root)
     return found.withColumn("dataset", F.regexp_replace("dataset", "^lang=", ""))
 
@@ -98,7 +98,7 @@ def scores_csv(spark, sf):
     return rows.select("run_id", "example_id", F.md5(F.coalesce("prediction", F.lit(""))).alias("digest"))
 
 
-@query(f"WITH {VALID_SQL} SELECT md5(text) AS digest FROM valid WHERE doc_id % 10 IN (0, 1, 2, 3, 4, 6)")
+@query(f"WITH {VALID_SQL} SELECT md5(text) AS digest FROM valid WHERE shape IN (0, 1, 2, 3, 4, 6)")
 def stream_prepare(spark, sf):
     source, out = scratch_dir(spark, "arriving"), scratch_dir(spark, "prepared")
     record_lines(spark, sf).select("line").repartition(4).write.text(source)

@@ -22,8 +22,8 @@ from corvane.session import staged
 from suite.inputs import PAIRS_SQL, WORDS, WS, dialog_pairs, load, predictions
 from suite.registry import query
 
-VOCAB = 2000
-MAX_LENGTH = 512
+VOCAB = 2000  # size of the fitted vocabulary
+MAX_LENGTH = 512  # the tokenizer's own truncation
 
 TOKENS_SQL = f"""
 tok AS (SELECT doc_id, lang, regexp_extract_all(text, {WORDS}) AS tokens FROM documents)"""
@@ -261,14 +261,13 @@ def perplexity(spark, sf):
 
 
 @query(
-    """SELECT user_id, COUNT(*) AS texts, CAST(SUM(CASE WHEN event_id % 7 > 0 THEN event_id % 7 ELSE 0 END) AS BIGINT) AS total_tokens,
-      round(exp(coalesce(SUM(CASE WHEN event_id % 7 > 0 THEN value / 100 * (event_id % 7) END)
-        / SUM(CASE WHEN event_id % 7 > 0 THEN event_id % 7 END), 0)), 6) AS perplexity
-    FROM events GROUP BY user_id"""
+    """WITH l AS (SELECT user_id, value / 100 AS loss, CAST(floor(value / 10) AS BIGINT) AS n FROM events)
+    SELECT user_id, COUNT(*) AS texts, CAST(SUM(n) AS BIGINT) AS total_tokens,
+      round(exp(coalesce(SUM(loss * n) / nullif(SUM(n), 0), 0)), 6) AS perplexity FROM l GROUP BY user_id"""
 )
 def perplexity_of_losses(spark, sf):
     losses = load(spark, sf, "events").select(
-        "user_id", (F.col("value") / 100).alias("loss"), (F.col("event_id") % 7).alias("n_tokens")
+        "user_id", (F.col("value") / 100).alias("loss"), F.floor(F.col("value") / 10).alias("n_tokens")
     )
     return perplexity_of(losses, ["user_id"]).withColumn("perplexity", F.round("perplexity", 6))
 
