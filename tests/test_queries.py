@@ -9,6 +9,13 @@ import pytest
 import __spark_entry__ as registered
 from tools.check import rows_of
 
+TYPES = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
 TABLES = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="tables are not there")
 
@@ -26,7 +33,10 @@ def test_query(spark, sql, name):
     df = registered.queries()[name](spark, TABLES)
     got = df.toPandas()
     assert name in registered.oracle_sql()
-    want = sql.execute(registered.oracle_sql()[name]).fetchdf()
+    text = registered.oracle_sql()[name]
+    types = {r[0]: r[1] for r in sql.execute(f"DESCRIBE {text}").fetchall()}
+    assert {c: TYPES[t] for c, t in df.dtypes} == types
+    want = sql.execute(text).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows_of(got) == rows_of(want)
 
