@@ -61,10 +61,16 @@ def _local_folder() -> str:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh directory below the cluster's shared checkpoint folder.
 
-    Only where the session names no such folder (tests, one machine) is one
-    temporary folder made for the process.
+    The cluster names the shared folder in ``spark.checkpoint.dir``. A session
+    on one machine (``local[...]``) may leave it out and gets a temporary
+    folder for the process; anywhere else its absence is an error, because
+    executors do not see each other's disks.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_folder()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
