@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import mixing, quality_rules, urlfilter
+from corvane.llm import mixing, packing, quality_rules, simhash, urlfilter
 from corvane.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
 
+TOKENIZER = "word_bpe_49k.json"
+
 RULES = [
     ("net/", "block"),
     ("example.net/en/", "allow"),
@@ -152,3 +155,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+@query()
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.grouped(documents(spark, sf_dir))
+
+
+@query()
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.packed(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
