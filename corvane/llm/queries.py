@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import mixing, packing, quality_rules, simhash, urlfilter
+from corvane.llm import mixing, neighbours, packing, quality_rules, simhash, urlfilter
 from corvane.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,3 +167,25 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
     return packing.packed(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
+@query(
+    r"""
+WITH valid AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+  FROM valid q JOIN valid c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 10
+"""
+)
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(rows, F.col("vec_id") % 100 == 0)
