@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import mixing, neighbours, packing, quality_rules, simhash, urlfilter
+from corvane.llm import licenses, mixing, neighbours, packing, quality_rules, simhash, urlfilter
 from corvane.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,3 +189,9 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth one."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return neighbours.nearest(rows, F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of every document."""
+    return licenses.licenses(documents(spark, sf_dir))
