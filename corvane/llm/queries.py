@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import licenses, mixing, neighbours, packing, quality_rules, simhash, urlfilter
-from corvane.llm.common import documents
+from corvane.llm import language, licenses, mixing, neighbours, packing, quality_model, quality_rules, simhash, urlfilter
+from corvane.llm.common import documents, fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -195,3 +195,22 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels of every document."""
     return licenses.licenses(documents(spark, sf_dir))
+
+
+@query()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a fifth of them, by id, is never learned from."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    models = language.fit(docs, ~held_out)
+    return language.identify(docs, models, ["doc_id"]).withColumn("held_out", held_out)
+
+
+@query()
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a quarter of them, by id, is never learned from."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    voters = quality_model.fit(docs, labels, ~held_out)
+    return quality_model.score(docs, voters, ["doc_id"]).withColumn("held_out", held_out)
