@@ -251,12 +251,15 @@ def _calibrate(models: Models, sample: DataFrame) -> None:
 
 
 def _scored(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
-    """``keep`` and ``best, entropy, score, letters, limit`` of every document."""
+    """``keep`` and ``best, entropy, score, letters, limit`` of every document with its ``text``."""
     sent = docs.sparkSession.sparkContext.broadcast(models)
-    picked = docs.select(*keep, F.col("text").alias("_text"))
+    columns = [*dict.fromkeys([*keep, "text"])]
+    place = columns.index("text")
+    picked = docs.select(*columns)
     kinds = dict(picked.dtypes)
     added = "best string, entropy double, score double, letters long, limit double"
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", " + added
+    names = [*keep, *[c.split()[0] for c in added.split(", ")]]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = sent.value
@@ -264,7 +267,7 @@ def _scored(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
 
         def groups() -> Iterator[list[bytes]]:
             for batch in batches:
-                for first, texts in text_groups(batch.column(len(keep))):
+                for first, texts in text_groups(batch.column(place)):
                     held.append((batch, first))
                     yield texts
 
@@ -278,32 +281,36 @@ def _scored(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
             if models.mean is not None:
                 room = np.maximum(ROOM, 1.5 * models.spread[best] / np.sqrt(np.maximum(length, 1)))
                 limit = models.mean[best] + room
-            names = [None if n else models.languages[b] for n, b in zip(none, best)]
-            columns = [c.slice(first, len(found)) for c in batch.columns[: len(keep)]]
-            columns += [
-                pa.array(names, pa.string()),
+            out = [c.slice(first, len(found)) for c in batch.columns[: len(keep)]]
+            out += [
+                pa.array([None if n else models.languages[b] for n, b in zip(none, best)], pa.string()),
                 pa.array(least),
                 pa.array(np.where(none, 0.0, 1 / rest)),
                 pa.array(length),
                 pa.array(limit),
             ]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, *[c.split()[0] for c in added.split(", ")]])
+            yield pa.RecordBatch.from_arrays(out, names)
 
     return picked.mapInArrow(look, schema)
 
 
-def identify(docs: DataFrame, models: Models, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` and ``lang_pred, score, entropy, letters, rejected`` of every document."""
-    body = docs.withColumn("text", F.col(text)) if text != "text" else docs
+def identify(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
+    """``keep`` and ``lang_pred, score, entropy, letters, rejected`` of every document with its ``text``."""
     if not models.languages:
         none = F.lit(0.0)
-        return body.select(
+        return docs.select(
             *keep, F.lit("und").alias("lang_pred"), none.alias("score"), none.alias("entropy"),
             F.lit(0).cast("long").alias("letters"), F.lit(True).alias("rejected"),
         )
-    scored = _scored(body, models, keep)
     rejected = F.col("best").isNull() | (F.col("entropy") > F.col("limit"))
-    return scored.select(
+    return _scored(docs, models, keep).select(
         *keep, F.coalesce("best", F.lit("und")).alias("lang_pred"), "score", "entropy", "letters",
         rejected.alias("rejected"),
     )
+
+
+def identified(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
+    """The documents that are not rejected, all columns as they are, whatever their names."""
+    held = [f"_{i}" if c != text else "text" for i, c in enumerate(docs.columns)]
+    kept = identify(docs.toDF(*held), models, held).filter(~F.col("rejected"))
+    return kept.select(*held).toDF(*docs.columns)

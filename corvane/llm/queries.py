@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import language, licenses, mixing, neighbours, packing, quality_model, quality_rules, simhash, urlfilter
+from corvane.llm import language, licenses, mixing, neighbours, packing, quality_model, quality_rules, simhash, toolcalls, urlfilter
 from corvane.llm.common import documents, fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,3 +215,65 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of(F.col("doc_id"), 4) == 2
     voters = quality_model.fit(docs, labels, ~held_out)
     return quality_model.score(docs, voters, ["doc_id"]).withColumn("held_out", held_out)
+
+
+TOOLS = {
+    "answer": {
+        "type": "object",
+        "required": ["question", "turn"],
+        "properties": {
+            "question": {"type": "string", "minLength": 20},
+            "turn": {"type": "integer", "minimum": 0},
+        },
+        "additionalProperties": False,
+    }
+}
+
+
+@query(
+    r"""
+WITH m AS (
+  SELECT *, conv_id || ':' || turn AS own, conv_id || ':' || (turn - 1) AS asked,
+         coalesce(text, '') AS body
+  FROM conversations)
+SELECT a.conv_id, a.turn, a.role,
+       CASE a.role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'plain' END AS kind,
+       CASE a.role WHEN 'user' THEN a.own WHEN 'assistant' THEN a.asked END AS call_id,
+       coalesce(b.turn, -1) AS linked_turn,
+       CASE a.role WHEN 'user' THEN CASE WHEN b.turn IS NULL THEN 'unanswered' ELSE 'answered' END
+                   WHEN 'assistant' THEN CASE WHEN b.turn IS NULL THEN 'orphan' ELSE 'linked' END
+                   ELSE 'plain' END AS status,
+       CASE WHEN a.role = 'user' AND length(a.body) < 20 THEN '$.question: wrong length' ELSE '' END AS errors,
+       a.turn AS order_at, 0 AS order_depth,
+       CASE a.role
+         WHEN 'user' THEN '{"content":null,"role":"user","tool_calls":[{"arguments":{"question":' || to_json(a.body)
+              || ',"turn":' || a.turn || '},"id":"' || a.own || '","name":"answer"}]}'
+         WHEN 'assistant' THEN '{"content":' || to_json(a.body) || ',"role":"assistant","tool_call_id":"' || a.asked || '"}'
+         ELSE '{"content":' || to_json(a.body) || ',"role":' || to_json(a.role) || '}' END AS json
+FROM m a
+LEFT JOIN m b ON a.conv_id = b.conv_id
+  AND ((a.role = 'user' AND b.role = 'assistant' AND b.asked = a.own)
+    OR (a.role = 'assistant' AND b.role = 'user' AND b.own = a.asked))
+"""
+)
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dialogues as tool traffic, linked, ordered, validated and in canonical JSON.
+
+    A user's message calls the tool ``answer``, and the assistant's next message
+    is the result of that call; both are written as JSON texts first.
+    """
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    body, own = F.coalesce("text", F.lit("")), F.concat_ws(":", "conv_id", "turn")
+    asked = F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1)
+    arguments = F.struct(body.alias("question"), F.col("turn"))
+    call = F.struct(own.alias("id"), F.lit("answer").alias("name"), arguments.alias("arguments"))
+    text = (
+        F.when(F.col("role") == "user", F.to_json(F.struct(F.array(call).alias("tool_calls"))))
+        .when(F.col("role") == "assistant", F.to_json(F.struct(asked.alias("tool_call_id"), body.alias("content"))))
+        .otherwise(F.col("text"))
+    )
+    found = toolcalls.linked(table.select("conv_id", "turn", "role", text.alias("text")), TOOLS)
+    return found.withColumn("linked_turn", F.coalesce("linked_turn", F.lit(-1)))
+
+
+QUERIES["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
