@@ -38,7 +38,8 @@ def _bigrams(df: DataFrame, text: str, max_tokens: int | None = None) -> DataFra
 def fit_ngram(df: DataFrame, text: str = "text", k: float = 1.0) -> Bigrams:
     """Count the corpus's bigrams; counts combine before the shuffle.
 
-    Fitting reads the corpus once: the counts are stored, scoring reads them.
+    Fitting reads the corpus once, when called: the counts and the size of the
+    vocabulary are stored, scoring reads them.
     """
     pairs = (
         _bigrams(df, text).select(F.explode("bigrams").alias("b"))
@@ -48,17 +49,23 @@ def fit_ngram(df: DataFrame, text: str = "text", k: float = 1.0) -> Bigrams:
     pairs = staged(pairs, "bigrams")
     contexts = staged(pairs.groupBy("w1").agg(F.sum("n").alias("n")), "contexts")
     vocabulary = pairs.select("w2").distinct().agg((F.count(F.lit(1)) + 1).alias("v"))
+    vocabulary = staged(vocabulary, "vocabulary-size")
     return Bigrams(pairs, contexts, vocabulary, k)
 
 
 def lookup_counts(df: DataFrame, counts: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """Left join of a count table (unique keys, count ``n``) that frequent keys cannot skew.
-
-    The most frequent keys, a fixed number of rows, are broadcast. In the second
-    join a row's place is the hash of its keys, but for rows already answered the
-    hash of the whole row: those are spread out and match nothing. What is left
-    to meet there are keys that are rare by construction.
+    """Left join of a stored count table (unique keys, count ``n``) that frequent keys cannot skew.
+
+    The different keys asked for, combined before their shuffle, cut the table
+    down first; Spark broadcasts them when they are few, and then the counts of
+    a whole corpus are read for a handful of texts without a shuffle. Of what is
+    left the most frequent keys, a fixed number of rows, are broadcast. In the
+    last join a row's place is the hash of its keys, but for rows already
+    answered the hash of the whole row: those are spread out and match nothing.
+    What is left to meet there are keys that are rare by construction.
     """
+    asked = df.select(*keys).distinct()
+    counts = staged(counts.join(asked, keys, "left_semi"), "asked-counts")
     hot = most_frequent(counts, HOT_ROWS, "n", *keys)
     hot = hot.select(*keys, F.col("n").alias("_hot"))
     home = F.xxhash64(*keys)
@@ -78,13 +85,13 @@ def ngram_nll(
     model: Bigrams,
     *keys: str,
     text: str = "text",
-    max_tokens: int | None = 128,
+    max_tokens: int | None = None,
 ) -> DataFrame:
     """Per text: ``n_tokens``, summed ``nll`` and mean ``loss`` under the model.
 
     ``keys`` tell the texts apart (further columns to keep may be among them).
-    ``max_tokens`` cuts every text as the scoring of generated text does; give
-    None to score whole texts.
+    Whole texts are scored; ``max_tokens`` cuts every text, as a model with a
+    short context would.
     """
     rows = _bigrams(df, text, max_tokens).select(*keys, F.explode_outer("bigrams").alias("b"))
     rows = rows.select(*keys, "b.w1", "b.w2")

@@ -4,31 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, types as T
 
-from corvane.operators.tokens import map_batches
+from corvane.operators.tokens import map_texts
 
 
 def _add_column(
     df: DataFrame,
-    make: Callable[[], Callable[[Sequence[str]], Sequence]],
+    make: Callable[[], Callable[[Sequence[str | None]], Sequence]],
     source: str,
     name: str,
     kind: T.DataType,
     batch_size: int,
 ) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
-
     def make_fn():
         model = make()
 
-        def fn(frame: pd.DataFrame) -> pd.DataFrame:
-            return frame.assign(**{name: list(model(frame[source].tolist()))})
+        def fn(texts: list[str | None]) -> list[list]:
+            given = [t for t in texts if t is not None]
+            made = iter(model(given) if given else [])
+            return [[None if t is None else next(made) for t in texts]]
 
         return fn
 
-    return map_batches(df, make_fn, schema, batch_size)
+    return map_texts(df, make_fn, source, [T.StructField(name, kind)], batch_size)
 
 
 def predict(
@@ -37,7 +36,10 @@ def predict(
     prompt: str = "prompt",
     batch_size: int = 16,
 ) -> DataFrame:
-    """Add ``prediction`` for every prompt; the model sees ``batch_size`` prompts at once."""
+    """Add ``prediction`` for every prompt; the model sees at most ``batch_size`` prompts at once.
+
+    A NULL prompt has a NULL prediction and is not shown to the model.
+    """
     return _add_column(df, make_predict_fn, prompt, "prediction", T.StringType(), batch_size)
 
 
@@ -48,6 +50,6 @@ def embed_tokens(
     out: str,
     batch_size: int = 16,
 ) -> DataFrame:
-    """Add one vector per token of a text, for ``greedy_match``."""
+    """Add one vector per token of a text, for ``greedy_match``; NULL for a NULL text."""
     kind = T.ArrayType(T.ArrayType(T.FloatType()))
     return _add_column(df, make_encoder, text, out, kind, batch_size)

@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions.text import seeded_hash
+from corvane.operators.joins import join_same
 
+RANKED = 1000  # rows of a group up to which Spark limits ranks before a shuffle
 DIGITS = 3  # hexadecimal digits per histogram: 4,096 groups
 
 
@@ -75,17 +77,43 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.filter(seeded_hash(F.col(key), seed) <= bound)
 
 
+def _place_by(counts: DataFrame, by: list[str], group: str) -> DataFrame:
+    """Per group of ``by``, the one place that holds the row of rank ``rank``, and its rank there."""
+    upto = F.sum("rows").over(Window.partitionBy(*by).orderBy(group))
+    before = counts.withColumn("before", upto - F.col("rows"))
+    here = (F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("rows"))
+    return before.filter(here).select(*by, group, (F.col("rank") - F.col("before")).alias("rank"))
+
+
+def _bounds_by(hashed: DataFrame, by: list[str], n: int) -> DataFrame:
+    """``by..., bound``: the digest of rank ``n`` in every group that has so many rows."""
+    first, second = F.substring("digest", 1, DIGITS), F.substring("digest", 1 + DIGITS, DIGITS)
+    rows = F.count(F.lit(1)).alias("rows")
+    level1 = hashed.groupBy(*by, first.alias("head")).agg(rows).withColumn("rank", F.lit(n).cast("long"))
+    spot1 = _place_by(level1, by, "head")
+    inside = join_same(hashed.withColumn("head", first), spot1, [*by, "head"])
+    level2 = inside.groupBy(*by, "head", "rank", second.alias("next")).agg(rows)
+    spot2 = _place_by(level2, [*by, "head"], "next")
+    last = join_same(inside.drop("rank").withColumn("next", second), spot2, [*by, "head", "next"])
+    level3 = last.groupBy(*by, "head", "next", "rank", "digest").agg(rows)
+    return _place_by(level3, [*by, "head", "next"], "digest").select(*by, F.col("digest").alias("bound"))
+
+
 def sample_n_by(df: DataFrame, by: list[str], key: str, n: int, seed: int) -> DataFrame:
-    """Exactly ``n`` rows of every group (all of a smaller one), for ``n`` up to 1,000.
+    """Exactly ``n`` rows of every group (all of a smaller one).
 
-    Up to that rank Spark applies the filter before the shuffle as well, so no
-    group, however large, meets in one task.
+    Up to 1,000 Spark ranks the rows and applies the limit before the shuffle as
+    well; beyond that a bound per group comes from histograms of the digests, as
+    in ``sample_n``. Either way no group, however large, meets in one task, and
+    the same rows are drawn.
     """
-    if n > 1000:
-        raise ValueError("sample_n_by takes at most 1,000 rows per group; use sample_n on one group")
-    order = Window.partitionBy(*by).orderBy(seeded_hash(F.col(key), seed))
-    ranked = df.withColumn("_rank", F.row_number().over(order))
-    return ranked.filter(F.col("_rank") <= n).drop("_rank")
+    digest = seeded_hash(F.col(key), seed)
+    if n <= RANKED:
+        ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(digest)))
+        return ranked.filter(F.col("_rank") <= n).drop("_rank")
+    bounds = _bounds_by(df.select(*by, digest.alias("digest")), by, n)
+    kept = join_same(df, bounds, by, "left")
+    return kept.filter(F.col("bound").isNull() | (digest <= F.col("bound"))).drop("bound")
 
 
 def train_eval_split(

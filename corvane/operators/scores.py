@@ -80,18 +80,9 @@ def profile_scores(df: DataFrame, by: Sequence[str], metrics: dict[str, str], pe
     return df.select(*by, F.inline(F.array(*entries)))
 
 
-def _small(weights: DataFrame, most: int = 1000) -> DataFrame:
-    """The weights, broadcast; the job fails if they are more than a handful."""
-    rows = F.count(F.lit(1)).over(Window.partitionBy())
-    checked = F.when(rows <= most, F.col("weight")).otherwise(
-        F.raise_error(F.lit(f"more than {most} weights")).cast("double")
-    )
-    return F.broadcast(weights.withColumn("weight", checked))
-
-
 def attach_weights(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """Add each metric's weight, 0 where there is none."""
-    return scores.join(_small(weights), "metric", "left").withColumn(
+    return scores.join(weights, "metric", "left").withColumn(
         "weight", F.coalesce("weight", F.lit(0.0))
     )
 
@@ -106,7 +97,7 @@ def breakdown(
     """
     clamped = scores.withColumn("score", clamp_score(F.col("score")))
     if profile is None:
-        rows = clamped.join(_small(weights), ["profile", "metric"])
+        rows = clamped.join(weights, ["profile", "metric"])
         keep = [*by, "profile"]
     else:
         rows = attach_weights(clamped, weights.filter(F.col("profile") == profile).drop("profile"))

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions import fixed
-from corvane.operators.ordered import CHUNK, Running, running
+from corvane.operators.ordered import CHUNK, Running, running, sparse_chunks
 
 
 def parse_log(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -58,11 +58,15 @@ def early_stop(
     size: int = CHUNK,
 ) -> DataFrame:
     """First step at which ``patience`` evaluations in a row brought no gain
-    above ``threshold`` over the best value before them; NULL if none."""
+    above ``threshold`` over the best value before them; NULL if none.
+
+    Steps may be any distance apart and runs of any length. The metric's rows are
+    stored in chunks first, so the metrics themselves are read twice.
+    """
     sign = 1 if lower else -1
-    rows = metrics.filter(F.col("metric") == metric).withColumn("_v", F.col("value") * sign)
+    rows = metrics.filter(F.col("metric") == metric).select(*by, "step", (F.col("value") * sign).alias("_v"))
     rows = running(
-        rows,
+        sparse_chunks(rows, by, "step", size),
         by,
         "step",
         {
@@ -74,9 +78,7 @@ def early_stop(
     gain = F.col("_best").isNull() | (
         (F.col("_v") < F.col("_best")) & (F.abs(F.col("_v") - F.col("_best")) > threshold)
     )
-    rows = running(
-        rows, by, "step", {"_last_gain": Running("max", F.when(gain, F.col("_index")))}, size
-    )
+    rows = running(rows, by, "step", {"_last_gain": Running("max", F.when(gain, F.col("_index")))})
     waited = F.col("_index") - F.col("_last_gain")
     stop = F.min(F.when(waited >= patience, F.col("step")))
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("evaluations"), stop.alias("stop_step"))
@@ -96,7 +98,8 @@ def loss_gap(
         F.max(F.when(F.col("metric") == train, F.col("value"))).alias("_train"),
         F.max(F.when(F.col("metric") == evaluation, F.col("value"))).alias("eval_loss"),
     )
-    rows = running(rows, by, "step", {"train_loss": Running("last", F.col("_train"))}, size)
+    rows = sparse_chunks(rows, by, "step", size)
+    rows = running(rows, by, "step", {"train_loss": Running("last", F.col("_train"))})
     gap = F.col("eval_loss") - F.col("train_loss")
     return rows.filter(F.col("eval_loss").isNotNull()).select(
         *by, "step", "train_loss", "eval_loss", gap.alias("gap"), F.coalesce(gap > limit, F.lit(False)).alias("overfit")

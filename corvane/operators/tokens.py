@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions import fixed
 from corvane.functions.text import word_tokens
 from corvane.operators.once import once
-from corvane.operators.top import most_frequent
+from corvane.operators.top import most_frequent, ranked
+from corvane.session import staged
 
-# A vocabulary travels to every task, so its size has a hard bound.
+# A vocabulary up to this size is looked up in place; what is beyond it by a join.
 MAX_VOCAB = 1 << 18
 SLOTS = 1 << 15
 
@@ -34,16 +36,18 @@ def fit_vocab(df: DataFrame, size: int, tokens: str = "tokens", min_count: int =
     """The ``size`` most frequent tokens as ``(token, rows, token_id)``.
 
     Ids follow (count descending, token) and start after the pad and unknown
-    ids. Counting combines on the map side, so frequent tokens do no harm.
+    ids. Counting combines on the map side, so frequent tokens do no harm. A
+    vocabulary above ``MAX_VOCAB`` is ranked over many tasks.
     """
-    if size > MAX_VOCAB:
-        raise ValueError(f"vocabulary size {size} is above the bound of {MAX_VOCAB}")
     counts = (
         df.select(F.explode(tokens).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("rows"))
         .filter(F.col("rows") >= min_count)
     )
+    if size > MAX_VOCAB:
+        top = ranked(counts, "token_id", F.desc("rows"), "token").filter(F.col("token_id") <= size)
+        return top.select("token", "rows", (F.col("token_id") + fixed.UNK_ID).cast("int").alias("token_id"))
     top = most_frequent(counts, size, "rows", "token")
     rank = F.row_number().over(Window.orderBy(F.desc("rows"), "token"))
     return top.withColumn("token_id", rank + fixed.UNK_ID)
@@ -62,79 +66,108 @@ def _lookup(vocab: DataFrame) -> DataFrame:
     return slots.join(filled, "slot", "left").agg(maps.alias("slots"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Add ``input_ids``; tokens outside the vocabulary get the unknown id.
-
-    The vocabulary (bounded by ``MAX_VOCAB``) is one scalar value looked up
-    inside each row, so the texts are neither exploded nor shuffled.
-    """
-    bounded = vocab.select("token", "token_id").limit(MAX_VOCAB)
+def _in_place(df: DataFrame, vocab: DataFrame, tokens: str, out: str) -> DataFrame:
+    """Add the tokens' ids, NULL outside ``vocab``, which is one scalar looked up inside each row."""
 
     def token_id(token):
         slot = F.pmod(F.xxhash64(token), F.lit(SLOTS)).cast("int")
-        return F.coalesce(F.get(F.col("_slots"), slot)[token], F.lit(fixed.UNK_ID))
+        return F.get(F.col("_slots"), slot)[token]
+
+    return df.withColumn("_slots", _lookup(vocab).scalar()).withColumn(out, F.transform(tokens, token_id)).drop("_slots")
 
-    return (
-        df.withColumn("_slots", _lookup(bounded).scalar())
-        .withColumn("input_ids", F.transform(tokens, token_id))
-        .drop("_slots")
-    )
 
+def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """Add ``input_ids``; tokens outside the vocabulary get the unknown id.
 
-def map_batches(
+    Counts the vocabulary first. Up to ``MAX_VOCAB`` tokens are one scalar value
+    looked up inside each row: the texts are neither exploded nor shuffled. Of a
+    larger vocabulary the ``MAX_VOCAB`` tokens with the lowest ids (the most
+    frequent ones, as ``fit_vocab`` numbers them) are looked up so; a row's
+    other tokens, each once, meet the rest of the vocabulary in a join.
+    """
+    known = vocab.select("token", "token_id")
+    unknown = F.lit(fixed.UNK_ID)
+    if known.limit(MAX_VOCAB + 1).count() <= MAX_VOCAB:
+        found = _in_place(df, known, tokens, "input_ids")
+        return found.withColumn("input_ids", F.transform("input_ids", lambda x: F.coalesce(x, unknown)))
+
+    known = staged(known, "vocabulary")
+    bound = known.orderBy("token_id").limit(MAX_VOCAB).agg(F.max("token_id")).scalar()
+    near, rest = known.filter(F.col("token_id") <= bound), known.filter(F.col("token_id") > bound)
+    # Stored, so that a row keeps its number whichever way it is read.
+    rows = staged(_in_place(df, near, tokens, "_near").withColumn("_row", F.monotonically_increasing_id()), "encoded")
+    missing = F.filter(F.col(tokens), lambda t, i: F.get("_near", i).isNull())
+    asked = rows.select("_row", F.explode(F.array_distinct(missing)).alias("token")).filter(F.col("token").isNotNull())
+    entries = F.map_from_entries(F.collect_list(F.struct("token", "token_id")))
+    far = asked.join(rest, "token").groupBy("_row").agg(entries.alias("_far"))
+    ids = F.transform(tokens, lambda t, i: F.coalesce(F.get("_near", i), F.col("_far")[t], unknown))
+    return rows.join(far, "_row", "left").withColumn("input_ids", ids).drop("_row", "_near", "_far")
+
+
+def map_texts(
     df: DataFrame,
-    make_fn: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
-    schema: str | T.StructType,
+    make_fn: Callable[[], Callable[[Sequence[str | None]], Sequence[Sequence]]],
+    text: str,
+    added: list[T.StructField],
     batch_size: int,
+    keep_text: bool = True,
 ) -> DataFrame:
-    """Apply a user function to frames of at most ``batch_size`` rows.
+    """Add columns that a user function makes of one text column.
 
     ``make_fn`` runs once per task, so a model or tokenizer is loaded there and
-    not per batch. Rows never leave their partition.
+    not per batch. The function gets lists of at most ``batch_size`` texts and
+    returns a list per added column. All other columns stay in their Arrow
+    batch, bit by bit; rows never leave their partition. A NULL text reaches
+    the function as None.
     """
+    kept = [f for f in df.schema.fields if keep_text or f.name != text]
+    schema = T.StructType([*kept, *added])
+    kinds = [to_arrow_type(f.dataType) for f in added]
+    names = [f.name for f in kept]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make_fn()
-        for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                yield fn(frame.iloc[start : start + batch_size].reset_index(drop=True))
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                made = fn(part.column(text).to_pylist())
+                arrays = [part.column(n) for n in names]
+                arrays += [pa.array(values, type=kind) for values, kind in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def tokenize_with(
     df: DataFrame,
     make_encoder: Callable[[], Callable[[Sequence[str]], Sequence[Sequence[int]]]],
-    max_length: int,
+    max_length: int | None,
     text: str = "text",
     batch_size: int = 1000,
 ) -> DataFrame:
     """Tokenize with a user encoder (texts -> id lists), cut at ``max_length``.
 
-    Replaces the text by ``input_ids``, ``attention_mask`` and ``n_tokens``.
+    Replaces the text by ``input_ids``, ``attention_mask`` and ``n_tokens``; a
+    NULL text has none of them. The encoder does not see NULL texts.
     """
-    kept = [f for f in df.schema.fields if f.name != text]
     ids = T.ArrayType(T.IntegerType())
-    schema = T.StructType(
-        [
-            *kept,
-            T.StructField("input_ids", ids),
-            T.StructField("attention_mask", ids),
-            T.StructField("n_tokens", T.IntegerType()),
-        ]
-    )
+    added = [
+        T.StructField("input_ids", ids),
+        T.StructField("attention_mask", ids),
+        T.StructField("n_tokens", T.IntegerType()),
+    ]
 
     def make_fn():
         encode_batch = make_encoder()
 
-        def fn(frame: pd.DataFrame) -> pd.DataFrame:
-            encoded = [list(x) for x in encode_batch(frame[text].tolist())]
-            out = frame.drop(columns=[text])
-            out["input_ids"] = [x[:max_length] for x in encoded]
-            out["attention_mask"] = [[1] * min(len(x), max_length) for x in encoded]
-            out["n_tokens"] = [len(x) for x in encoded]
-            return out
+        def fn(texts: list[str | None]) -> list[list]:
+            given = [t for t in texts if t is not None]
+            made = iter([list(x) for x in encode_batch(given)] if given else [])
+            all_ids = [None if t is None else next(made) for t in texts]
+            cut = [None if x is None else x[:max_length] for x in all_ids]
+            masks = [None if x is None else [1] * len(x) for x in cut]
+            return [cut, masks, [None if x is None else len(x) for x in all_ids]]
 
         return fn
 
-    return map_batches(df, make_fn, schema, batch_size)
+    return map_texts(df, make_fn, text, added, batch_size, keep_text=False)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corvane.session import staged
+
+PARTS = 200  # ranges in which a large table is ranked
 STEPS = 8  # histogram groups per doubling of the count
 
 
@@ -23,3 +26,18 @@ def most_frequent(counts: DataFrame, n: int, count: str, *order: str | Column) -
         F.coalesce(F.max(F.when(F.col("reached") >= n, F.col("lowest"))), F.lit(0)).alias("bound")
     )
     return counts.filter(F.col(count) >= bound.scalar()).orderBy(F.desc(count), *order).limit(n)
+
+
+def ranked(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """Add the 1-based rank in an order of all rows, without one task that sees them all.
+
+    Rows are dealt into ranges of the order and stored so; a rank is the place in
+    the range after the rows of earlier ranges, of which there are ``PARTS``.
+    """
+    dealt = df.repartitionByRange(PARTS, *order).withColumn("_part", F.spark_partition_id())
+    dealt = staged(dealt, "ranges")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    upto = F.sum("_rows").over(Window.orderBy("_part"))
+    before = sizes.select("_part", (upto - F.col("_rows")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + place).drop("_part", "_before")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions import fixed
 from corvane.functions.scoring import ppl_score, recommendations
-from corvane.functions.text import strip
+from corvane.functions.text import seeded_hash, strip
 from corvane.operators.ngram import Bigrams, ngram_nll
 from corvane.operators.sampling import sample_n_by
 from corvane.operators.examples import min_chars
@@ -43,7 +43,7 @@ def text_perplexity(
     by: Sequence[str],
     sample: int | None = None,
     seed: int = 42,
-    max_tokens: int | None = 128,
+    max_tokens: int | None = None,
 ) -> DataFrame:
     """Perplexity per run of a text column, optionally of a seeded sample per run."""
     used = min_chars(texts, text)
@@ -57,15 +57,16 @@ def run_perplexities(
     model: Bigrams,
     key: str,
     by: Sequence[str] = ("run_id",),
-    sample: int | None = 128,
+    sample: int | None = None,
     seed: int = 42,
-    max_tokens: int | None = 128,
+    max_tokens: int | None = None,
 ) -> DataFrame:
     """``perplexity_generated`` and ``perplexity_reference`` of every run.
 
-    Predictions below five characters are left out. Both sides are sampled on
-    their own and scored in one pass, so the model's counts are joined once.
-    ``sample=None`` takes every text.
+    Predictions below five characters are left out. Both sides are scored in one
+    pass, so the model's counts are joined once. All texts are taken;
+    ``sample`` draws at most so many generated ones of a run, and as many
+    references as there are generated ones in the draw.
     """
     by = list(by)
     sides = F.array(
@@ -78,7 +79,12 @@ def run_perplexities(
     texts = texts.filter((F.col("side") == "reference") | (F.length(strip(F.col("text"))) >= 5))
     if sample is not None:
         named = texts.withColumn("_name", F.concat_ws(":", "side", F.col(key).cast("string")))
-        texts = sample_n_by(named, [*by, "side"], "_name", sample, seed).drop("_name")
+        drawn = sample_n_by(named, [*by, "side"], "_name", sample, seed)
+        # A run has at most ``sample`` rows of a side here.
+        size = F.count_if(F.col("side") == "generated").over(Window.partitionBy(*by))
+        place = F.row_number().over(Window.partitionBy(*by, "side").orderBy(seeded_hash(F.col("_name"), seed)))
+        drawn = drawn.withColumn("_size", size).withColumn("_place", place)
+        texts = drawn.filter(F.col("_place") <= F.col("_size")).drop("_name", "_size", "_place")
     losses = ngram_nll(texts, model, key, *by, "side", max_tokens=max_tokens)
     found = perplexity(losses, [*by, "side"])
 

@@ -20,7 +20,7 @@ from suite.registry import query
 
 
 @query(
-    f"""SELECT conv_id, turn // 4096 AS part, COUNT(*) AS turns,
+    f"""SELECT conv_id, 0::BIGINT AS part, COUNT(*) AS turns,
       trim(string_agg('### ' || upper(role[1]) || lower(role[2:]) || E':\\n' || text, E'\\n\\n' ORDER BY turn), {WS}) AS text
     FROM conversations GROUP BY ALL"""
 )
@@ -83,8 +83,7 @@ SYSTEM = "Answer briefly."
 
 
 @query(
-    f"""WITH {CHAT_SQL} SELECT conv_id, turn, prompt_tokens,
-      CASE WHEN prompt_tokens <= 1948 THEN prompt END AS prompt FROM counted"""
+    f"WITH {CHAT_SQL} SELECT conv_id, turn, prompt_tokens, prompt FROM counted"
 )
 def chat_prompt(spark, sf):
     return chat_prompts(load(spark, sf, "conversations"), SYSTEM)
@@ -118,8 +117,8 @@ def context_budget(spark, sf):
     WHERE quits = 0 AND text NOT IN ('', 'clear', 'context', 'save')"""
 )
 def history_segments(spark, sf):
-    # Event numbers run through the whole table, so a chunk is a long stretch of them.
-    return segments(commands(spark, sf), size=1 << 20)
+    # Event numbers run through the whole table: far apart in a session.
+    return segments(commands(spark, sf))
 
 
 @query(
@@ -142,3 +141,60 @@ def converse(spark, sf):
 
     out = answer_turns(load(spark, sf, "conversations"), make_predict_fn, SYSTEM)
     return out.select("conv_id", "turn", "prediction")
+
+
+SESSION_SQL = f"""
+said AS (
+  SELECT conv_id, turn, role, CASE
+      WHEN role = 'user' AND (conv_id * 7 + turn) % 11 = 4 THEN ' Clear'
+      WHEN role = 'user' AND (conv_id * 5 + turn) % 7 = 2 THEN 'context'
+      WHEN role = 'user' AND (conv_id * 3 + turn) % 29 = 6 THEN 'QUIT '
+      WHEN role = 'assistant' AND (conv_id + turn) % 13 = 1 THEN 'clear' ELSE text END AS text
+  FROM conversations
+),
+turns AS (
+  SELECT conv_id, turn, role, trim(text, {WS}) AS u, lead(role) OVER w AS next_role, trim(lead(text) OVER w, {WS}) AS next_text
+  FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+),
+marked AS (
+  SELECT conv_id, turn, u, CASE WHEN next_role = 'assistant' THEN next_text END AS a, lower(u) AS word,
+    SUM(CASE WHEN lower(u) = 'clear' THEN 1 ELSE 0 END) OVER w AS segment,
+    SUM(CASE WHEN lower(u) = 'context' THEN 1 ELSE 0 END) OVER w AS toggles,
+    SUM(CASE WHEN lower(u) = 'quit' THEN 1 ELSE 0 END) OVER w AS quits
+  FROM turns WHERE role = 'user' AND length(u) > 0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+),
+told AS (
+  SELECT *, string_agg(CASE WHEN a IS NOT NULL THEN 'User: ' || u || E'\\nAssistant: ' || a || E'\\n\\n' END, '')
+    OVER (PARTITION BY conv_id, segment ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h
+  FROM marked WHERE quits = 0 AND word NOT IN ('clear', 'context')
+),
+asked AS (
+  SELECT conv_id, turn, segment, E'System: Answer briefly.\\n\\n' || CASE WHEN toggles % 2 = 0 THEN coalesce(h, '') ELSE '' END
+    || 'User: ' || u || E'\\nAssistant:' AS prompt FROM told
+)"""
+
+
+def session_messages(spark, sf):
+    """The conversations with commands among the user's turns, and replies that look like commands."""
+    user, reply = F.col("role") == "user", F.col("role") == "assistant"
+    conv, turn = F.col("conv_id"), F.col("turn")
+    text = (
+        F.when(user & ((conv * 7 + turn) % 11 == 4), " Clear")
+        .when(user & ((conv * 5 + turn) % 7 == 2), "context")
+        .when(user & ((conv * 3 + turn) % 29 == 6), "QUIT ")
+        .when(reply & ((conv + turn) % 13 == 1), "clear")
+        .otherwise(F.col("text"))
+    )
+    return load(spark, sf, "conversations").withColumn("text", text)
+
+
+@query(
+    f"""WITH {SESSION_SQL} SELECT conv_id, turn, CAST(segment AS BIGINT) AS segment, reverse(prompt) AS prediction FROM asked
+    WHERE len(regexp_extract_all(prompt, {WORDS})) <= 1948"""
+)
+def converse_commands(spark, sf):
+    def make_predict_fn():
+        return lambda prompts: [p[::-1] for p in prompts]
+
+    out = answer_turns(session_messages(spark, sf), make_predict_fn, SYSTEM)
+    return out.select("conv_id", "turn", "segment", "prediction")

@@ -22,7 +22,6 @@ from corvane.operators.telemetry import (
 from suite.inputs import LISTING_SQL, LOG_SQL, METRICS_SQL, listing, log_lines, metric_rows
 from suite.registry import query
 
-STRETCH = 1 << 20  # event numbers run through the whole table
 
 
 def _files(spark, sf):
@@ -101,7 +100,7 @@ def best_step(spark, sf):
     SELECT run, COUNT(*) AS evaluations, MIN(CASE WHEN i - last_gain >= 3 THEN step END) AS stop_step FROM g GROUP BY run"""
 )
 def early_stop(spark, sf):
-    return stop(metric_rows(spark, sf), "eval_loss", 3, 0.001, size=STRETCH)
+    return stop(metric_rows(spark, sf), "eval_loss", 3, 0.001)
 
 
 @query(
@@ -112,7 +111,7 @@ def early_stop(spark, sf):
       coalesce(value - train_loss > 0.5, false) AS overfit FROM m WHERE metric = 'eval_loss'"""
 )
 def loss_gap(spark, sf):
-    return gap(metric_rows(spark, sf), size=STRETCH).withColumn("gap", F.round("gap", 6))
+    return gap(metric_rows(spark, sf)).withColumn("gap", F.round("gap", 6))
 
 
 @query(f"WITH {LOG_SQL} SELECT run, ts, 'INFO' AS level, step, metric, value FROM log_metrics")

@@ -23,7 +23,6 @@ from suite.inputs import PAIRS_SQL, WORDS, WS, dialog_pairs, load, predictions
 from suite.registry import query
 
 VOCAB = 2000  # size of the fitted vocabulary
-MAX_LENGTH = 512  # the tokenizer's own truncation
 
 TOKENS_SQL = f"""
 tok AS (SELECT doc_id, lang, regexp_extract_all(text, {WORDS}) AS tokens FROM documents)"""
@@ -54,7 +53,7 @@ encoded AS (
 
 
 BATCH_SQL = (
-    encoded_sql(MAX_LENGTH)
+    encoded_sql(None)
     + """,
 sized AS (SELECT doc_id, ids, len(ids) AS n_ids FROM encoded),
 total AS (SELECT COUNT(*) AS n, least(greatest(COUNT(*) // 64, 1), 50) AS m FROM sized),
@@ -84,7 +83,7 @@ def _encoded(spark, sf, cut):
 
 
 def _batched(spark, sf):
-    ids = _encoded(spark, sf, MAX_LENGTH).select("doc_id", "input_ids")
+    ids = _encoded(spark, sf, None).select("doc_id", "input_ids")
     return group_lengths(staged(ids, "ids"), "doc_id", 16)
 
 

@@ -13,11 +13,13 @@ from corvane.operators.conversations import (
     export_transcript,
     history_prompts,
     history_segments,
+    session_turns,
     to_messages,
     turn_pairs,
 )
-from corvane.operators.ordered import Running, next_row, running
+from corvane.operators.ordered import Running, next_row, running, sparse_chunks
 from corvane.operators.scores import retention
+from corvane.plans.converse import converse
 from corvane.operators.telemetry import best_step, early_stop, loss_gap
 
 SIZES = [2, 3, 7, 4096]
@@ -129,7 +131,7 @@ def test_chat_prompts(table, rows, size, limit):
         history = "System: Be brief.\n\n"
         for turn, user, answer in session(turns):
             prompt = f"{history}User: {user}\nAssistant:"
-            fits = count(prompt) <= limit - 10
+            fits = count(prompt) <= max(limit * 0.7, limit - 10)
             refused += not fits
             want[conv, turn] = (count(prompt), prompt if fits else None)
             if answer is not None:
@@ -138,6 +140,78 @@ def test_chat_prompts(table, rows, size, limit):
     assert bool(refused) == (limit == 30)
 
 
+def test_every_prompt_has_its_text_without_a_limit(spark):
+    rows = [(1, t, ("user", "assistant")[t % 2], f"word{t} " * 40) for t in range(120)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_prompts(df, size=16)
+    assert out.count() == 60 and out.filter("prompt IS NULL").isEmpty()
+    told = context_budget(chat_prompts(df, limit=1000, min_left=500, size=16), limit=1000, min_left=500)
+    assert told.filter("(prompt IS NULL) <> (status = 'rejected')").isEmpty()
+    assert {"ok", "rejected"} <= {r["status"] for r in told.collect()}
+
+
+def test_a_long_conversation_is_one_row(spark):
+    df = spark.range(5000).selectExpr("7L AS conv_id", "id AS turn", "'user' AS role", "'hi' AS text")
+    row = to_messages(df).collect()
+    assert len(row) == 1 and len(row[0]["messages"]) == 5000
+    script = export_transcript(df.withColumn("role", F.expr("if(turn % 2 = 0, 'user', 'assistant')")), "m", "d")
+    assert script.count() == 1 and script.first()["transcript"].count("User: ") == 2500
+
+
+def test_session_commands(spark):
+    said = [
+        ("user", "hi"), ("assistant", "exit"), ("user", "more"), ("assistant", "yes"), ("user", "Context "),
+        ("assistant", "noted"), ("user", "alone"), ("assistant", "a"), ("user", "context"), ("user", "again"),
+        ("assistant", "b"), ("user", "clear"), ("user", "new"), ("assistant", "c"), ("user", "last"), ("user", "quit"),
+        ("user", "gone"),
+    ]
+    df = spark.createDataFrame([(1, t, *x) for t, x in enumerate(said)], "conv_id long, turn long, role string, text string")
+    turns = session_turns(df).collect()
+    assert [(r["user"], r["assistant"], r["segment"], r["context_on"]) for r in sorted(turns, key=lambda r: r["turn"])] == [
+        ("hi", "exit", 0, True), ("more", "yes", 0, True), ("alone", "a", 0, False), ("again", "b", 0, True),
+        ("new", "c", 1, True), ("last", None, 1, True),
+    ]
+    made = converse(df, lambda: lambda prompts: list(prompts)).orderBy("turn").collect()
+    told = {r["turn"]: r["prediction"] for r in made}
+    assert told[6] == "User: alone\nAssistant:" and "User: alone" in told[9] and told[12] == "User: new\nAssistant:"
+    assert told[9].startswith("User: hi\nAssistant: exit\n\nUser: more") and len(told) == 6
+
+
+@pytest.mark.parametrize("size", [3, 50])
+def test_sparse_order_and_null_keys(spark, size):
+    rnd = random.Random(7)
+    rows = []
+    for run in ("a", None, "b"):
+        # Far apart, and some close together in one place.
+        steps = sorted(rnd.sample(range(-(10**12), 10**12), 150) + list(range(5 * 10**11, 5 * 10**11 + 300)))
+        rows += [(run, step, rnd.random()) for step in dict.fromkeys(steps)]
+    df = spark.createDataFrame(rows, "run string, step long, value double")
+    cut = sparse_chunks(df, ["run"], "step", size)
+    per = cut.groupBy("run", "_chunk").count()
+    assert per.agg(F.max("count")).first()[0] <= 2 * size and per.count() < 3 * 450 / size * 4 + 12
+    got = running(cut, ["run"], "step", {"n": Running("sum", F.lit(1)), "lo": Running("min", F.col("value"))})
+    for run in ("a", None, "b"):
+        own = [r for r in got.collect() if r["run"] == run]
+        least = 9.0
+        for i, r in enumerate(sorted(own, key=lambda r: r["step"]), 1):
+            least = min(least, r["value"])
+            assert (r["n"], r["lo"]) == (i, least)
+
+
+def test_early_stop_is_the_same_without_a_name(spark):
+    values = [5.0, 4.0, 4.1, 4.2, 4.3, 3.0]
+    rows = [(run, i * 10_000, "eval_loss", v) for run in ("a", None) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "run string, step long, metric string, value double")
+    for size in (1, 2, 100):
+        assert {r["stop_step"] for r in early_stop(df, "eval_loss", 3, size=size).collect()} == {40_000}
+
+
+def test_positions_below_zero_are_an_error(spark):
+    df = spark.createDataFrame([(1, -1, "user", "x")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="counts from 0"):
+        turn_pairs(df).collect()
+
+
 def test_chat_without_context(table):
     row = chat_prompts(table, context=False).orderBy("conv_id", "turn").first()
     assert row["prompt"].startswith("User: ") and row["prompt"].endswith("\nAssistant:")
