@@ -87,6 +87,13 @@ def render_input_output(given: Column, output: Column) -> Column:
     )
 
 
+def _told(messages: Column) -> Column:
+    """Role and content of every message as they read: a content given as null reads ``None``."""
+    parts = F.from_json(messages, "array<map<string,string>>")
+    content = lambda m: F.when(F.map_contains_key(m, "content"), shown(m["content"]))
+    return F.transform(parts, lambda m: F.struct(m["role"].alias("role"), content(m).alias("content")))
+
+
 def render_messages(messages: Column) -> Column:
     """Blocks headed by the title-cased role, stripped as a whole."""
     blocks = F.transform(
@@ -138,7 +145,7 @@ def render_record(record: Column, answer_keys: Sequence[str] = ("output",)) -> C
             render_prompt_completion(record["prompt"], record["completion"]),
         )
         .when(has(record, "input", "output"), render_input_output(record["input"], record["output"]))
-        .when(is_list(record, "messages"), render_messages(F.from_json(record["messages"], MESSAGES_TYPE)))
+        .when(is_list(record, "messages"), render_messages(_told(record["messages"])))
         .when(
             is_list(record, "conversation"),
             render_conversation(F.from_json(record["conversation"], "array<string>")),

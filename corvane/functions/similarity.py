@@ -48,6 +48,9 @@ def rouge_l(prediction: Column, reference: Column) -> Column:
     return _overlap(overlap_words(prediction), overlap_words(reference))
 
 
+BLOCK = 4096  # vectors of a side whose cosines are held at a time
+
+
 def _unit_rows(vectors) -> np.ndarray:
     matrix = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -61,8 +64,14 @@ def _greedy(left: pd.Series, right: pd.Series) -> pd.DataFrame:
         if a is None or b is None or len(a) == 0 or len(b) == 0:
             rows.append((0.0, 0.0, 0.0))
             continue
-        cosine = _unit_rows(a) @ _unit_rows(b).T
-        p, r = float(cosine.max(axis=1).mean()), float(cosine.max(axis=0).mean())
+        rows_a, rows_b = _unit_rows(a), _unit_rows(b)
+        best_a, best_b = np.full(len(rows_a), -np.inf), np.full(len(rows_b), -np.inf)
+        for i in range(0, len(rows_a), BLOCK):
+            for j in range(0, len(rows_b), BLOCK):
+                cosine = rows_a[i : i + BLOCK] @ rows_b[j : j + BLOCK].T
+                best_a[i : i + BLOCK] = np.maximum(best_a[i : i + BLOCK], cosine.max(axis=1))
+                best_b[j : j + BLOCK] = np.maximum(best_b[j : j + BLOCK], cosine.max(axis=0))
+        p, r = float(best_a.mean()), float(best_b.mean())
         rows.append((p, r, 2 * p * r / (p + r) if p + r != 0 else 0.0))
     return pd.DataFrame(rows, columns=["precision", "recall", "f1"])
 
@@ -70,6 +79,8 @@ def _greedy(left: pd.Series, right: pd.Series) -> pd.DataFrame:
 def greedy_match(prediction: Column, reference: Column) -> Column:
     """Precision, recall and F1 of greedy cosine matching of two vector lists.
 
-    Both columns are ``ARRAY<ARRAY<FLOAT|DOUBLE>>``, one vector per token.
+    Both columns are ``ARRAY<ARRAY<FLOAT|DOUBLE>>``, one vector per token. The
+    cosines are worked out a block at a time, so memory grows with the vectors
+    and not with their pairs.
     """
     return _greedy(prediction, reference)

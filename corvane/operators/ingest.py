@@ -13,6 +13,7 @@ from corvane.operators.once import once
 
 JSON_OPTIONS = {"allowSingleQuotes": "false"}
 RECORD_TYPE = "map<string,string>"
+MARK = "\x01"  # the key of what stands after a line
 
 
 @dataclass(frozen=True)
@@ -31,14 +32,18 @@ class NoRowsError(ValueError):
 def parse_record(line: Column) -> Column:
     """Map from key to value; NULL unless the line is exactly one JSON object.
 
-    The line is read as the only element of a list, which makes text after the
-    object an error. Of a repeated key the last value stands.
+    The line is read as the first of a list's two elements, the second being a
+    mark: whatever closes, continues or follows the object moves the mark from
+    its place or breaks the list. Of a repeated key the last value stands.
     """
-    listed = F.from_json(
-        F.concat(F.lit("["), line, F.lit("]")), f"array<{RECORD_TYPE}>", JSON_OPTIONS
-    )
-    only = let(listed, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
-    return let(only, _last_of_each_key)
+    marked = F.concat(F.lit("["), line, F.lit(',{"\\u0001":"end"}]'))
+    listed = F.from_json(marked, f"array<{RECORD_TYPE}>", JSON_OPTIONS)
+
+    def first(found: Column) -> Column:
+        in_place = F.map_contains_key(F.get(found, F.lit(1)), MARK)
+        return F.when((F.size(found) == 2) & in_place, F.get(found, F.lit(0)))
+
+    return let(let(listed, first), _last_of_each_key)
 
 
 def _last_of_each_key(record: Column) -> Column:
@@ -53,22 +58,31 @@ def _last_of_each_key(record: Column) -> Column:
     return F.when(repeated, F.map_from_entries(last)).otherwise(record)
 
 
-def with_record(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Add ``record`` and ``reason``; the reason is NULL for rows to keep."""
+def with_record(lines: DataFrame, line: str = "line", permissive: bool = True) -> DataFrame:
+    """Add ``record`` and ``reason``; the reason is NULL for rows to keep.
+
+    Permissive ingest, the way out when records do not agree, keeps only the
+    known training shapes; with ``permissive=False`` every object is kept and
+    rendered by whatever shape it has.
+    """
     parsed = once(lines, record=parse_record(F.col(line)))
     record = F.col("record")
     return parsed.withColumn(
         "reason",
-        F.when(record.isNull(), "malformed").when(~accepted(record), "no_known_shape"),
+        F.when(record.isNull(), "malformed").when(
+            F.lit(permissive) & ~accepted(record), "no_known_shape"
+        ),
     )
 
 
-def ingest(lines: DataFrame, line: str = "line", require_rows: bool = False) -> Ingested:
+def ingest(
+    lines: DataFrame, line: str = "line", require_rows: bool = False, permissive: bool = True
+) -> Ingested:
     """Split lines into kept records and rejects, and count both.
 
     ``require_rows`` runs a query to make sure that something is kept.
     """
-    tagged = with_record(lines, line)
+    tagged = with_record(lines, line, permissive)
     good = tagged.filter(F.col("reason").isNull()).drop("reason", line)
     rejects = tagged.filter(F.col("reason").isNotNull()).drop("record")
     if require_rows and good.isEmpty():

@@ -160,6 +160,20 @@ def summarise(rows: DataFrame, metrics: DataFrame, by: Sequence[str]) -> DataFra
     )
 
 
+def identify_runs(
+    summaries: DataFrame, model: str, adapters: Sequence[str], dataset: str, shard: str | None
+) -> DataFrame:
+    """Add what was evaluated on what: ``model, adapters, dataset, shard``."""
+    return summaries.withColumns(
+        {
+            "model": F.lit(model),
+            "adapters": F.array(*map(F.lit, adapters)).cast("array<string>"),
+            "dataset": F.lit(dataset),
+            "shard": F.lit(shard).cast("string"),
+        }
+    )
+
+
 def compare_runs(summaries: DataFrame, base: str, run: str = "run_id") -> DataFrame:
     """Every run's metrics with their difference from the base run.
 

@@ -27,11 +27,12 @@ class PrepareOptions:
     batch_size: int = 16
     pad_multiple: int = 64
     answer_keys: tuple[str, ...] = ("output",)
+    permissive: bool = False
 
 
 @dataclass(frozen=True)
 class Prepared:
-    """Every stage; records and tokenized rows are stored, the rest is lazy."""
+    """Every stage; records, tokens, vocabulary and ids are stored, the rest is lazy."""
 
     rejects: DataFrame
     counts: DataFrame
@@ -39,17 +40,20 @@ class Prepared:
     vocab: DataFrame
     tokenized: DataFrame
     batches: DataFrame
+    eval_batches: DataFrame
 
 
 def prepare(lines: DataFrame, key: str, options: PrepareOptions = PrepareOptions()) -> Prepared:
-    """``lines`` has the unique ``key`` and ``line``.
+    """``lines`` has the unique ``key`` and ``line``. Runs the jobs that store the stages.
 
-    Lines are parsed and rendered once; sampling and splitting then read only
-    two narrow columns of the stored records, batching only the stored ids.
+    Lines are parsed and rendered once, texts are tokenized once. Sampling and
+    splitting read only two narrow columns of the stored records, the vocabulary
+    counts whole texts, and batches read only the stored ids. Records of any
+    shape are kept unless ``permissive`` asks for the known training shapes.
     """
     kept, text = F.col("reason").isNull(), F.col("text")
     rendered = render_record(F.col("record"), options.answer_keys)
-    records = once(with_record(lines), text=F.when(kept, rendered)).select(
+    records = once(with_record(lines, permissive=options.permissive), text=F.when(kept, rendered)).select(
         key,
         "reason",
         usable(text).alias("usable"),
@@ -62,14 +66,19 @@ def prepare(lines: DataFrame, key: str, options: PrepareOptions = PrepareOptions
     if options.max_samples is not None:
         examples = sample_n(examples, key, options.max_samples, options.seed)
     examples = train_eval_split(examples, key, options.eval_ratio, options.seed)
-    tokens = tokenize(examples, options.max_length).drop("text")
-    vocab = fit_vocab(tokens.filter(F.col("split") == "train"), options.vocab_size)
-    tokenized = staged(encode(tokens, vocab).drop("tokens"), "tokenized")
-    batches = pad_batches(
-        length_batches(
-            tokenized.filter(F.col("split") == "train"), key, options.batch_size, seed=options.seed
-        ),
-        options.pad_multiple,
-    ).withColumn("labels", lm_labels(F.col("padded_ids"), fixed.PAD_ID))
+    tokens = staged(tokenize(examples, None).drop("text", "attention_mask"), "tokens")
+    vocab = staged(fit_vocab(tokens.filter(F.col("split") == "train"), options.vocab_size), "vocabulary")
+    cut = tokens.withColumn("tokens", F.slice("tokens", 1, options.max_length))
+    cut = cut.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("tokens")))
+    tokenized = staged(encode(cut, vocab).drop("tokens"), "tokenized")
+
+    def batches(split: str) -> DataFrame:
+        rows = tokenized.filter(F.col("split") == split)
+        grouped = length_batches(rows, key, options.batch_size, seed=options.seed)
+        padded = pad_batches(grouped, options.pad_multiple)
+        return padded.withColumn("labels", lm_labels(F.col("padded_ids"), fixed.PAD_ID))
+
     rejects = records.filter(~kept).select(key, "reason", "line")
-    return Prepared(rejects, count_reasons(records), examples, vocab, tokenized, batches)
+    return Prepared(
+        rejects, count_reasons(records), examples, vocab, tokenized, batches("train"), batches("eval")
+    )

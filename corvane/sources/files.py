@@ -1,20 +1,24 @@
 """Line sources: globs, split shards and directories of JSON lines.
 
 Every reader returns ``(file, block, seq, line)``; ordering by the first three
-is the order of the lines in the files.
+is the order of the lines in the files. ``block`` and ``seq`` depend on how
+Spark splits the files; ``number_lines`` adds what does not.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corvane.functions import fixed
+from corvane.functions.let import let
+from corvane.session import staged
 
-
-def _hadoop_path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
+SPLITS = 1_000_000  # rows of the broadcast table of splits
 
 
 def glob_paths(spark: SparkSession, pattern: str, directories: bool | None = None) -> list[str]:
@@ -22,7 +26,7 @@ def glob_paths(spark: SparkSession, pattern: str, directories: bool | None = Non
 
     ``directories`` keeps only directories (True) or only files (False).
     """
-    path = _hadoop_path(spark, pattern)
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
     return sorted(
         s.getPath().toString()
@@ -31,6 +35,31 @@ def glob_paths(spark: SparkSession, pattern: str, directories: bool | None = Non
     )
 
 
+def files_below(spark: SparkSession, directory: str, pattern: str) -> list[str]:
+    """Files at any depth below a directory whose path from there matches a glob."""
+    root = directory.rstrip("/")
+    below = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    inner = F.substr("path", F.lit(len(root) + 2))
+    return sorted(r["path"] for r in below.filter(inner.rlike(f"^(.*/)?{glob_pattern(pattern)}$")).collect())
+
+
+def glob_pattern(glob: str) -> str:
+    """A glob as a regular expression: ``**/`` is any depth, ``*`` and ``?`` stay in a name."""
+    out, at = "", 0
+    while at < len(glob):
+        rest = glob[at:]
+        if rest.startswith("**/"):
+            out, at = out + "(.*/)?", at + 3
+        elif rest[0] == "[" and "]" in rest[2:]:
+            end = rest.index("]", 2)
+            inner = rest[1:end].replace("\\", "\\\\").replace("[", "\\[")
+            out, at = out + "[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]", at + end + 1
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(rest[0], re.escape(rest[0]))
+            at += 1
+    return out
+
+
 def subdirectories(spark: SparkSession, directory: str) -> list[str]:
     """Names of the directories directly below one, hidden ones left out."""
     paths = glob_paths(spark, f"{directory.rstrip('/')}/*", directories=True)
@@ -39,64 +68,108 @@ def subdirectories(spark: SparkSession, directory: str) -> list[str]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a few files that cannot be split, over all slots of the cluster.
+    """Rows of files that cannot be split, over all slots of the cluster."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
-    Does nothing where the input already has as many partitions as slots.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
-
-def read_lines(
-    spark: SparkSession,
-    paths: Sequence[str],
-    recursive_name: str | None = None,
-    tolerant: bool = False,
-) -> DataFrame:
+def read_lines(spark: SparkSession, paths: Sequence[str], tolerant: bool = False) -> DataFrame:
     """Lines of the given files; ``tolerant`` passes over unreadable ones.
 
-    Gzip files cannot be split, so where they are fewer than the cluster's
-    slots their lines are spread out once.
+    Gzip files cannot be split: lines that come from such files only are spread
+    out once. A ``.json`` file may be one JSON list; it gives a line per element.
     """
-    reader = spark.read
-    if tolerant:
-        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    if recursive_name:
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", recursive_name)
-    lines = reader.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("file"),
+    lists = json_lists(spark, [p for p in paths if _is_json(p)], tolerant)
+    plain = [p for p in paths if p not in lists]
+    found = []
+    if plain or not lists:
+        lines = _reader(spark, tolerant).text(plain).select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("seq"),
+            F.col("value").alias("line"),
+        )
+        found.append(spread(lines) if plain and all(p.endswith(".gz") for p in plain) else lines)
+    if lists:
+        found.append(read_json_lists(spark, sorted(lists), tolerant))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _reader(spark: SparkSession, tolerant: bool):
+    options = {"ignoreCorruptFiles": str(tolerant).lower(), "ignoreMissingFiles": str(tolerant).lower()}
+    return spark.read.options(**options)
+
+
+def _is_json(path: str) -> bool:
+    return path.endswith((".json", ".json.gz"))
+
+
+def json_lists(spark: SparkSession, paths: Sequence[str], tolerant: bool = False) -> set[str]:
+    """Those of the files whose text begins with a bracket. Runs a job over ``.json`` files."""
+    if not paths:
+        return set()
+    # The first line with any text in it; a list may stand on one line or on many.
+    text = F.ltrim("value")
+    rows = _reader(spark, tolerant).text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"), "value",
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
-        F.col("value").alias("line"),
+    )
+    heads = rows.filter(F.length(F.btrim("value", F.lit(fixed.WHITESPACE))) > 0).groupBy("file").agg(
+        F.min_by(F.substr(text, F.lit(1), F.lit(1)), F.struct("block", "seq")).alias("head")
     )
-    return spread(lines) if any(p.endswith(".gz") for p in paths) else lines
+    found = {_plain(r["file"]) for r in heads.filter("head = '['").collect()}
+    return {p for p in paths if _plain(p) in found}
+
+
+def _plain(path: str) -> str:
+    """A path in one spelling: the metadata column writes it as a URI, listings do not."""
+    named = path if re.match(r"[a-z][a-z0-9]*:", path) else f"file:{path}"
+    return re.sub(r"^([a-z0-9]+):/*", r"\1:/", unquote(named))
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Add ``number``: the place of a line in its file, from 1, however the file was split.
+
+    Runs a job that counts the lines of every split; that table (a row per split
+    of the input, 128 MB by default) is broadcast while it has at most
+    ``SPLITS`` rows.
+    """
+    counted = lines.groupBy("file", "block").agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    counted = staged(counted, "line-counts")
+    upto = F.sum("_lines").over(Window.partitionBy("file").orderBy("block"))
+    before = counted.select("file", "block", "_first", (upto - F.col("_lines")).alias("_before"))
+    if counted.count() <= SPLITS:
+        before = F.broadcast(before)
+    number = F.col("seq") - F.col("_first") + F.col("_before") + 1
+    return lines.join(before, ["file", "block"]).withColumn("number", number).drop("_first", "_before")
 
 
 def read_jsonl(spark: SparkSession, pattern: str) -> DataFrame:
     """Lines of all files that match a glob; ``**`` goes down all directories."""
-    if "**" in pattern:
-        base, name = pattern.split("**", 1)
-        paths, name = glob_paths(spark, base.rstrip("/") or "/"), name.strip("/") or "*"
-        if not paths:
-            raise FileNotFoundError(f"no files found matching {pattern}")
-        lines = read_lines(spark, paths, recursive_name=name)
-        if not lines.inputFiles():
-            raise FileNotFoundError(f"no files found matching {pattern}")
-        return lines
-    paths = glob_paths(spark, pattern)
+    base, deep, rest = pattern.partition("**")
+    paths = glob_paths(spark, base.rstrip("/") or "/" if deep else pattern)
+    if deep:
+        paths = [f for p in paths for f in files_below(spark, p, rest.strip("/") or "*")]
     if not paths:
-        raise FileNotFoundError(f"no files found matching {pattern}")
+        raise FileNotFoundError(f"nothing to read at {pattern}")
     return read_lines(spark, paths)
 
 
-def read_json_lists(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Files that are one JSON list each: a line per element, as JSON text."""
-    whole = spark.read.text(list(paths), wholetext=True).select(
+def read_json_lists(spark: SparkSession, paths: Sequence[str], tolerant: bool = False) -> DataFrame:
+    """Files that are one JSON list each: a line per element, as JSON text.
+
+    JSON has no line structure, so such a file is one value while it is read (up
+    to 2 GB); use JSON lines beyond that. A file that is no list after all, only
+    begins like one, gives its lines as they are.
+    """
+    whole = _reader(spark, tolerant).text(list(paths), wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), "value"
     )
-    elements = F.from_json("value", "array<string>")
+    # As the first of two elements: nothing may follow the list.
+    marked = F.from_json(F.concat(F.lit("["), "value", F.lit(',"\\u0001"]')), "array<string>")
+    listed = let(marked, lambda m: F.when((F.size(m) == 2) & (m[1] == "\x01"), F.from_json(m[0], "array<string>")))
+    lines = F.coalesce(listed, F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n"))
     return whole.select(
-        "file", F.lit(0).cast("long").alias("block"), F.posexplode(elements).alias("seq", "line")
+        "file", F.lit(0).cast("long").alias("block"), F.posexplode(lines).alias("seq", "line")
     ).withColumn("seq", F.col("seq").cast("long"))
 
 
@@ -120,5 +193,5 @@ def read_split_files(spark: SparkSession, directory: str, split: str) -> DataFra
     """Lines of a split's shards, without those that cannot be read."""
     paths = split_files(spark, directory, split)
     if not paths:
-        raise FileNotFoundError(f"no files found for split '{split}' in {directory}")
+        raise FileNotFoundError(f"{directory} has no shards of {split}")
     return read_lines(spark, paths, tolerant=True)

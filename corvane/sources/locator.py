@@ -12,6 +12,8 @@ The split is ``train`` where none is named.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,6 +28,8 @@ from corvane.sources.files import (
 )
 
 DEFAULT_SPLIT = "train"
+#: Names parted by slashes; what has glob signs, a scheme or begins like a path is a path.
+NAMED = re.compile(r"(?!\.{0,2}/)[^*:/]+(/[^*:/]+)+")
 
 
 def read_columnar(
@@ -42,7 +46,7 @@ def read_columnar(
     if split in splits:
         return spark.read.parquet(f"{root}/{split}")
     if strict and split is not None:
-        raise ValueError(f"split '{split}' not found, available: {', '.join(splits)}")
+        raise ValueError(f"{directory} has the splits {', '.join(splits)} and not {split}")
     return spark.read.parquet(*[f"{root}/{name}" for name in splits])
 
 
@@ -67,7 +71,7 @@ def read_dataset(
         chosen = split or named or DEFAULT_SPLIT
         reader = read_split_files if kind == "hf_files" else read_columnar
         return reader(spark, directory, chosen)
-    if not locator.startswith(("./", "/")) and "*" not in locator and "/" in locator and ":" not in locator:
+    if NAMED.fullmatch(locator):
         return read_named(spark, locator, split or DEFAULT_SPLIT, config)
     return read_jsonl(spark, locator)
 
@@ -80,7 +84,10 @@ def _has_split(rest: str) -> bool:
 
 def read_evaluation(spark: SparkSession, directory: str, split: str | None = None) -> DataFrame:
     """Directory for evaluation: the split's shards, else a columnar dataset,
-    else every data file in it."""
+    else every data file in it. What is no path but reads like a name is a
+    catalog table."""
+    if NAMED.fullmatch(directory) and not glob_paths(spark, directory):
+        return read_named(spark, directory, split)
     if split:
         shards = split_files(spark, directory, split)
         if shards:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SUMMARY_SCHEMA = (
-    "run_id string, num_examples bigint, overall_score double, quality_grade string, "
+    "run_id string, model string, adapters array<string>, dataset string, shard string, num_examples bigint, overall_score double, quality_grade string, "
     "bert_score double, rouge_score double, perplexity_generated double, "
     "perplexity_reference double, perplexity_score double, consistency_score double, "
     "high_quality_percentage double, "

@@ -20,8 +20,8 @@ def stream_lines(spark: SparkSession, directory: str, files_per_trigger: int = 1
 
 
 def stream_prepare(
-    lines: DataFrame, max_length: int, answer_keys: Sequence[str] = ("output",)
+    lines: DataFrame, max_length: int, answer_keys: Sequence[str] = ("output",), permissive: bool = False
 ) -> DataFrame:
     """Parse, render and validate; stateless, so any output mode and sink will do."""
-    good = ingest(lines).good
+    good = ingest(lines, permissive=permissive).good
     return validate(render(good, answer_keys=answer_keys), max_length)

@@ -33,7 +33,7 @@ def _advance(state: tuple, role: str, text: str, turn: int, last: int):
 def stream_messages(
     spark: SparkSession, directory: str, files_per_trigger: int = 100
 ) -> DataFrame:
-    """Messages of Parquet files that arrive in a directory, a bounded number per trigger."""
+    """Messages of Parquet files that arrive in a directory, a bounded number of files per trigger."""
     return (
         spark.readStream.schema(MESSAGES)
         .option("maxFilesPerTrigger", files_per_trigger)
@@ -47,11 +47,13 @@ def stream_history(
     """Prompt of every arriving user turn with the last answered turns before it.
 
     The state of a conversation is at most ``last`` exchanges and one waiting
-    message, and goes away after ``idle`` without news. Within a trigger the
-    rows of a conversation are put in order of their turn; how many there can
-    be is set by the source's admission limit (``stream_messages``). Turns must not arrive in an
-    earlier trigger than turns before them. A run that is to end by itself
-    (``availableNow``) needs ``idle=None``: timeouts keep a query going.
+    message, and goes away after ``idle`` without news. Order contract: within a
+    trigger the rows of a conversation are put in order of their turn, and a row
+    whose turn is not above all turns of earlier triggers (a replay, or a
+    message that comes too late) is dropped. How many rows of a conversation can
+    meet in a trigger is bounded by the source's admission limits
+    (``stream_messages``). A run that is to end by itself (``availableNow``)
+    needs ``idle=None``: timeouts keep a query going.
     """
     millis = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
     timeout = GroupStateTimeout.NoTimeout if millis is None else GroupStateTimeout.ProcessingTimeTimeout
@@ -63,7 +65,9 @@ def stream_history(
         current = state.get if state.exists else ([], None, -1)
         current = (list(current[0]), current[1], current[2])
         turns, prompts = [], []
-        rows = pd.concat(list(frames)).sort_values("turn")
+        rows = pd.concat(list(frames)).sort_values("turn", kind="stable")
+        # What was seen before, and repeats within the trigger, is neither answered nor remembered again.
+        rows = rows[rows["turn"] > current[2]].drop_duplicates("turn")
         for turn, role, text in zip(rows["turn"], rows["role"], rows["text"]):
             current, prompt = _advance(current, role, text or "", int(turn), last)
             if prompt is not None:

@@ -13,7 +13,7 @@ from corvane.functions.text import halves
 from corvane.operators.conversations import turn_pairs
 from corvane.operators.ingest import with_record
 from corvane.session import scratch_dir
-from corvane.sources.files import glob_paths, spread
+from corvane.sources.files import files_below, glob_paths, spread
 
 WS = "'" + fixed.WHITESPACE + "'"
 WORDS = "'" + fixed.WORD_PATTERN + "'"
@@ -22,12 +22,21 @@ WORDS = "'" + fixed.WORD_PATTERN + "'"
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     # The texts come as one file of one row group: a single task's work.
-    return spread(df) if name == "documents" else df
+    return spread(df) if name == "documents" and len(df.inputFiles()) == 1 else df
 
 
 # --- Raw records --------------------------------------------------------------
 
 
+def _broken(doc: Column, head: Column) -> Column:
+    """A line that is not one object: cut short, or whole with something after it."""
+    whole = F.concat(head, F.lit('"}'))
+    line = head
+    for i, after in enumerate(["]", "}", ",", " garbage", '] , [{"text":"b"}', "] x", '"', ',{"text":"b"}']):
+        line = F.when(doc % 9 == i, F.concat(whole, F.lit(after))).otherwise(line)
+    return line
+
+
 def record_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``(doc_id, line)``: each document as a JSON line of one of ten kinds."""
     docs = load(spark, sf, "documents")
@@ -52,7 +61,7 @@ def record_lines(spark: SparkSession, sf: str) -> DataFrame:
         obj(text=blank),
         obj(question=head, answer=tail),
         obj(title=source, body=text),
-        F.concat(F.lit('{"text": "'), source),
+        _broken(F.col("doc_id"), F.concat(F.lit('{"text": "'), source)),
     ]
     shape = F.substring("source", -1, 1).cast("int")
     line = F.when(shape == 0, kinds[0])
@@ -285,7 +294,7 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     value = F.format_string("%.4f", F.col("value"))
     epoch = F.format_string("%.4f", F.col("event_id") / 1000)
     prefix = F.concat(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" | INFO     | __main__:on_log:1070 - ")
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" | INFO     | __main__:report:7 - ")
     )
     name = F.when(F.col("event_type").isin("view", "error"), "eval_loss").otherwise("loss")
     step = F.col("event_id").cast("string")
@@ -333,6 +342,21 @@ def write_shards(df: DataFrame, directory: str, split: str, suffix: str) -> None
         source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target)
 
 
+def move_one(spark: SparkSession, pattern: str, target: str) -> None:
+    """Give the only file that matches another name."""
+    (source,) = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in glob_paths(spark, pattern))
+    system = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.rename(source, spark._jvm.org.apache.hadoop.fs.Path(target))
+
+
+def name_as_json(spark: SparkSession, directory: str) -> None:
+    """Give the part files below a directory the suffix ``.json``."""
+    for part in files_below(spark, directory, "part-*.txt"):
+        source = spark._jvm.org.apache.hadoop.fs.Path(part)
+        target = spark._jvm.org.apache.hadoop.fs.Path(part.removesuffix(".txt") + ".json")
+        source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target)
+
+
 def sharded_documents(spark: SparkSession, sf: str) -> str:
     """Documents as shards: ``train`` has the English ones, ``test`` the others."""
     directory = scratch_dir(spark, "shards")

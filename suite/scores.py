@@ -41,6 +41,7 @@ from suite.inputs import (
     run_metrics,
 )
 from suite.registry import query
+from corvane.session import staged
 from suite.tokens import NGRAM_SQL
 
 DIM = 8
@@ -59,8 +60,8 @@ def _answered(spark, sf):
     return attach(dialog_pairs(spark, sf), predictions(spark, sf))
 
 
-def _scored(spark, sf):
-    rows = _answered(spark, sf)
+def _scored(spark, sf, rows=None):
+    rows = _answered(spark, sf) if rows is None else rows
     rows = rows.withColumn("pv", _vectors(F.col("prediction"))).withColumn("rv", _vectors(F.col("reference")))
     return score_rows(rows, "run_id", "example_id", pred_vectors="pv", ref_vectors="rv")
 
@@ -405,10 +406,10 @@ def _ppl_sql(run: str, texts: str) -> str:
     FROM ppl JOIN totals USING (run_id)"""
 )
 def run_summary(spark, sf):
-    scored = _scored(spark, sf)
+    answered = staged(_answered(spark, sf), "answered")
     model = fit_ngram(load(spark, sf, "documents"))
-    ppl = run_perplexities(_answered(spark, sf), model, "example_id", sample=None, max_tokens=None)
-    out = evaluate(scored, ppl).summary
+    ppl = run_perplexities(answered, model, "example_id")
+    out = evaluate(_scored(spark, sf, answered), ppl).summary
     entries = F.array_sort(F.map_entries("score_breakdown"))
     shown = F.transform(
         entries, lambda e: F.concat(e["key"], F.lit("="), F.format_number(e["value"]["contribution"], 2))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.operators.ingest import parse_record
-from corvane.session import scratch_dir
+from corvane.operators.scores import identify_runs
+from corvane.session import scratch_dir, staged
 from corvane.sources import catalog, files, locator, sinks
 from corvane.streaming.examples import stream_lines, stream_prepare as prepare_stream
 from corvane.streaming.history import stream_history as history_stream, stream_messages
@@ -18,6 +19,8 @@ from suite.inputs import (
     document_json,
     load,
     log_lines,
+    move_one,
+    name_as_json,
     predictions,
     record_lines,
     sharded_documents,
@@ -45,6 +48,41 @@ def src_jsonl(spark, sf):
     return _digests(files.read_jsonl(spark, f"{directory}/**/*.txt"))
 
 
+@query(DOCS_SQL)
+def src_json_list(spark, sf):
+    """A JSON list per language, some pretty, some on one line, beside a file of lines with the same suffix."""
+    directory = scratch_dir(spark, "json-lists")
+    docs = document_json(spark, sf).select("lang", "source", "line")
+    plain = F.col("lang") == "en"
+    docs.filter(plain).select("line").coalesce(1).write.text(f"{directory}/raw/lines")
+    pretty = F.when(F.col("lang") == "fr", ",\n  ").otherwise(",")
+    lists = docs.filter(~plain).groupBy("lang", pretty.alias("gap")).agg(F.collect_list("line").alias("all"))
+    text = F.concat(F.lit("[ "), F.array_join("all", "\x02"), F.lit("\n]\n"))
+    lists = lists.select(F.replace(text, F.lit("\x02"), F.col("gap")).alias("value"), "lang")
+    lists.write.partitionBy("lang").option("lineSep", " ").text(f"{directory}/raw/lists")
+    name_as_json(spark, f"{directory}/raw")
+    return _digests(files.read_jsonl(spark, f"{directory}/**/raw/**/*.json"))
+
+
+@query(
+    """SELECT doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS number FROM documents"""
+)
+def src_line_numbers(spark, sf):
+    """Line numbers do not depend on the splits; the texts here are read in splits of 64 KB."""
+    directory = scratch_dir(spark, "numbered")
+    docs = document_json(spark, sf).select("lang", "doc_id", "line")
+    docs.repartition(1).sortWithinPartitions("lang", "doc_id").select("lang", "line").write.partitionBy("lang").text(directory)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        # Stored, because the setting counts while the files are read.
+        rows = files.number_lines(files.read_jsonl(spark, f"{directory}/**/*.txt"))
+        rows = rows.select(parse_record(F.col("line"))["doc_id"].cast("long").alias("doc_id"), "number")
+        return staged(rows, "numbers")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @query(f"{DOCS_SQL} WHERE lang = 'en'")
 def src_split(spark, sf):
     return _digests(files.read_split_files(spark, sharded_documents(spark, sf), "train"))
@@ -98,11 +136,59 @@ def scores_csv(spark, sf):
     return rows.select("run_id", "example_id", F.md5(F.coalesce("prediction", F.lit(""))).alias("digest"))
 
 
+@query(
+    """SELECT user_id AS run_id, 'base-7b' AS model, 'a,b' AS adapters, 'chat' AS dataset, 'test' AS shard,
+      COUNT(*) AS num_examples, round(SUM(CAST(value AS DECIMAL(18,2)))::DOUBLE, 2) AS overall_score,
+      CASE WHEN SUM(CAST(value AS DECIMAL(18,2))) >= 90 THEN 'A+ (Excellent)' ELSE 'other' END AS quality_grade,
+      CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) * 0.5::DOUBLE AS part
+    FROM events GROUP BY user_id"""
+)
+def summary_json(spark, sf):
+    """Summaries with all their fields, written as JSON and read back by the sink's schema."""
+    path = scratch_dir(spark, "summaries")
+    total = F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
+    rows = load(spark, sf, "events").groupBy(F.col("user_id").alias("run_id")).agg(
+        F.count(F.lit(1)).alias("num_examples"), total.alias("overall_score")
+    )
+    part = F.struct(F.col("overall_score").alias("score"), F.lit(0.5).alias("weight"),
+                    (F.col("overall_score") * 0.5).alias("contribution"))
+    rows = rows.withColumn("score_breakdown", F.create_map(F.lit("BERTScore"), part))
+    rows = rows.withColumn("quality_grade", F.when(F.col("overall_score") >= 90, "A+ (Excellent)").otherwise("other"))
+    sinks.write_summary(identify_runs(rows, "base-7b", ["a", "b"], "chat", "test"), path)
+    return sinks.read_summaries(spark, path).select(
+        F.col("run_id").cast("long").alias("run_id"), "model", F.array_join("adapters", ",").alias("adapters"),
+        "dataset", "shard", "num_examples", F.round("overall_score", 2).alias("overall_score"), "quality_grade",
+        F.col("score_breakdown")["BERTScore"]["contribution"].alias("part"),
+    )
+
+
+@query("SELECT lang AS split, COUNT(*) AS rows FROM documents GROUP BY lang")
+def split_catalog_described(spark, sf):
+    """Sizes of the splits from the dataset's own description file."""
+    directory = scratch_dir(spark, "described")
+    counts = load(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("num_examples"))
+    splits = F.map_from_entries(F.collect_list(F.struct("lang", F.struct("num_examples"))))
+    info = counts.agg(F.to_json(F.create_map(F.lit("default"), F.struct(splits.alias("splits")))).alias("value"))
+    info.coalesce(1).write.text(f"{directory}/raw")
+    move_one(spark, f"{directory}/raw/part-*", f"{directory}/dataset_infos.json")
+    return catalog.split_catalog(spark, directory)
+
+
+@query("SELECT lang AS split, COUNT(*) AS rows FROM documents GROUP BY lang")
+def split_catalog_columnar(spark, sf):
+    """Sizes of the splits of a dataset with a Parquet directory per split."""
+    directory = scratch_dir(spark, "columnar-splits")
+    docs = load(spark, sf, "documents").select("lang", "doc_id")
+    for split in ("en", "fr", "de", "es"):
+        docs.filter(F.col("lang") == split).write.parquet(f"{directory}/{split}")
+    return catalog.split_catalog(spark, directory)
+
+
 @query(f"WITH {VALID_SQL} SELECT md5(text) AS digest FROM valid WHERE shape IN (0, 1, 2, 3, 4, 6)")
 def stream_prepare(spark, sf):
     source, out = scratch_dir(spark, "arriving"), scratch_dir(spark, "prepared")
     record_lines(spark, sf).select("line").repartition(4).write.text(source)
-    rows = prepare_stream(stream_lines(spark, source, 2), 1536).select(F.md5("text").alias("digest"))
+    rows = prepare_stream(stream_lines(spark, source, 2), 1536, permissive=True).select(F.md5("text").alias("digest"))
     _drain(spark, rows, out)
     return spark.read.parquet(out)
 

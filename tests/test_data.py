@@ -402,7 +402,7 @@ def test_artifacts(spark):
 
 
 def test_log_lines(spark):
-    head = "2024-05-01 10:00:00 | INFO     | __main__:on_log:1070 - "
+    head = "2024-05-01 10:00:00 | INFO     | __main__:report:7 - "
     rows = [
         head + "Step 10 | loss: 1.2500, learning_rate: 0.0001, epoch: 0.1",
         head + "Evaluation at step 10",

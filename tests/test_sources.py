@@ -71,6 +71,54 @@ def test_json_list_files(spark, root):
     assert rows.columns == ["file", "block", "seq", "line"]
 
 
+def test_json_files_may_be_lists_or_lines(spark, tmp_path):
+    base = str(tmp_path)
+    put(f"{base}/in/a b/deep/list.json", [json.dumps([{"text": "p"}, {"text": "q\n"}], indent=1)])
+    put(f"{base}/in/c/deep/lines.json", [{"text": "r"}, "[1]", {"text": "s"}])
+    put(f"{base}/in/c/deep/odd.json", ["[1, 2]", {"text": "t"}])
+    put(f"{base}/in/c/other/no.json", [{"text": "u"}])
+    rows = files.read_jsonl(spark, f"{base}/in/**/deep/*.json")
+    got = [parse for parse in (json.loads(r["line"]) for r in rows.collect())]
+    assert sorted(g["text"] for g in got if isinstance(g, dict)) == ["p", "q\n", "r", "s", "t"]
+    assert sum(isinstance(g, list) for g in got) == 2
+    assert rows.columns == ["file", "block", "seq", "line"]
+    numbers = files.number_lines(rows.filter(F.col("file").endswith("list.json"))).orderBy("number").collect()
+    assert [r["number"] for r in numbers] == [1, 2]
+
+
+def test_globs_as_patterns():
+    import re
+
+    for glob, good, bad in [
+        ("*.json", "a.json", "a/b.json"), ("**/x/*.j", "a/b/x/c.j", "a/b/c.j"), ("a?[!b-d].t", "axe.t", "axc.t"),
+        ("**/*.x", "a/b.x", "a/b.y"), ("[ab]/c+.x", "b/c+.x", "b/cc.x"),
+    ]:
+        assert re.fullmatch(files.glob_pattern(glob), good) and not re.fullmatch(files.glob_pattern(glob), bad)
+
+
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    put(f"{tmp_path}/a.jsonl", [{"id": i, "text": "x" * (i % 97)} for i in range(5000)])
+    put(f"{tmp_path}/b.jsonl", [{"id": 9000 + i} for i in range(3)])
+    found = []
+    for size in ("20k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = files.number_lines(files.read_jsonl(spark, f"{tmp_path}/*.jsonl")).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        found.append(sorted((r["file"], r["number"], r["line"]) for r in rows))
+    assert found[0] == found[1]
+    assert [json.loads(line)["id"] for _, _, line in found[0]] == [*range(5000), *range(9000, 9003)]
+
+
+@pytest.mark.parametrize("after", ["]", "}", ",", '"', " x", "] x", "] , [{\"text\":\"b\"}", ',{"text":"b"}', ", 1", "[", "{"])
+def test_nothing_may_follow_a_record(spark, after):
+    lines = ['{"text":"a"}' + after, '{"text":"a"}', "", " ", "1", "null", "[]", '[{"text":"a"}]', ' {"text": "a"} ']
+    df = spark.createDataFrame([(line,) for line in lines], "line string")
+    got = [r[0] for r in df.select(parse_record(F.col("line"))).collect()]
+    assert got == [None, {"text": "a"}, None, None, None, None, None, None, {"text": "a"}]
+
+
 def test_locators(spark, root):
     assert texts(locator.read_dataset(spark, f"hf_files:{root}/shards:test")) == ["d"]
     assert texts(locator.read_dataset(spark, f"hf_files:{root}/shards")) == ["a", "b", "c"]
@@ -168,7 +216,7 @@ def test_transcripts(spark):
 
 
 def test_training_log_files(spark, root):
-    line = "2024-05-01 10:00:00 | INFO     | __main__:on_log:1070 - Step 10 | loss: 1.25"
+    line = "2024-05-01 10:00:00 | INFO     | __main__:report:7 - Step 10 | loss: 1.25"
     put(f"{root}/logs/run_a.log", [line])
     rows = logs.read_training_log(spark, f"{root}/logs").collect()
     assert [(r["run"], r["step"], r["value"]) for r in rows] == [("run_a", 10, 1.25)]
