@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from corvane.operators.conversations import chat_prompts, history_prompts, history_segments, turn_pairs
 from corvane.operators.examples import render, validate
 from corvane.operators.ingest import ingest
+from corvane.operators.ngram import fit_ngram, ngram_nll
 from corvane.operators.ordered import next_row
 from corvane.operators.sampling import train_eval_split
 from corvane.operators.stats import length_stats
+from corvane.operators.telemetry import early_stop
 from corvane.operators.tokens import encode, fit_vocab, tokenize
 from corvane.session import staged
 
@@ -61,7 +63,7 @@ def test_sampling_reads_the_key_only(spark):
 def test_records_are_parsed_once(spark):
     lines = staged(spark.range(50).select("id", F.lit('{"text": "a"}').alias("line")), "lines")
     plan = plan_of(validate(render(ingest(lines).good, "id"), 10))
-    assert plan.count("from_json(ArrayType(MapType") == 1
+    assert plan.count('":"end"}') == 1
     assert "Exchange" not in plan and "Python" not in plan
 
 
@@ -76,3 +78,22 @@ def test_length_statistics_order_a_histogram(spark):
     plan = plan_of(length_stats(df, "len"))
     single = plan.index("SinglePartition")
     assert "HashAggregate(keys=[len" in plan[single:]
+
+
+def test_early_stop_reads_the_metrics_twice(spark):
+    """Once to count rows per run, once to store the metric's rows in chunks."""
+    rows = spark.range(500).selectExpr("'a' AS run", "id * 1000 AS step", "'loss' AS metric", "(id * 37 % 101) / 100D AS value")
+    path = staged(rows, "metrics").inputFiles()[0].rsplit("/", 1)[0]
+    table = spark.read.parquet(path)
+    plan = plan_of(early_stop(table, "loss", 3, size=64))
+    assert path.rsplit("/", 1)[-1] not in plan  # what runs last reads the stored chunks only
+
+
+def test_counts_are_cut_to_what_is_asked(spark):
+    """A few texts are scored without shuffling the counts of the corpus."""
+    corpus = spark.range(400).selectExpr("id", "concat_ws(' ', 'w' || id % 97, 'w' || id % 89, 'x') AS text")
+    model = fit_ngram(corpus)
+    asked = spark.createDataFrame([(1, "w1 w2 x")], "key long, text string")
+    out = ngram_nll(asked, model, "key")
+    stored = model.pairs.inputFiles()[0].rsplit("/", 2)[-2]
+    assert out.count() == 1 and stored not in plan_of(out)
