@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corvane.llm.common import thinned
 from corvane.llm.texts import text_groups, word_blocks
 from corvane.session import staged
 
@@ -157,8 +158,8 @@ def _sample(docs: DataFrame, learn: Column, per: int) -> DataFrame:
     """``lang, text, part`` of at most ``per`` documents of every language."""
     labelled = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(order))
-    # Spark cuts every partition's ranks before the shuffle; what is left has ``per`` rows a language.
+    few = thinned(labelled.select("doc_id", "lang"), "doc_id", ["lang"], per)
+    ids = few.withColumn("rank", F.row_number().over(order))
     ids = ids.filter(F.col("rank") <= per).groupBy("doc_id", "lang").agg(F.min("rank").alias("rank"))
     ids = staged(ids, "language-sample")  # so small a table that Spark broadcasts it, and no text is shuffled
     texts = labelled.join(ids, ["doc_id", "lang"]).groupBy("doc_id", "lang", "rank").agg(F.min("text").alias("text"))

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corvane.llm.common import thinned
 from corvane.llm.texts import text_groups, word_blocks
 from corvane.session import staged
 
@@ -105,7 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
     one = marked.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     # Labels of documents that are not there do not use up the sample.
     there = one.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = staged(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "quality-sample")
+    few = thinned(there, "doc_id", [], sample)
+    chosen = staged(few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "quality-sample")
     texts = docs.select("doc_id", "text").join(chosen, "doc_id")
     texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
