@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.llm.components import components
+from corvane.llm.texts import word_blocks
 from corvane.session import staged
 
 SEED = 42
@@ -47,19 +48,24 @@ CHUNK = 1 << 15  # hashes whose bits are spread out at a time
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """SimHash of a text as an unsigned number."""
-    words = (text or "").encode().lower().split()  # of bytes: ASCII letters, ASCII white space
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        hashes = [digest(b" ".join(words), SEED)]
-    else:
-        hashes = [digest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(shingle)))]
-    values = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(values), CHUNK):
-        ones += np.unpackbits(values[at : at + CHUNK], axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > len(values)).tobytes(), "big")
+    ones, count = np.zeros(64, dtype=np.int64), 0
+
+    def add(hashes: list[int]) -> int:
+        values = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
+        for at in range(0, len(values), CHUNK):
+            ones[:] += np.unpackbits(values[at : at + CHUNK], axis=1).sum(axis=0, dtype=np.int32)
+        return len(hashes)
+
+    words: list[bytes] = []
+    for block in word_blocks((text or "").encode()):
+        words += block.lower().split()  # of bytes: ASCII letters, ASCII white space
+        if len(words) >= shingle:
+            count += add([digest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(shingle)))])
+            words = words[len(words) - shingle + 1 :]
+    if not count and words:
+        count = add([digest(b" ".join(words), SEED)])
+    return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:

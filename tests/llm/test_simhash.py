@@ -8,6 +8,7 @@ import xxhash
 
 from corvane.llm import simhash
 from corvane.llm.components import components
+from corvane.llm.texts import word_blocks
 
 SCHEMA = "doc_id long, text string, fp string, b string"
 
@@ -61,6 +62,12 @@ def test_groups_match_all_pairs(spark, bucket):
     assert got == plain_groups(rows)
 
 
+def test_blocks_do_not_matter(monkeypatch):
+    for size in (1, 7, 50):
+        monkeypatch.setattr(simhash, "word_blocks", lambda t, size=size: word_blocks(t, size))
+        assert all(simhash.fingerprint(t) == plain_fingerprint(t) for _, t in texts()[:90])
+
+
 @pytest.mark.parametrize("bucket", [64, 2])
 def test_links_reach_every_close_pair(spark, bucket):
     draw = random.Random(9)
