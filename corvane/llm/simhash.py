@@ -152,11 +152,17 @@ def grouped(
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest id, all columns as they are.
 
-    Of several rows with that id one stays. Documents without an id all stay.
+    Rows with the same id are one document, of which one row stays. Documents
+    without an id all stay. What goes is named, being much less than what stays:
+    Spark broadcasts those ids while they are few, and shuffles the texts once
+    beyond that.
     """
-    names = staged(grouped(docs, id, text).select("component_id").distinct(), "kept-ids")
-    named = docs.join(names, docs[id] == names["component_id"], "left_semi")
-    ids = named.groupBy(F.col(id).alias("id")).agg(F.count(F.lit(1)).alias("rows"))
-    if not ids.filter("rows > 1").isEmpty():
-        named = named.dropDuplicates([id])
-    return named.unionAll(docs.filter(F.col(id).isNull()))
+    found = grouped(docs, id, text)
+    names = F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    ids = staged(found.groupBy("doc_id").agg(names.alias("names"), F.count(F.lit(1)).alias("rows")), "document-ids")
+    gone = staged(ids.filter(~F.col("names")).select(F.col("doc_id").alias("gone")), "removed-ids")
+    kept = docs.join(gone, docs[id] == gone["gone"], "left_anti")
+    if ids.filter((F.col("rows") > 1) & F.col("doc_id").isNotNull()).isEmpty():
+        return kept
+    once = kept.filter(F.col(id).isNotNull()).dropDuplicates([id])
+    return once.unionAll(kept.filter(F.col(id).isNull()))
