@@ -10,7 +10,7 @@ frequent ones, so that what is broadcast has a fixed bound.
 
 Every text is scored whole. As no context crosses a word's edge, a word costs
 the same wherever it stands: a task works each different chunk out once, all new
-ones of some megabytes of text in one vectorised pass, and adds up. The language
+ones of a megabyte of text in one vectorised pass, and adds up. The language
 with the lowest cross-entropy per predicted letter wins.
 
 A document is ``rejected`` when even the best language predicts it much worse
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.llm.common import thinned
-from corvane.llm.texts import text_groups, word_blocks
+from corvane.llm.texts import BLOCK, text_groups, word_blocks
 from corvane.session import staged
 
 ORDER = 4
@@ -268,7 +268,7 @@ def _scored(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
 
         def groups() -> Iterator[list[bytes]]:
             for batch in batches:
-                for first, texts in text_groups(batch.column(place)):
+                for first, texts in text_groups(batch.column(place), BLOCK):
                     held.append((batch, first))
                     yield texts
 
