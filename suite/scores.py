@@ -56,6 +56,21 @@ def _vectors(text):
     )
 
 
+GRADE_SQL = (
+    "CASE "
+    + " ".join(f"WHEN overall_score >= {low:g} THEN '{name}'" for low, name in fixed.GRADES)
+    + f" ELSE '{fixed.LOWEST_GRADE}' END"
+)
+ADVICE_SQL = (
+    "concat_ws('; ', "
+    + ", ".join(
+        f"CASE WHEN {metric} < {low:g} THEN '{poor}' WHEN {metric} >= {high:g} THEN '{good}' END"
+        for metric, (low, poor, high, good) in fixed.ADVICE.items()
+    )
+    + ")"
+)
+
+
 def _answered(spark, sf):
     return attach(dialog_pairs(spark, sf), predictions(spark, sf))
 
@@ -307,10 +322,7 @@ totals AS (
   FROM parts GROUP BY run_id
 ),
 graded AS (
-  SELECT *, CASE WHEN overall_score >= 90 THEN 'A+ (Excellent)' WHEN overall_score >= 85 THEN 'A  (Very Good)'
-    WHEN overall_score >= 80 THEN 'B+ (Good)' WHEN overall_score >= 75 THEN 'B  (Above Average)'
-    WHEN overall_score >= 70 THEN 'C+ (Average)' WHEN overall_score >= 65 THEN 'C  (Below Average)'
-    WHEN overall_score >= 60 THEN 'D  (Poor)' ELSE 'F  (Needs Improvement)' END AS grade FROM totals
+  SELECT *, {GRADE_SQL} AS grade FROM totals
 )"""
 )
 
@@ -353,16 +365,8 @@ def grade(spark, sf):
 
 
 @query(
-    f"""WITH {LONG_SQL}, said AS (SELECT run_id, concat_ws('; ',
-        CASE WHEN bert_score < 75 THEN 'Semantic quality is low - model may not understand context well'
-             WHEN bert_score >= 85 THEN 'Strong semantic understanding' END,
-        CASE WHEN rouge_score < 15 THEN 'Low content overlap - responses may be too different from references'
-             WHEN rouge_score >= 25 THEN 'Good content coverage' END,
-        CASE WHEN consistency < 60 THEN 'Low consistency - model responses vary significantly in quality'
-             WHEN consistency >= 80 THEN 'Highly consistent responses' END,
-        CASE WHEN perplexity_score < 30 THEN 'High perplexity - model may be uncertain about its outputs'
-             WHEN perplexity_score >= 60 THEN 'Good coherence and confidence' END) AS s FROM ppl)
-    SELECT run_id, CASE WHEN s = '' THEN 'Model performance is within acceptable ranges' ELSE s END AS advice FROM said"""
+    f"""WITH {LONG_SQL}, said AS (SELECT run_id, {ADVICE_SQL} AS s FROM ppl)
+    SELECT run_id, CASE WHEN s = '' THEN '{fixed.DEFAULT_ADVICE}' ELSE s END AS advice FROM said"""
 )
 def recommendations(spark, sf):
     advice = advice_of(**{name: F.col(name) for name in fixed.ADVICE})
@@ -394,10 +398,7 @@ def _ppl_sql(run: str, texts: str) -> str:
     totals AS (SELECT run_id, CAST(SUM(CAST(format('{{:.2f}}', contribution) AS DECIMAL(18,2))) AS DOUBLE) AS overall_score,
       string_agg(metric || '=' || format('{{:.2f}}', contribution), ',' ORDER BY metric) AS parts FROM parts GROUP BY run_id)
     SELECT run_id, num_examples, overall_score,
-      CASE WHEN overall_score >= 90 THEN 'A+ (Excellent)' WHEN overall_score >= 85 THEN 'A  (Very Good)'
-        WHEN overall_score >= 80 THEN 'B+ (Good)' WHEN overall_score >= 75 THEN 'B  (Above Average)'
-        WHEN overall_score >= 70 THEN 'C+ (Average)' WHEN overall_score >= 65 THEN 'C  (Below Average)'
-        WHEN overall_score >= 60 THEN 'D  (Poor)' ELSE 'F  (Needs Improvement)' END AS quality_grade,
+      {GRADE_SQL} AS quality_grade,
       round(bert_score, 4) AS bert_score, round(rouge_score, 4) AS rouge_score,
       round(gen, 4) AS perplexity_generated, round(ref, 4) AS perplexity_reference,
       round(perplexity_score, 4) AS perplexity_score, round(consistency, 4) AS consistency_score,
