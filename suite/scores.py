@@ -322,7 +322,9 @@ totals AS (
   FROM parts GROUP BY run_id
 ),
 graded AS (
-  SELECT *, {GRADE_SQL} AS grade FROM totals
+  SELECT *, """
+    + GRADE_SQL
+    + """ AS grade FROM totals
 )"""
 )
 
