@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions.text import seeded_hash
 from corvane.operators.joins import join_same
+from corvane.operators.top import ranked
 
 RANKED = 1000  # rows of a group up to which Spark limits ranks before a shuffle
 DIGITS = 3  # hexadecimal digits per histogram: 4,096 groups
@@ -64,8 +65,16 @@ def _hashed(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def head_n(df: DataFrame, key: str, n: int) -> DataFrame:
-    """First ``n`` rows in key order."""
-    return df.orderBy(key).limit(n)
+    """First ``n`` rows in key order, for unique keys without NULLs.
+
+    Sorting for a limit makes every partition send ``n`` rows to one task; above
+    ``RANKED`` rows the key of rank ``n`` is found over ranges of the keys first,
+    and the rest is a filter and a sort by ranges.
+    """
+    if n <= RANKED:
+        return df.orderBy(key).limit(n)
+    bound = ranked(df.select(key), "_rank", key).filter(F.col("_rank") == n).agg(F.max(key)).scalar()
+    return df.filter(F.coalesce(F.col(key) <= bound, F.lit(True))).orderBy(key)
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -109,8 +118,8 @@ def sample_n_by(df: DataFrame, by: list[str], key: str, n: int, seed: int) -> Da
     """
     digest = seeded_hash(F.col(key), seed)
     if n <= RANKED:
-        ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(digest)))
-        return ranked.filter(F.col("_rank") <= n).drop("_rank")
+        placed = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(digest)))
+        return placed.filter(F.col("_rank") <= n).drop("_rank")
     bounds = _bounds_by(df.select(*by, digest.alias("digest")), by, n)
     kept = join_same(df, bounds, by, "left")
     return kept.filter(F.col("bound").isNull() | (digest <= F.col("bound"))).drop("bound")

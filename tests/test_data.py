@@ -60,6 +60,15 @@ def test_sampling_with_a_hot_key(spark):
     assert 300 <= chosen < 300 + 201
 
 
+def test_first_rows_are_the_same_by_ranges(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("(id * 7919) % 3001 AS id", "id AS v").repartition(5)
+    for n in (1, 700, 2999, 3000, 9000):
+        want = [tuple(r) for r in df.orderBy("id").limit(n).collect()]
+        monkeypatch.setattr(sampling, "RANKED", 0)
+        assert [tuple(r) for r in sampling.head_n(df, "id", n).collect()] == want
+        monkeypatch.undo()
+
+
 def test_sample_per_group(spark):
     df = spark.range(300).withColumn("g", F.when(F.col("id") < 250, "big").otherwise("small"))
     got = sampling.sample_n_by(df, ["g"], "id", 40, 3)
