@@ -25,12 +25,12 @@ named columns are read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.llm.common import thinned
@@ -46,7 +46,7 @@ SHARPNESS = 12.0  # of the score: natural units of entropy per letter
 ROOM = 1.5  # entropy above a language's mean that is never rejected; a mixture of known languages has less
 KNOWN = 300_000  # chunks that a task holds
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 PRIMES = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64
 )

@@ -87,7 +87,7 @@ def test_models_are_kneser_ney(spark):
 
 def test_held_out_documents_and_odd_texts(spark):
     data = rows()
-    odd = [(900, None, "aa"), (901, "", "bb"), (902, "123 ... !!", None), (903, "жзийклмн опрст уфхц " * 9, None)]
+    odd = [(900, None, "aa"), (901, "", "bb"), (902, "123 ... !! ½ ² Ⅷ _", None), (903, "жзийклмн опрст уфхц " * 9, None)]
     odd += [(904, "the of and to in " * 30000, None), (905, "the of and to in it is", None), (None, "der die das und", None)]
     df = frame(spark, data + odd + [data[0]])
     held_out = language.F.col("doc_id") % 5 == 0
