@@ -44,7 +44,7 @@ GRAMS = 400_000  # n-grams in the broadcast arrays
 ALPHABET = 1 << 10  # letters among which an unseen one is drawn evenly
 SHARPNESS = 12.0  # of the score: natural units of entropy per letter
 ROOM = 1.5  # entropy above a language's mean that is never rejected; a mixture of known languages has less
-KNOWN = 300_000  # chunks that a task holds
+KNOWN = 120_000  # chunks that a task holds
 
 LETTERS = regex.compile(r"\p{L}+")
 PRIMES = np.array(
