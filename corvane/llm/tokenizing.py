@@ -18,7 +18,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from corvane.llm.texts import word_blocks
 
-KNOWN = 400_000  # chunks, and units, that a task holds; they are dropped beyond that
+KNOWN = 300_000  # chunks, and units, that a task holds; they are dropped beyond that
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäæçèéêëìíîïñòóôöùúûüÿßœ"
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 COMMON = re.compile(f"([{LETTERS}]*)([{re.escape(MARKS)}]*)")
