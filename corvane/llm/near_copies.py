@@ -1,0 +1,236 @@
+"""Pairs of texts with nearly the same word shingles, exactly.
+
+Two texts are near copies when the sets of their five-word shingles have a
+Jaccard similarity of at least 0.8. Shingles are compared by 64-bit hashes.
+
+Candidates come from prefix filtering: with all sets in one order, two sets of
+that similarity have a shingle in common among the first fifth (and one more) of
+each. Any order is right; here shingles that are frequent in a sample of the
+texts come last, the most frequent at the very end, so that a common line makes
+few candidates. The number of shingles that two prefixes share bounds what the
+sets can share; who passes that bound is verified on the whole sets.
+
+Buckets (texts with one prefix shingle) that many texts share are first linked
+to a few members of their own. Then the pairs of every bucket are listed, but
+for those that earlier links put into one component, which no link can change.
+So the components are those of all pairs, while a large group of near copies
+does not make all its pairs.
+
+Defined results. Words and their case are as in ``simhash``. NULL text reads as
+empty. Fewer words than a shingle: the whole sequence is one shingle. A text
+without words is nobody's near copy.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
+
+from corvane.llm.components import components
+from corvane.llm.simhash import SEED, fingerprints, links, one_of_each
+from corvane.llm.texts import word_blocks
+from corvane.session import staged
+
+SHINGLE = 5
+BUCKET = 64  # texts with one prefix shingle up to which nothing comes before their pairs
+LEADERS = 4  # members that a larger bucket is first linked to
+SAMPLE = 16  # one text of so many is looked at for frequent shingles
+FREQUENT = 8  # so many sampled texts make a shingle frequent
+ORDERED = 1 << 17  # frequent shingles that the order knows; the others are ordered by hash
+SALT = 16  # tasks that a large bucket's pairs are dealt over
+ROWS = 1 << 17  # rows given back at a time
+
+
+def text_id(text: str) -> Column:
+    """The digest that stands for a text."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of a text's different shingles, ascending."""
+    digest = xxhash.xxh64_intdigest
+    parts = [
+        np.array([digest(w, SEED) for w in block.lower().split()], dtype=np.uint64)
+        for block in word_blocks((text or "").encode())
+    ]
+    words = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+    if not len(words):
+        return words
+    many = max(1, len(words) - shingle + 1)
+    # A short text has fewer words than places: its length keeps it apart.
+    hashes = np.full(many, min(len(words), shingle), dtype=np.uint64)
+    for at in range(min(len(words), shingle)):
+        hashes = (hashes ^ words[at : at + many]) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+    return np.unique(hashes)
+
+
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(text_id(text).alias("tid"), F.col(text).alias("text"))
+
+
+def _frequent(texts: DataFrame, sample: int, least: int) -> np.ndarray:
+    """Shingles that many of the sampled texts have, the rarest first."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for value in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(value.as_py()).view(np.int64))], ["shingle"])
+
+    picked = texts.filter(F.pmod(F.xxhash64(F.lit("sample"), "tid"), F.lit(sample)) == 0)
+    counts = picked.mapInArrow(batches, "shingle long").groupBy("shingle").count().filter(F.col("count") >= least)
+    top = counts.orderBy(F.desc("count"), "shingle").limit(ORDERED).collect()
+    return np.array([r["shingle"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
+
+
+def _prefixes(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``shingle, tid, size``: the prefix of every text, with the size of its whole set."""
+    order = np.argsort(frequent)
+    known = frequent[order]
+
+    def prefix(hashes: np.ndarray) -> np.ndarray:
+        many = len(hashes) // 5 + 1
+        if len(known) and len(hashes):
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            late = known[at] == hashes
+            hashes = np.concatenate([hashes[~late], hashes[late][np.argsort(order[at[late]])]])
+        return hashes[:many]
+
+    def rows_of(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        lengths = [len(f[2]) for f in found]
+        columns = [
+            np.concatenate([f[2] for f in found]).view(np.int64),
+            np.repeat(np.array([f[0] for f in found], dtype=np.int64), lengths),
+            np.repeat(np.array([f[1] for f in found], dtype=np.int64), lengths),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "tid", "size"])
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            seen, found, held = set(), [], 0
+            for tid, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if tid in seen:
+                    continue
+                seen.add(tid)
+                hashes = shingles(value.as_py())
+                found.append((tid, len(hashes), prefix(hashes)))
+                held += len(found[-1][2])
+                if held > ROWS:
+                    yield rows_of(found)
+                    found, held = [], 0
+            if found:
+                yield rows_of(found)
+
+    return texts.mapInArrow(batches, "shingle long, tid long, size long")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for tid, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes = pa.array([shingles(value.as_py()).view(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([tid], pa.int64()), hashes], ["tid", "hashes"])
+
+    return texts.mapInArrow(batches, "tid long, hashes array<long>")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose whole sets are similar enough, by the components of their ends."""
+    pairs = staged(pairs, "candidate-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
+    sets = staged(_sets(texts.join(ends, "tid", "left_semi").dropDuplicates(["tid"])), "candidate-sets")
+    left, right = (sets.select(F.col("tid").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    similar = 9 * shared >= 4 * (F.size("hashes_a") + F.size("hashes_b"))
+    return both.filter(similar).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+
+
+def _merged(at: DataFrame, edges: DataFrame) -> DataFrame:
+    found = components(edges).withColumnRenamed("root", "new")
+    joined = at.join(found, at["root"] == found["node"], "left")
+    return staged(joined.select("tid", F.coalesce("new", "root").alias("root")), "components")
+
+
+def _mixed(entries: DataFrame, at: DataFrame) -> DataFrame:
+    """Entries of the buckets that have texts of more than one component, with their ``root`` and bucket's ``texts``."""
+    placed = staged(entries.join(at, "tid"), "placed-prefixes")
+    sizes = placed.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("texts"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    sizes = sizes.filter("low <> high").select("shingle", "texts")
+    return staged(placed.join(sizes, "shingle"), "mixed-buckets")
+
+
+def _side(entries: DataFrame, name: str, *more: str) -> DataFrame:
+    return entries.select("shingle", *more, *(F.col(c).alias(n) for c, n in (("tid", name), ("size", f"size_{name}"), ("root", f"root_{name}"))))
+
+
+_ALIKE = "5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b) AND root_a <> root_b"
+
+
+def _to_leaders(large: DataFrame) -> DataFrame:
+    """Every text of the large buckets with a few of its bucket."""
+    firsts = [F.min(F.struct(F.xxhash64(F.lit(k), "tid"), "tid", "size", "root")).alias(f"l{k}") for k in range(LEADERS)]
+    leaders = large.groupBy("shingle").agg(*firsts)
+    leaders = leaders.select("shingle", F.explode(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("l"))
+    pairs = _side(large, "a").join(_side(leaders.select("shingle", "l.tid", "l.size", "l.root"), "b"), "shingle")
+    return pairs.filter(_ALIKE).select("a", "b", "root_a", "root_b").distinct()
+
+
+def _all_pairs(entries: DataFrame, bucket: int) -> DataFrame:
+    """Pairs of different components whose prefixes share enough; the pairs of large buckets are dealt over tasks."""
+    large = F.col("texts") > bucket
+    salt = F.when(large, F.pmod("tid", F.lit(SALT))).otherwise(0).cast("int").alias("salt")
+    salts = F.explode(F.when(large, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    left = _side(entries.select("*", salt), "a", "salt")
+    right = _side(entries.select("*", salts), "b", "salt")
+    pairs = left.join(right, ["shingle", "salt"]).filter(f"a < b AND {_ALIKE}")
+    ends = ["a", "b", "root_a", "root_b", "size_a", "size_b"]
+    counted = pairs.groupBy(*ends).agg(F.count(F.lit(1)).alias("shared"))
+    # What the prefixes do not share lies beyond one of them.
+    longest = F.greatest("size_a", "size_b")
+    beyond = longest - F.floor(longest / 5) - 1
+    bound = 9 * (F.col("shared") + beyond) >= 4 * (F.col("size_a") + F.col("size_b"))
+    return counted.filter(bound).select("a", "b", "root_a", "root_b")
+
+
+def joined(
+    docs: DataFrame, at: DataFrame, text: str = "text", bucket: int = BUCKET, sample: int = SAMPLE, least: int = FREQUENT
+) -> DataFrame:
+    """``tid, root`` of all texts after near copies are joined, from the same columns before.
+
+    ``at`` has every text of the documents once, by ``text_id``, with the
+    component that other links put it in.
+    """
+    texts = _texts(docs, text)
+    prefixes = staged(_prefixes(texts, _frequent(texts, sample, least)), "prefixes")
+    several = prefixes.groupBy("shingle").agg(F.min("tid").alias("low"), F.max("tid").alias("high"))
+    several = several.filter("low <> high").select("shingle")
+    entries = staged(prefixes.join(several, "shingle", "left_semi").distinct(), "shared-prefixes")
+    mixed = _mixed(entries, at)
+    large = mixed.filter(F.col("texts") > bucket)
+    if not large.isEmpty():
+        at = _merged(at, _verified(texts, _to_leaders(large)))
+        mixed = _mixed(mixed.select("shingle", "tid", "size"), at)
+    return _merged(at, _verified(texts, _all_pairs(mixed, bucket)))
+
+
+def deduplicated(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", bucket: int = BUCKET, sample: int = SAMPLE, least: int = FREQUENT
+) -> DataFrame:
+    """One document of each group that SimHash links or near copies hold together, as ``simhash.deduplicated`` keeps it."""
+    marked = staged(fingerprints(_texts(docs, text), "tid", "text").distinct(), "fingerprints")
+    roots = components(links(marked.select("fp").distinct()))
+    at = marked.join(roots, marked["fp"] == roots["node"], "left")
+    at = staged(at.select(F.col("doc_id").alias("tid"), F.coalesce("root", "fp").alias("root")), "linked-fingerprints")
+    at = joined(docs, at, text, bucket, sample, least)
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), text_id(text).alias("tid"))
+    # Copies of one text share its digest: that join is on a few hot keys, split by Spark.
+    found = staged(rows.join(at, "tid").select("doc_id", "root"), "document-components")
+    named = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return one_of_each(docs, found.join(named, "root").select("doc_id", "component_id"), id)

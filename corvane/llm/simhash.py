@@ -157,7 +157,11 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     Spark broadcasts those ids while they are few, and shuffles the texts once
     beyond that.
     """
-    found = grouped(docs, id, text)
+    return one_of_each(docs, grouped(docs, id, text), id)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id: str = "doc_id") -> DataFrame:
+    """One document of each component of ``found``, which has ``doc_id, component_id`` of every row."""
     names = F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     ids = staged(found.groupBy("doc_id").agg(names.alias("names"), F.count(F.lit(1)).alias("rows")), "document-ids")
     gone = staged(ids.filter(~F.col("names")).select(F.col("doc_id").alias("gone")), "removed-ids")

@@ -1,0 +1,73 @@
+"""Near copies of the pipeline's stage against all pairs of a small table."""
+
+import random
+
+import corpus_pipeline
+import pytest
+from test_simhash import SCHEMA, plain_fingerprint, texts
+
+from corvane.llm import near_copies
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_kept(rows):
+    """The least id of each component of texts that either measure links."""
+    prints, sets = [plain_fingerprint(t) for _, t in rows], [plain_shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = (prints[i] ^ prints[j]).bit_count() <= 2
+            alike |= bool(sets[i]) and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))
+            if alike and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return sorted({g: min(d for (d, _), h in zip(rows, group) if h == g) for g in group}.values())
+
+
+def near_texts():
+    """Groups of near copies at about the similarity that counts, a common line, and short and empty texts."""
+    draw = random.Random(3)
+    pool = ["".join(draw.choices("abcdefghij", k=5)) for _ in range(900)]
+    line = " ".join(draw.choices(pool, k=25))
+    out = [t for _, t in texts()]
+    for size, copies in ((30, 6), (80, 40), (80, 12), (200, 8), (600, 6)):
+        base = draw.choices(pool, k=size)
+        for _ in range(copies):
+            near = list(base)
+            for _ in range(draw.randint(0, 2 + size // 40)):
+                near[draw.randrange(size)] = draw.choice(pool)
+            out.append(" ".join(near[: size - draw.randint(0, size // 12)]))
+    out += [" ".join(draw.choices(pool, k=draw.choice([3, 30, 90]))) + " " + line for _ in range(40)]
+    draw.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("bucket, sample, least", [(64, 16, 8), (3, 1, 4), (0, 1, 1)])
+def test_near_copies_match_all_pairs(spark, bucket, sample, least):
+    rows = near_texts()
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+    kept = near_copies.deduplicated(df, bucket=bucket, sample=sample, least=least)
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == plain_kept(rows)
+
+
+def test_pipeline_stage_removes_similar_texts(spark):
+    draw = random.Random(2)
+    words = ["".join(draw.choices("abcdefghij", k=5)) for _ in range(300)]
+    near = [w if i % 90 else "other" for i, w in enumerate(words)]
+    assert (plain_fingerprint(" ".join(words)) ^ plain_fingerprint(" ".join(near))).bit_count() > 2
+    df = spark.createDataFrame([(5, " ".join(near), "", ""), (2, " ".join(words), "", "")], SCHEMA)
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    assert [r["doc_id"] for r in stage(spark, df, "").collect()] == [2]
+
+
+def test_empty_and_nameless(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert near_copies.deduplicated(empty).collect() == []
+    rows = [(7, None, "", ""), (3, "", "", ""), (4, "one two three", "", ""), (None, "ONE two  three", "", "")]
+    kept = near_copies.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["doc_id"] for r in kept} == {3, 4, None}
