@@ -27,6 +27,7 @@ from suite.inputs import (
 )
 from suite.registry import query
 
+LIST_BYTES = 16 << 20  # about so much text goes into one JSON list
 DOCS_SQL = "SELECT doc_id, md5(text) AS digest FROM documents"
 
 
@@ -50,16 +51,21 @@ def src_jsonl(spark, sf):
 
 @query(DOCS_SQL)
 def src_json_list(spark, sf):
-    """A JSON list per language, some pretty, some on one line, beside a file of lines with the same suffix."""
+    """JSON lists per language, some pretty, some on one line, beside files of lines with the same suffix."""
     directory = scratch_dir(spark, "json-lists")
-    docs = document_json(spark, sf).select("lang", "source", "line")
-    plain = F.col("lang") == "en"
-    docs.filter(plain).select("line").coalesce(1).write.text(f"{directory}/raw/lines")
+    docs = document_json(spark, sf).select("lang", "doc_id", "line")
+    plain = F.col("lang").eqNullSafe("en")
+    docs.filter(plain).select("line").write.text(f"{directory}/raw/lines")
+    others = docs.filter(~plain)
+    # As many lists as the texts' length asks for; the line is in the digest for rows that share an id or have none.
+    sizes = others.groupBy(F.col("lang").alias("of")).agg(F.ceil(F.sum(F.octet_length("line")) / LIST_BYTES).alias("lists"))
+    dealt = others.join(sizes, F.col("lang").eqNullSafe(F.col("of")))
+    dealt = dealt.withColumn("list", F.pmod(F.xxhash64("doc_id", "line"), "lists"))
     pretty = F.when(F.col("lang") == "fr", ",\n  ").otherwise(",")
-    lists = docs.filter(~plain).groupBy("lang", pretty.alias("gap")).agg(F.collect_list("line").alias("all"))
+    lists = dealt.groupBy("lang", "list", pretty.alias("gap")).agg(F.collect_list("line").alias("all"))
     text = F.concat(F.lit("[ "), F.array_join("all", "\x02"), F.lit("\n]\n"))
-    lists = lists.select(F.replace(text, F.lit("\x02"), F.col("gap")).alias("value"), "lang")
-    lists.write.partitionBy("lang").option("lineSep", " ").text(f"{directory}/raw/lists")
+    lists = lists.select(F.replace(text, F.lit("\x02"), F.col("gap")).alias("value"), "lang", "list")
+    lists.write.partitionBy("lang", "list").option("lineSep", " ").text(f"{directory}/raw/lists")
     name_as_json(spark, f"{directory}/raw")
     return _digests(files.read_jsonl(spark, f"{directory}/**/raw/**/*.json"))
 
