@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import language, mixing, near_copies, packing, quality_rules
+from corvane.llm import language, mixing, packing, quality_rules, simhash
 from corvane.llm.common import fold_of
 from corvane.session import staged
 
@@ -31,8 +31,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: by fingerprint, or by at least 0.8 of the five-word shingles."""
-    return near_copies.deduplicated(docs)
+    """One document of each group whose fingerprints of 3-word shingles link at two or fewer differing bits."""
+    return simhash.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
