@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -274,6 +273,3 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = toolcalls.linked(table.select("conv_id", "turn", "role", text.alias("text")), TOOLS)
     return found.withColumn("linked_turn", F.coalesce("linked_turn", F.lit(-1)))
-
-
-QUERIES["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
