@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import language, licenses, mixing, neighbours, packing, quality_model, quality_rules, simhash, toolcalls, urlfilter
+from corvane.llm import filter_audit, language, licenses, mixing, neighbours, packing, quality_model, quality_rules, simhash, toolcalls, urlfilter
 from corvane.llm.common import documents, fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,3 +273,47 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = toolcalls.linked(table.select("conv_id", "turn", "role", text.alias("text")), TOOLS)
     return found.withColumn("linked_turn", F.coalesce("linked_turn", F.lit(-1)))
+
+
+@query(
+    r"""
+WITH body AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM body GROUP BY t),
+failing AS (
+  SELECT b.doc_id, part,
+         CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(b.t, '[A-Z]')) > 10 * length(b.t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(b.t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN b.doc_id > first_id THEN 'E' ELSE '' END AS fails
+  FROM body b JOIN firsts f ON b.t = f.t),
+flags AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+weights AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+  FROM failing LEFT JOIN flags USING (doc_id) GROUP BY ALL),
+letter(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+gone AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, 6), lambda s: contains(fails, filter_order[s]))), 6) AS at_step
+  FROM weights, orders),
+grid AS (
+  SELECT part, filter_order, s.step::INTEGER AS step, filter_order[s.step] AS f,
+         coalesce(sum(n) FILTER (at_step > s.step), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (at_step = s.step), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (at_step < s.step AND contains(fails, filter_order[s.step])), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails = filter_order[s.step]), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n_good) FILTER (at_step = s.step), 0)::BIGINT AS good_lost,
+         coalesce(sum(n_toxic) FILTER (at_step = s.step), 0)::BIGINT AS toxic_lost
+  FROM gone, range(1, 6) s(step) GROUP BY ALL)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM grid
+"""
+)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of every language, in all 120 orders, step by step."""
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
