@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import filter_audit, language, licenses, mixing, neighbours, packing, quality_model, quality_rules, simhash, toolcalls, urlfilter
+from corvane.llm import filter_audit, language, licenses, mixing, neighbours, packing, pieces, quality_model, quality_rules, simhash, toolcalls, urlfilter
 from corvane.llm.common import documents, fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 RULES = [
     ("net/", "block"),
@@ -317,3 +318,9 @@ SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shap
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove of every language, in all 120 orders, step by step."""
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query()
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole text, and what they decode to, as digests."""
+    return pieces.encoded(documents(spark, sf_dir), public_tokenizers.path(PIECES))
