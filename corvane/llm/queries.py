@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import filter_audit, language, licenses, mixing, neighbours, packing, pieces, quality_model, quality_rules, simhash, toolcalls, urlfilter
+from corvane.llm import filter_audit, language, licenses, mixing, neighbours, packing, pieces, quality_model, quality_rules, repair, simhash, toolcalls, urlfilter
 from corvane.llm.common import documents, fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -324,3 +324,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text, and what they decode to, as digests."""
     return pieces.encoded(documents(spark, sf_dir), public_tokenizers.path(PIECES))
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair.reports(repair.damaged(table))
