@@ -3,10 +3,10 @@
 One model per language predicts every letter of a word, and its end, from up to
 three letters before it in the word. Counts, continuation counts, discounts and
 back-off weights are Spark aggregates over the words of a bounded sample of
-labelled documents (whole texts, ``DOCUMENTS`` of a language, chosen by a digest
-of their id). The finished models are one sorted array of n-gram hashes with, per
-language, a probability and a back-off weight; at most ``GRAMS`` n-grams, the most
-frequent ones, so that what is broadcast has a fixed bound.
+labelled documents (whole texts, ``DOCUMENTS`` different ids of a language, chosen by a
+digest of the id). The finished models are one sorted array of n-gram hashes with, per
+language, a probability and a back-off weight: all n-grams of the sample, whose size
+bounds what is broadcast.
 
 Every text is scored whole. As no context crosses a word's edge, a word costs
 the same wherever it stands: a task works each different chunk out once, all new
@@ -40,7 +40,6 @@ from corvane.session import staged
 ORDER = 4
 DOCUMENTS = 500  # of a language in the sample
 CALIBRATION = 5  # one in so many of them calibrates instead of being counted
-GRAMS = 400_000  # n-grams in the broadcast arrays
 ALPHABET = 1 << 10  # letters among which an unseen one is drawn evenly
 SHARPNESS = 12.0  # of the score: natural units of entropy per letter
 ROOM = 1.5  # entropy above a language's mean that is never rejected; a mixture of known languages has less
@@ -158,9 +157,8 @@ def _sample(docs: DataFrame, learn: Column, per: int) -> DataFrame:
     """``lang, text, part`` of at most ``per`` documents of every language."""
     labelled = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = thinned(labelled.select("doc_id", "lang"), "doc_id", ["lang"], per)
-    ids = few.withColumn("rank", F.row_number().over(order))
-    ids = ids.filter(F.col("rank") <= per).groupBy("doc_id", "lang").agg(F.min("rank").alias("rank"))
+    few = thinned(labelled.select("doc_id", "lang").distinct(), "doc_id", ["lang"], per)
+    ids = few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per)
     ids = staged(ids, "language-sample")  # so small a table that Spark broadcasts it, and no text is shuffled
     texts = labelled.join(ids, ["doc_id", "lang"]).groupBy("doc_id", "lang", "rank").agg(F.min("text").alias("text"))
     return staged(texts.select("lang", "text", (F.col("rank") % CALIBRATION == 0).alias("calibrates")), "language-texts")
@@ -196,21 +194,21 @@ def _kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.sum("c").alias("total"), (F.first("d") * F.count(F.lit(1)) / F.sum("c")).alias("weight")
     )
     term = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")
-    terms = used.join(contexts, ["lang", "context"]).select("lang", "gram", "n", term.alias("term"))
+    terms = used.join(contexts, ["lang", "context"]).select("lang", "gram", term.alias("term"))
     return terms, contexts.select("lang", "context", "weight")
 
 
-def fit(docs: DataFrame, learn: Column, documents: int = DOCUMENTS, grams: int = GRAMS) -> Models:
+def fit(docs: DataFrame, learn: Column, documents: int = DOCUMENTS) -> Models:
     """Models of all languages of the documents that ``learn`` admits.
 
-    ``docs`` has ``doc_id, text, lang``. What comes to the driver has at most
-    ``grams`` n-grams, the most frequent ones. Runs jobs.
+    ``docs`` has ``doc_id, text, lang``. What comes to the driver are all n-grams
+    of the sample, which ``documents`` bounds: words of a language soon repeat
+    its n-grams, about 10,000 of them here. Runs jobs.
     """
     sample = _sample(docs, learn, documents)
     terms, contexts = _kneser_ney(staged(_counts(sample.filter(~F.col("calibrates"))), "language-grams"))
     contexts = staged(contexts, "language-contexts")
-    kept = terms.orderBy(F.desc("n"), "gram", "lang").limit(grams)
-    both = kept.join(
+    both = terms.join(
         contexts.withColumnRenamed("context", "gram"), ["lang", "gram"], "left"
     ).select("lang", "gram", "term", "weight").toPandas()
     empty = {r["lang"]: r["weight"] for r in contexts.filter("context = ''").collect()}

@@ -17,7 +17,10 @@ Defined results. Vectors that are NULL, empty or zero, or have NULL or
 non-finite components, take no part, nor do NULL ids. Vectors of another
 length than the query's are no candidates. Rows with a query's id are its own.
 A repeated candidate row is a candidate each time; of repeated query rows the
-smallest vector asks. Equal distances: the smaller id is nearer. An empty table
+smallest vector asks. Equal distances: the smaller id is nearer. Components may
+be of any finite size: bounds are taken after a cell's vectors are scaled by a
+power of two, and distances whose squares leave the range of doubles are summed
+up scaled; only a distance beyond that range itself is infinite. An empty table
 gives no rows. Only the named columns are read.
 """
 
@@ -33,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 NEAREST = 10
 QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 4096
+TINY = 1e-140  # far below any bound that matters, its square far above the least double
 TILE = 1024  # candidates, and at most a quarter as many queries, in one matrix product
 
 
@@ -42,7 +46,7 @@ def takes_part(id: Column, vector: Column) -> Column:
 
 
 class Quantised:
-    """Vectors as int8 codes with a scale each, and how far off each may be."""
+    """Vectors of components up to 1 as int8 codes with a scale each, and how far off each may be."""
 
     def __init__(self, vectors: np.ndarray):
         self.scale = np.abs(vectors).max(axis=1) / 127
@@ -50,8 +54,8 @@ class Quantised:
         self.codes = np.rint(vectors / self.scale[:, None]).astype(np.int8)
         rounded = self.codes * self.scale[:, None]
         self.squares = np.square(rounded).sum(axis=1)
-        # A little is added for the rounding of the sums themselves.
-        self.off = np.sqrt(np.square(vectors - rounded).sum(axis=1)) + 1e-7 * np.sqrt(self.squares)
+        # A little is added for the rounding of the sums themselves, and for squares that are too small to add up.
+        self.off = np.sqrt(np.square(vectors - rounded).sum(axis=1)) + 1e-7 * np.sqrt(self.squares) + TINY
 
     def bounds(self, queries: slice, other: "Quantised", candidates: slice) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of the distances of a tile."""
@@ -68,17 +72,32 @@ class Quantised:
 
 def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Euclidean distances of pairs, components added up in order."""
-    total = np.zeros(len(left))
-    for d in range(left.shape[1]):
-        total += np.square(left[:, d] - right[:, d])
-    return np.sqrt(total)
+    with np.errstate(over="ignore", under="ignore"):
+        total = np.zeros(len(left))
+        for d in range(left.shape[1]):
+            total += np.square(left[:, d] - right[:, d])
+        odd = np.flatnonzero(~((total > TINY**2) & (total < np.inf)))
+        odd = odd[(left[odd] != right[odd]).any(axis=1)]
+        far = np.sqrt(total)
+        if len(odd):
+            power = exponent(np.maximum(np.abs(left[odd]), np.abs(right[odd])))
+            apart = np.ldexp(left[odd], -power[:, None]) - np.ldexp(right[odd], -power[:, None])
+            more = exponent(apart)
+            far[odd] = np.ldexp(np.sqrt(np.square(np.ldexp(apart, -more[:, None])).sum(axis=1)), power + more)
+    return far
+
+
+def exponent(vectors: np.ndarray) -> np.ndarray:
+    """The power of two above every vector's largest component."""
+    return np.frexp(np.abs(vectors).max(axis=1, initial=0.0))[1]
 
 
 def nearest_in_cell(
     query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
 ) -> list[tuple[int, int, float]]:
     """``(query, candidate, distance)`` of the ``k`` nearest candidates of every query."""
-    asked, offered = Quantised(queries), Quantised(vectors)
+    power = int(max(exponent(queries).max(), exponent(vectors).max()))
+    asked, offered = Quantised(np.ldexp(queries, -power)), Quantised(np.ldexp(vectors, -power))
     heaps: list[list[tuple[float, int]]] = [[] for _ in query_ids]  # worst first: signs are turned
     step = TILE // 4
     for at in range(0, len(ids), TILE):
@@ -87,13 +106,13 @@ def nearest_in_cell(
             part = slice(first, first + step)
             lower, upper = asked.bounds(part, offered, some)
             own = query_ids[part][:, None] == ids[some][None, :]
-            lower[own] = upper[own] = np.inf
+            upper[own] = np.inf
             limit = np.full(len(lower), np.inf)
             if upper.shape[1] > k:
                 limit = np.partition(upper, k - 1, axis=1)[:, k - 1]
-            worst = [-h[0][0] if len(h) == k else np.inf for h in heaps[part]]
-            limit = np.minimum(limit, worst)
-            row, column = np.nonzero((lower <= limit[:, None]) & np.isfinite(lower))
+            worst = np.array([-h[0][0] if len(h) == k else np.inf for h in heaps[part]])
+            limit = np.minimum(limit, np.ldexp(worst, -power))
+            row, column = np.nonzero((lower <= limit[:, None]) & ~own)
             exact = distances(queries[first + row], vectors[at + column])
             for q, far, id in zip((first + row).tolist(), exact.tolist(), ids[at + column].tolist()):
                 entry = (-far, -id)

@@ -326,7 +326,81 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(documents(spark, sf_dir), public_tokenizers.path(PIECES))
 
 
-@query()
+@query(
+    r"""
+WITH RECURSIVE source AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+marked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(flatten(list_transform(string_split(name, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))::BIGINT[],
+             lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x)
+                                 ELSE xor(crc >> 1, CASE WHEN crc & 1 = 1 THEN 3988292384 ELSE 0 END) END,
+             4294967295::BIGINT), 4294967295::BIGINT) % 20 AS fault
+  FROM source),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM marked, range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) times(n)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS place,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare
+  FROM damaged),
+rows AS (
+  SELECT *, bare = '' AS blank,
+         bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS duplicate,
+         bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) = 1
+           AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY place) || role[1]
+           NOT IN ('su', 'ua', 'au') AS illegal
+  FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+         count(*) FILTER (illegal) AS illegal, count(*) AS n
+  FROM rows GROUP BY conv_id),
+-- From the end: cost, letters and rows of the best rest after nothing, a system, a user and an assistant.
+steps(conv_id, place, v0, v1, v2, v3) AS (
+  SELECT conv_id, n, {'c': 0, 'a': '', 'o': []::VARCHAR[]}, {'c': 10, 'a': 'II', 'o': ['user:', 'assistant:']},
+         {'c': 5, 'a': 'I', 'o': ['assistant:']}, {'c': 0, 'a': '', 'o': []::VARCHAR[]}
+  FROM counts
+  UNION ALL
+  SELECT conv_id, place,
+         least(r0, {'c': 5 + w2.c, 'a': 'I' || w2.a, 'o': list_prepend('user:', w2.o)}),
+         least(r1, {'c': 5 + w2.c, 'a': 'I' || w2.a, 'o': list_prepend('user:', w2.o)}), w2, w3
+  FROM (
+    SELECT *, least(r2, {'c': 5 + r3.c, 'a': 'I' || r3.a, 'o': list_prepend('assistant:', r3.o)}) AS w2,
+           least(r3, {'c': 5 + r2.c, 'a': 'I' || r2.a, 'o': list_prepend('user:', r2.o)}) AS w3
+    FROM (
+      SELECT r.conv_id, r.place - 1 AS place,
+             least({'c': 2 + v0.c, 'a': 'D' || v0.a, 'o': v0.o},
+                   CASE WHEN stays THEN {'c': late + 1 + v2.c, 'a': 'R' || v2.a, 'o': list_prepend('user:' || text, v2.o)} END,
+                   CASE WHEN stays AND i = 's' THEN {'c': late + v1.c, 'a': 'K' || v1.a, 'o': list_prepend(own, v1.o)}
+                        WHEN stays AND i = 'u' THEN {'c': late + v2.c, 'a': 'K' || v2.a, 'o': list_prepend(own, v2.o)}
+                        WHEN stays AND i = '' THEN {'c': late + v0.c, 'a': 'K' || v0.a, 'o': list_prepend(own, v0.o)} END) AS r0,
+             least({'c': 2 + v1.c, 'a': 'D' || v1.a, 'o': v1.o},
+                   CASE WHEN stays THEN {'c': late + 1 + v2.c, 'a': 'R' || v2.a, 'o': list_prepend('user:' || text, v2.o)} END,
+                   CASE WHEN stays AND i = 'u' THEN {'c': late + v2.c, 'a': 'K' || v2.a, 'o': list_prepend(own, v2.o)}
+                        WHEN stays AND i = '' THEN {'c': late + v1.c, 'a': 'K' || v1.a, 'o': list_prepend(own, v1.o)} END) AS r1,
+             least({'c': 2 + v2.c, 'a': 'D' || v2.a, 'o': v2.o},
+                   CASE WHEN stays THEN {'c': late + 1 + v3.c, 'a': 'R' || v3.a, 'o': list_prepend('assistant:' || text, v3.o)} END,
+                   CASE WHEN stays AND i = 'a' THEN {'c': late + v3.c, 'a': 'K' || v3.a, 'o': list_prepend(own, v3.o)}
+                        WHEN stays AND i = '' THEN {'c': late + v2.c, 'a': 'K' || v2.a, 'o': list_prepend(own, v2.o)} END) AS r2,
+             least({'c': 2 + v3.c, 'a': 'D' || v3.a, 'o': v3.o},
+                   CASE WHEN stays THEN {'c': late + 1 + v2.c, 'a': 'R' || v2.a, 'o': list_prepend('user:' || text, v2.o)} END,
+                   CASE WHEN stays AND i = 'u' THEN {'c': late + v2.c, 'a': 'K' || v2.a, 'o': list_prepend(own, v2.o)}
+                        WHEN stays AND i = '' THEN {'c': late + v3.c, 'a': 'K' || v3.a, 'o': list_prepend(own, v3.o)} END) AS r3
+      FROM (SELECT *, NOT blank AND NOT duplicate AS stays, CASE WHEN truncated THEN 5 ELSE 0 END AS late,
+                   role[1] AS i, role || ':' || text AS own FROM rows) r
+      JOIN steps s ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND s.place = r.place)))
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(v0.c, 0)::BIGINT AS cost, coalesce(v0.a, '') AS audit,
+       sha256(coalesce(array_to_string(v0.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counts k ON c.conv_id IS NOT DISTINCT FROM k.conv_id
+LEFT JOIN steps s ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND s.place = 0
+"""
+)
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every damaged conversation, and its cheapest repair."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet")

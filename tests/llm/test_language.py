@@ -113,3 +113,23 @@ def test_nothing_to_learn_from(spark):
     assert {r["lang_pred"] for r in language.identify(df, models, ["doc_id"]).collect()} == {"und"}
     models = language.fit(df, F.lit(True))
     assert language.identify(df.limit(0), models, ["doc_id"]).collect() == []
+
+
+def test_a_repeated_id_counts_once_in_the_sample(spark):
+    """One document repeated more often than the sample has places leaves room for the others."""
+    data = [(i, f"{WORDS['aa'][i % 20]} word{'abcdefghij'[i % 10]}", "aa") for i in range(60)]
+    df = frame(spark, data + [(7, "der die das", "aa")] * 300)
+    sample = language._sample(df, F.lit(True), 50).collect()
+    assert len(sample) == 50
+    assert len({r["text"] for r in sample}) > 10
+
+
+def test_all_ngrams_of_the_sample_are_kept(spark):
+    """A small language beside a large one keeps its rarest n-grams, so each model stays a distribution."""
+    draw = random.Random(1)
+    big = [(i, " ".join("".join(draw.choices("abcdefghijkl", k=6)) for _ in range(80)), "aa") for i in range(40)]
+    df = frame(spark, big + [(1000 + i, "zwq " * 3 + "wzq", "bb") for i in range(5)])
+    models = language.fit(df, F.lit(True))
+    for gram in ("z", "zw", "zwq", "zwq ", " wzq", "wzq", "wzq "):
+        at = int(np.searchsorted(models.hashes, np.uint64(language.gram_hash(gram))))
+        assert models.hashes[at] == language.gram_hash(gram)

@@ -47,6 +47,21 @@ def test_nearest_are_exact(spark, block, scale):
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want], rel=1e-12)
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_components_of_any_size(spark, block):
+    """Squares beyond the range of doubles, in either direction, lose nobody."""
+    draw = random.Random(7)
+    sizes = [1e200, 1e155, 1.0, 1e-155, 1e-200, 5e-324, 1e307]
+    rows = [(0, [1e200, 1.0]), (1, [2e200, 1.0]), (2, [1e155, 2.0]), (3, [3.0, 4.0]), (4, [1e200, 1.0])]
+    rows += [(i, [draw.gauss(0, 1) * draw.choice(sizes) for _ in range(2)]) for i in range(5, 60)]
+    rows += [(100 * i, [draw.choice(sizes), draw.choice(sizes) * draw.random()]) for i in range(1, 9)]
+    df = spark.createDataFrame([(i, v, "a", "b", 1) for i, v in rows], SCHEMA.replace("float", "double"))
+    got = neighbours.nearest(df, F.col("vec_id") % 100 == 0, 5, query_block=2, candidate_block=block).collect()
+    want = plain(rows, 5)
+    assert sorted(r[:3] for r in map(tuple, got)) == [w[:3] for w in want]
+    assert [r[3] for r in sorted(map(tuple, got))] == pytest.approx([w[3] for w in want], rel=1e-12, abs=0)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect() == []
