@@ -1,12 +1,13 @@
 """Licence scans with a positional index of rare words.
 
 Words are counted over the corpus first: how many documents have each word of
-the licence templates. The templates' postings say which word stands where. A
-document is then looked up by its rarest licence words: every place of such a
-word, less the word's position in a template, is a place where the template
-would begin, and places on which several rare words agree are candidates. A
-candidate counts when the template's key phrases stand, word by word, where
-they should (a few words may be missing or added before them).
+the licences' key phrases. By these counts every key phrase is indexed under its
+rarest words with their positions in it, so what else a text holds never crowds
+a phrase out. A document's licence words are looked up from the rarest on: a
+phrase led by the word is a candidate if its other rare words are there too, and
+the places where it would begin, as each of them tells, are intersected. What is
+left is verified word by word. A template counts where all its key phrases stand
+at their distances from each other, a few words more or less.
 
 Independent of that, the base phrases are found wherever their words stand
 consecutively; their labels always stay.
@@ -22,12 +23,16 @@ last words of the block before.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corvane.llm.license_texts import TEMPLATES
 from corvane.llm.texts import word_blocks
 
 # Fixed values of the contract.
@@ -37,32 +42,9 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-# Notices by which public licences are commonly granted: label, words, key phrases.
-TEMPLATES = [
-    ("apache-2", "licensed under the apache license version 2 0", ["apache license version 2"]),
-    ("apache-2", "spdx license identifier apache 2 0", ["license identifier apache 2 0"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use", "with or without modification"]),
-    ("bsd", "spdx license identifier bsd 3 clause", ["license identifier bsd"]),
-    ("cc-by", "licensed under cc by 4 0", ["cc by 4 0"]),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial"]),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
-    ("gpl-2", "licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
-    ("gpl-3", "licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
-    ("gpl-3", "spdx license identifier gpl 3 0", ["license identifier gpl 3 0"]),
-    ("lgpl-3", "licensed under the gnu lesser general public license version 3", ["gnu lesser general public license version 3"]),
-    ("mit", "released under the mit license", ["under the mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted free of charge"]),
-    ("mit", "spdx license identifier mit", ["license identifier mit"]),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2"]),
-]
-
-RARE = 4  # words of a template by which it is looked up
-AGREE = 2  # of them that have to agree on a place
-SLACK = 3  # words missing or added before a key phrase
-CARRY = 64  # words of a block that are seen again with the next; above any template's length
+RARE = 3  # words of a key phrase by which it is looked up
+SLACK = 3  # words missing or added between key phrases, and one more in so many words:
+DRIFT = 10
 
 _LETTERS = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _FOLD = bytes(
@@ -75,51 +57,83 @@ def words_of(block: bytes) -> list[bytes]:
     return block.translate(_FOLD).split()
 
 
-class Template:
-    def __init__(self, label: str, words: str, keys: list[str]):
-        self.label, self.words = label, words.encode().split()
-        self.postings: dict[bytes, list[int]] = {}
-        for at, word in enumerate(self.words):
-            self.postings.setdefault(word, []).append(at)
-        self.keys = []
+class Template(NamedTuple):
+    label: str
+    words: list[bytes]
+    keys: list[tuple[int, int]]  # place in the template and number of each key phrase
+
+
+def _templates(texts: list[tuple[str, str, list[str]]]) -> tuple[list[Template], list[list[bytes]]]:
+    """Templates and the different key phrases of all of them."""
+    phrases: list[list[bytes]] = []
+    found = []
+    for label, text, keys in texts:
+        words, placed = words_of(text.encode()), []
         for key in keys:
-            phrase = key.encode().split()
-            at = next(i for i in range(len(self.words)) if self.words[i : i + len(phrase)] == phrase)
-            self.keys.append((at, phrase))
-        self.needed = frozenset(w for _, phrase in self.keys for w in phrase)
-
-    def place(self, words: list[bytes], places: dict[bytes, list[int]], rarity: dict[bytes, float]) -> float:
-        """Share of the template's words in place at the best verified candidate; 0 for none."""
-        held = sorted((w for w in self.postings if w in places), key=lambda w: (-rarity[w], w))[:RARE]
-        votes: dict[int, set[bytes]] = {}
-        for word in held:
-            for at in places[word]:
-                for own in self.postings[word]:
-                    votes.setdefault(at - own, set()).add(word)
-        best = 0.0
-        for begin in votes:
-            near = set().union(*(votes.get(begin + d, ()) for d in range(-SLACK, SLACK + 1)))
-            if len(near) >= min(AGREE, len(held)) and self._verified(words, begin):
-                stand = sum(
-                    0 <= begin + i < len(words) and words[begin + i] == w for i, w in enumerate(self.words)
-                )
-                best = max(best, stand / len(self.words))
-        return best
-
-    def _verified(self, words: list[bytes], begin: int) -> bool:
-        def stands(at: int, phrase: list[bytes]) -> bool:
-            starts = range(max(0, begin + at - SLACK), begin + at + SLACK + 1)
-            return any(words[s : s + len(phrase)] == phrase for s in starts)
-
-        return all(stands(at, phrase) for at, phrase in self.keys)
-
-
-_TEMPLATES = [Template(*t) for t in TEMPLATES]
-_BASE = [(p.encode().split(), label) for p, label in BASE.items()]
-VOCABULARY = frozenset(w for t in _TEMPLATES for w in t.words) | frozenset(w for p, _ in _BASE for w in p)
+            phrase = words_of(key.encode())
+            at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+            if phrase not in phrases:
+                phrases.append(phrase)
+            placed.append((at, phrases.index(phrase)))
+        found.append(Template(label, words, placed))
+    return found, phrases
 
 
-def scan(text: bytes, rarity: dict[bytes, float]) -> tuple:
+_TEMPLATES, _PHRASES = _templates(TEMPLATES)
+_BASE = [(p.encode().split(), label) for p, label in BASE.items()]
+VOCABULARY = frozenset(w for p in _PHRASES for w in p) | frozenset(w for p, _ in _BASE for w in p)
+CARRY = max(len(t.words) for t in _TEMPLATES) * (DRIFT + 1) // DRIFT + SLACK  # words seen again with the next block
+
+
+class Index:
+    """Key phrases under the rarest of their words, with the words' positions."""
+
+    def __init__(self, rarity: dict[bytes, float]):
+        self.rarity = rarity
+        self.led: dict[bytes, list[int]] = {}
+        self.postings: list[list[tuple[bytes, int]]] = []
+        for number, phrase in enumerate(_PHRASES):
+            rare = sorted(set(phrase), key=lambda w: (-rarity[w], w))[:RARE]
+            self.postings.append([(w, at) for w in rare for at in range(len(phrase)) if phrase[at] == w])
+            self.led.setdefault(rare[0], []).append(number)
+        self.uses: dict[int, list[Template]] = {}
+        for template in _TEMPLATES:
+            self.uses.setdefault(template.keys[0][1], []).append(template)
+
+    def offered(self, present: frozenset[bytes]) -> list[int]:
+        """Key phrases whose rare words are all there, looked up by the rarest words of the text."""
+        rarest = sorted(present.intersection(self.led), key=lambda w: (-self.rarity[w], w))
+        return [n for word in rarest for n in self.led[word] if all(w in present for w, _ in self.postings[n])]
+
+    def stands(self, number: int, words: list[bytes], places: dict[bytes, list[int]]) -> list[int]:
+        """Where a key phrase begins, in order."""
+        (word, own), *others = self.postings[number]
+        starts = {at - own for at in places[word]}
+        for word, own in others:
+            starts.intersection_update([at - own for at in places[word]])
+        phrase = _PHRASES[number]
+        return sorted(s for s in starts if s >= 0 and words[s : s + len(phrase)] == phrase)
+
+    def matches(self, words: list[bytes], standing: dict[int, list[int]]) -> Iterator[tuple[str, float]]:
+        """``label, share`` of every place of a template whose key phrases all stand where they should."""
+        for first in standing:
+            for template in self.uses.get(first, ()):
+                at, _ = template.keys[0]
+                for start in standing[first]:
+                    if all(self._near(standing.get(n, ()), start, own - at) for own, n in template.keys[1:]):
+                        begin = start - at
+                        here = words[max(begin, 0) : begin + len(template.words)]
+                        stand = sum(map(eq, here, template.words[max(-begin, 0) :]))
+                        yield template.label, stand / len(template.words)
+
+    @staticmethod
+    def _near(starts: list[int], start: int, distance: int) -> bool:
+        room = SLACK + abs(distance) // DRIFT
+        at = bisect_left(starts, start + distance - room)
+        return at < len(starts) and starts[at] <= start + distance + room
+
+
+def scan(text: bytes, index: Index) -> tuple:
     """``n_words, n_base, first_word, last_word, base_labels, labels, score`` of a text."""
     count, starts, base, labels, score = 0, [], set(), set(), 0.0
     carried: list[bytes] = []
@@ -129,7 +143,7 @@ def scan(text: bytes, rarity: dict[bytes, float]) -> tuple:
         before = count - len(carried)
         count += len(fresh)
         present = VOCABULARY.intersection(words)
-        offered = [t for t in _TEMPLATES if t.needed <= present]
+        offered = index.offered(present)
         phrases = [(p, label) for p, label in _BASE if present.issuperset(p)]
         if offered or phrases:
             places: dict[bytes, list[int]] = {}
@@ -142,11 +156,10 @@ def scan(text: bytes, rarity: dict[bytes, float]) -> tuple:
                     if at + len(phrase) > len(carried) and words[at : at + len(phrase)] == phrase:
                         starts.append(before + at)
                         base.add(label)
-            for template in offered:
-                share = template.place(words, places, rarity)
-                if share:
-                    labels.add(template.label)
-                    score = max(score, share)
+            standing = {n: found for n in offered if (found := index.stands(n, words, places))}
+            for label, share in index.matches(words, standing):
+                labels.add(label)
+                score = max(score, share)
         carried = words[-CARRY:]
     first, last = (min(starts), max(starts)) if starts else (None, None)
     score = 1.0 if base else score
@@ -158,7 +171,7 @@ def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> dict[bytes, int]:
-    """How many documents have each word of the templates (a fixed, short list); ``b""`` counts all."""
+    """How many documents have each word of the key phrases (a fixed, short list); ``b""`` counts all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -174,7 +187,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> dict[bytes, int
         )
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, docs long")
-    rows = counted.groupBy("word").agg(F.sum("docs").alias("docs")).collect()  # one row per template word
+    rows = counted.groupBy("word").agg(F.sum("docs").alias("docs")).collect()  # one row per word of the key phrases
     return {r["word"].encode(): r["docs"] for r in rows}
 
 
@@ -191,8 +204,9 @@ def licenses(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     names = [c.split()[0] for c in schema.split(", ")]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(rarity)
         for batch in batches:
-            found = [scan((t.as_py() or "").encode(), rarity) for t in batch.column(1)]
+            found = [scan((t.as_py() or "").encode(), index) for t in batch.column(1)]
             columns = [pa.array([f[i] for f in found], type=kinds[i + 1]) for i in range(7)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
