@@ -232,43 +232,86 @@ TOOLS = {
 
 @query(
     r"""
-WITH m AS (
-  SELECT *, conv_id || ':' || turn AS own, conv_id || ':' || (turn - 1) AS asked,
-         coalesce(text, '') AS body
-  FROM conversations)
-SELECT a.conv_id, a.turn, a.role,
-       CASE a.role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'plain' END AS kind,
-       CASE a.role WHEN 'user' THEN a.own WHEN 'assistant' THEN a.asked END AS call_id,
-       coalesce(b.turn, -1) AS linked_turn,
-       CASE a.role WHEN 'user' THEN CASE WHEN b.turn IS NULL THEN 'unanswered' ELSE 'answered' END
-                   WHEN 'assistant' THEN CASE WHEN b.turn IS NULL THEN 'orphan' ELSE 'linked' END
-                   ELSE 'plain' END AS status,
-       CASE WHEN a.role = 'user' AND length(a.body) < 20 THEN '$.question: wrong length' ELSE '' END AS errors,
-       a.turn AS order_at, 0 AS order_depth,
-       CASE a.role
-         WHEN 'user' THEN '{"content":null,"role":"user","tool_calls":[{"arguments":{"question":' || to_json(a.body)
-              || ',"turn":' || a.turn || '},"id":"' || a.own || '","name":"answer"}]}'
-         WHEN 'assistant' THEN '{"content":' || to_json(a.body) || ',"role":"assistant","tool_call_id":"' || a.asked || '"}'
-         ELSE '{"content":' || to_json(a.body) || ',"role":' || to_json(a.role) || '}' END AS json
-FROM m a
-LEFT JOIN m b ON a.conv_id = b.conv_id
-  AND ((a.role = 'user' AND b.role = 'assistant' AND b.asked = a.own)
-    OR (a.role = 'assistant' AND b.role = 'user' AND b.own = a.asked))
+WITH RECURSIVE m AS (
+  SELECT *, coalesce(text, '') AS body,
+         CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'plain' END AS kind,
+         CASE WHEN conv_id % 3 = 2 AND conv_id % 5 = 0 THEN conv_id || ':same'
+              WHEN role = 'user' THEN conv_id || ':' || turn
+              WHEN role = 'assistant' THEN conv_id || ':' || (turn + CASE WHEN conv_id % 3 = 1 THEN 1 ELSE -1 END) END AS id,
+         CASE WHEN role = 'user' AND conv_id % 3 = 0
+              THEN list_filter([conv_id || ':' || (turn + 2), CASE WHEN conv_id % 9 = 0 THEN conv_id || ':' || (turn - 2) END],
+                               lambda x: x IS NOT NULL) END AS after,
+         role = 'user' AND turn % 4 = 1 AS bad
+  FROM conversations),
+ends AS (
+  SELECT conv_id, id, min(turn) FILTER (kind = 'call') AS called, min(turn) FILTER (kind = 'result') AS answered
+  FROM m WHERE kind <> 'plain' GROUP BY ALL),
+waits AS (
+  SELECT m.conv_id, called AS before, turn FROM m JOIN ends USING (conv_id, id) WHERE kind = 'result' AND called <> turn
+  UNION
+  SELECT n.conv_id, coalesce(answered, called), turn
+  FROM (SELECT conv_id, turn, unnest(after) AS id FROM m WHERE kind = 'call') n JOIN ends USING (conv_id, id)),
+-- Every message with all that it waits for, and by chains of what length; a chain of 40 is a cycle.
+chains AS (
+  SELECT DISTINCT conv_id, turn, turn AS latest, 0 AS depth FROM m
+  UNION
+  SELECT w.conv_id, w.turn, c.latest, c.depth + 1
+  FROM chains c JOIN waits w ON c.conv_id = w.conv_id AND c.turn = w.before WHERE c.depth < 40),
+places AS (
+  SELECT conv_id, turn, max(depth) >= 40 AS cyclic, max({'latest': latest, 'depth': depth}) AS place
+  FROM chains GROUP BY conv_id, turn),
+rows AS (
+  SELECT conv_id, turn, role, kind, CASE WHEN kind <> 'plain' THEN id END AS call_id, false AS extra, body, bad, after FROM m
+  UNION ALL
+  SELECT conv_id, turn, role, kind, NULL, true, body, bad, after FROM m WHERE bad)
+SELECT r.conv_id, r.turn, r.role, r.kind, r.call_id,
+       coalesce(CASE r.kind WHEN 'call' THEN answered WHEN 'result' THEN called END, -1) AS linked_turn,
+       CASE WHEN cyclic THEN 'cycle' WHEN kind = 'plain' THEN 'plain'
+            WHEN kind = 'call' THEN CASE WHEN r.turn > called THEN 'repeated' WHEN answered IS NULL THEN 'unanswered' ELSE 'answered' END
+            WHEN called IS NULL THEN 'orphan' WHEN r.turn > answered THEN 'repeated' ELSE 'linked' END AS status,
+       CASE WHEN extra THEN 'not an object'
+            WHEN kind = 'call' AND length(body) < 20 THEN '$.question: wrong length' ELSE '' END AS errors,
+       CASE WHEN cyclic THEN r.turn ELSE place.latest END AS order_at,
+       CASE WHEN cyclic THEN 0 ELSE place.depth END AS order_depth,
+       CASE kind
+         WHEN 'call' THEN '{"content":null,"role":"user","tool_calls":[{'
+              || CASE WHEN after IS NULL THEN '' ELSE '"after":["' || array_to_string(after, '","') || '"],' END
+              || '"arguments":{"question":' || to_json(body) || ',"turn":' || r.turn || '},"id":"'
+              || CASE WHEN r.conv_id % 3 = 2 AND r.conv_id % 5 = 0 THEN r.conv_id || ':same' ELSE r.conv_id || ':' || r.turn END
+              || '","name":"answer"}' || CASE WHEN bad THEN ',7' ELSE '' END || ']}'
+         WHEN 'result' THEN '{"content":' || to_json(body) || ',"role":"assistant","tool_call_id":"' || r.call_id || '"}'
+         ELSE '{"content":' || to_json(body) || ',"role":' || to_json(r.role) || '}' END AS json
+FROM rows r
+LEFT JOIN ends e ON r.conv_id = e.conv_id AND r.call_id = e.id
+JOIN places p ON r.conv_id = p.conv_id AND r.turn = p.turn
 """
 )
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dialogues as tool traffic, linked, ordered, validated and in canonical JSON.
 
     A user's message calls the tool ``answer``, and the assistant's next message
-    is the result of that call; both are written as JSON texts first.
+    is the result of that call; both are written as JSON texts first. In a third
+    of the conversations a call waits for the next one, in some of these also for
+    the one before; in another third the results come before their calls, and in
+    some of the rest all calls have one id. Some calls have a broken entry beside.
     """
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    body, own = F.coalesce("text", F.lit("")), F.concat_ws(":", "conv_id", "turn")
-    asked = F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1)
-    arguments = F.struct(body.alias("question"), F.col("turn"))
-    call = F.struct(own.alias("id"), F.lit("answer").alias("name"), arguments.alias("arguments"))
+    conv, turn, body = F.col("conv_id"), F.col("turn"), F.coalesce("text", F.lit(""))
+    named = lambda at: F.concat_ws(":", conv, at)
+    same = (conv % 3 == 2) & (conv % 5 == 0)
+    own = F.when(same, named(F.lit("same"))).otherwise(named(turn))
+    step = F.when(conv % 3 == 1, 1).otherwise(-1)
+    asked = F.when(same, named(F.lit("same"))).otherwise(named(turn + step))
+    after = F.array_compact(F.array(named(turn + 2), F.when(conv % 9 == 0, named(turn - 2))))
+    call = F.struct(
+        own.alias("id"),
+        F.lit("answer").alias("name"),
+        F.struct(body.alias("question"), "turn").alias("arguments"),
+        F.when(conv % 3 == 0, after).alias("after"),
+    )
+    bad = F.when(turn % 4 == 1, ",7]}").otherwise("]}")
     text = (
-        F.when(F.col("role") == "user", F.to_json(F.struct(F.array(call).alias("tool_calls"))))
+        F.when(F.col("role") == "user", F.concat(F.lit('{"tool_calls":['), F.to_json(call), bad))
         .when(F.col("role") == "assistant", F.to_json(F.struct(asked.alias("tool_call_id"), body.alias("content"))))
         .otherwise(F.col("text"))
     )

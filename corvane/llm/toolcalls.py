@@ -8,8 +8,9 @@ has to come before it: a result after its call, a call after the results (or
 else the calls) it names in ``after``. Messages keep the order of their turns
 wherever that agrees; those that come too early move behind what they wait for.
 
-The order is a sort key per message, ``order_at, order_depth, turn``, not a
-position: no conversation, however long, is brought together in one task.
+The order is a sort key per message, ``order_at, order_depth, turn, kind``, not a
+position: no conversation, however long, is brought together in one task. Only
+the waits of conversations in which a message comes too early are followed.
 Arguments are checked against their tool's schema, and every message is
 written as JSON with sorted keys and without blanks.
 
@@ -17,7 +18,11 @@ Defined results. ``status`` of a call: ``answered``, ``unanswered``, or
 ``repeated`` when an earlier call of the conversation has its id; of a result:
 ``linked``, ``orphan`` without a call, or ``repeated`` when an earlier message
 answers the call; ``plain`` for others, ``cycle`` where messages wait for each
-other. NULL text reads as empty. Text that is not such an object, or not JSON,
+other, or for some that do. Messages of one turn: calls before results. An entry
+of ``tool_calls`` that is no object is a call without an id, with an error. Ids
+that are no strings count by their JSON. A number beyond doubles is not JSON; half
+a surrogate pair becomes a replacement mark; other fields of a message stay in
+its JSON. NULL text reads as empty. Text that is not such an object, or not JSON,
 is plain. NULL conversations or ids link to nothing. Repeated rows are messages
 of their own; an empty table gives no rows. Only the named columns are read.
 """
@@ -29,28 +34,49 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.session import staged
 
 Schema = dict
+HALVES = re.compile("[\ud800-\udfff]")
+LOCAL = 100_000  # waits of a conversation up to which one task orders it
 
 CALL = "struct<id: string, name: string, arguments: string, errors: string, after: array<string>>"
 READ = f"conv_id long, turn long, role string, kind string, calls array<{CALL}>, call_id string, json string"
 
 
 def canonical(value: object) -> str:
-    """JSON with sorted keys and no blanks; whole numbers without a fraction."""
+    """JSON with sorted keys and no blanks; whole numbers without a fraction.
 
-    def plain(x: object) -> object:
-        if isinstance(x, float) and x.is_integer() and abs(x) < 2**53:
-            return int(x)
-        if isinstance(x, dict):
-            return {k: plain(v) for k, v in x.items()}
-        return [plain(v) for v in x] if isinstance(x, list) else x
-
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    Walks with a stack of its own, so that depth is no limit. Half of a surrogate
+    pair is no character and becomes a replacement mark.
+    """
+    out: list[str] = []
+    rest: list[tuple[bool, object]] = [(False, value)]  # what is still to be written; True: as it is
+    while rest:
+        ready, x = rest.pop()
+        if ready:
+            out.append(x)
+        elif isinstance(x, dict):
+            parts = [(False, x[k]) if i else (True, f"{json.dumps(k, ensure_ascii=False)}:") for k in sorted(x) for i in (0, 1)]
+            commas = [part for i, part in enumerate(parts) for part in ([(True, ",")] if i and i % 2 == 0 else []) + [part]]
+            rest += [(True, "}"), *reversed(commas), (True, "{")]
+        elif isinstance(x, list):
+            commas = [part for i, v in enumerate(x) for part in ([(True, ",")] if i else []) + [(False, v)]]
+            rest += [(True, "]"), *reversed(commas), (True, "[")]
+        else:
+            whole = isinstance(x, float) and x.is_integer() and abs(x) < 2**53
+            out.append(json.dumps(int(x) if whole else x, ensure_ascii=False))
+    return characters("".join(out))
+
+
+def characters(text: str) -> str:
+    """The text with a replacement mark for every half of a surrogate pair."""
+    return HALVES.sub("\ufffd", text)
 
 
 def _is(kind: str, value: object) -> bool:
@@ -58,7 +84,7 @@ def _is(kind: str, value: object) -> bool:
     return {
         "null": value is None,
         "boolean": isinstance(value, bool),
-        "integer": number and float(value).is_integer(),
+        "integer": number and (isinstance(value, int) or value.is_integer()),
         "number": number,
         "string": isinstance(value, str),
         "array": isinstance(value, list),
@@ -103,18 +129,25 @@ def _refuse(name: str) -> float:
     raise ValueError(f"{name} is not JSON")
 
 
+def _number(digits: str) -> float:
+    """A number with a fraction or an exponent; one that no double holds is refused."""
+    value = float(digits)
+    return value if math.isfinite(value) else _refuse(digits)
+
+
 def parse(text: str) -> object:
     """The value of a JSON text; None when it is not one."""
     try:
-        return json.loads(text, parse_constant=_refuse)
+        return json.loads(text, parse_constant=_refuse, parse_float=_number)
     except (ValueError, RecursionError):
         return None
 
 
-def read_call(call: object, schemas: dict[str, Schema]) -> dict | None:
-    """A call's parts, with canonical arguments and what is wrong with them."""
+def read_call(call: object, schemas: dict[str, Schema]) -> dict:
+    """A call's parts, with canonical arguments and what is wrong with them; ``shown`` is how it is written."""
     if not isinstance(call, dict):
-        return None
+        whole = canonical(call)
+        return {"id": None, "name": None, "arguments": whole, "errors": "not an object", "after": [], "shown": call}
     inner = call["function"] if isinstance(call.get("function"), dict) else call
     name, given = inner.get("name"), inner.get("arguments")
     value = parse(given) if isinstance(given, str) else given
@@ -125,15 +158,25 @@ def read_call(call: object, schemas: dict[str, Schema]) -> dict | None:
     else:
         errors = violations(value, schemas[name])
     after = call.get("after") if isinstance(call.get("after"), list) else []
+    id = None if call.get("id") is None else as_text(call["id"])
+    name = None if name is None else as_text(name)
+    arguments = value if isinstance(value, dict) else given
+    others = {k: v for k, v in call.items() if k != "function"}
     return {
-        "id": None if call.get("id") is None else str(call["id"]),
-        "name": None if name is None else str(name),
-        "arguments": canonical(value if isinstance(value, dict) else given),
-        "errors": "; ".join(errors),
-        "after": [str(a) for a in after if a is not None],
+        "id": id,
+        "name": name,
+        "arguments": canonical(arguments),
+        "errors": characters("; ".join(errors)),
+        "after": [as_text(a) for a in after if a is not None],
+        "shown": {**others, "id": id, "name": name, "arguments": arguments},
     }
 
 
+def as_text(id: object) -> str:
+    """An identifier as text: strings as they are, anything else as canonical JSON."""
+    return characters(id) if isinstance(id, str) else canonical(id)
+
+
 def read_message(role: str | None, text: str | None, schemas: dict[str, Schema]) -> tuple:
     """``kind, calls, call_id, json`` of a message."""
     text = text or ""
@@ -141,14 +184,12 @@ def read_message(role: str | None, text: str | None, schemas: dict[str, Schema])
     out: dict = {"role": role, "content": text}
     calls, answered, kind = [], None, "plain"
     if isinstance(body, dict) and isinstance(body.get("tool_calls"), list):
-        calls = [c for c in (read_call(x, schemas) for x in body["tool_calls"]) if c]
-        kind, out["content"] = "call", body.get("content")
-        out["tool_calls"] = [
-            {"id": c["id"], "name": c["name"], "arguments": json.loads(c["arguments"])} for c in calls
-        ]
+        calls, kind = [read_call(x, schemas) for x in body["tool_calls"]], "call"
+        shown = [c.pop("shown") for c in calls]
+        out = {**body, "role": role, "content": body.get("content"), "tool_calls": shown}
     elif isinstance(body, dict) and body.get("tool_call_id") is not None:
-        answered, kind = str(body["tool_call_id"]), "result"
-        out["content"], out["tool_call_id"] = body.get("content"), answered
+        answered, kind = as_text(body["tool_call_id"]), "result"
+        out = {**body, "role": role, "content": body.get("content"), "tool_call_id": answered}
     return kind, calls, answered, canonical(out)
 
 
@@ -184,41 +225,76 @@ def read(
     return picked.mapInArrow(batches, READ)
 
 
-def _settled(waits: DataFrame) -> DataFrame:
-    """``conv_id, turn, at, depth`` of the messages that move, and whether they wait in a ``cycle``.
+MOVED = "conv_id long, turn long, at long, depth int, cycle boolean"
+
+
+def _order(waits: pd.DataFrame) -> pd.DataFrame:
+    """``conv_id, turn, at, depth, cycle`` of the messages of one conversation that wait, and of what they wait for.
+
+    Messages are settled once all that they wait for is; what never is, waits in a cycle.
+    """
+    turns = np.unique(np.concatenate([waits["before"], waits["turn"]]))
+    before, turn = np.searchsorted(turns, waits["before"]), np.searchsorted(turns, waits["turn"])
+    order = np.argsort(before, kind="stable")
+    first = np.searchsorted(before[order], np.arange(len(turns) + 1))
+    then = turn[order]
+    missing = np.bincount(turn, minlength=len(turns))
+    at, depth = turns.copy(), np.zeros(len(turns), dtype=np.int64)
+    ready = np.flatnonzero(missing == 0).tolist()
+    while ready:
+        one = ready.pop()
+        for other in then[first[one] : first[one + 1]].tolist():
+            if (at[one], depth[one] + 1) > (at[other], depth[other]):
+                at[other], depth[other] = at[one], depth[one] + 1
+            missing[other] -= 1
+            if not missing[other]:
+                ready.append(other)
+    key = waits["conv_id"].iloc[0]
+    return pd.DataFrame({"conv_id": key, "turn": turns, "at": at, "depth": depth.astype(np.int32), "cycle": missing > 0})
+
+
+def _settled(waits: DataFrame, local: int = LOCAL) -> DataFrame:
+    """``conv_id, turn, at, depth, cycle`` of the messages that wait.
 
     ``waits`` has ``conv_id, before, turn``: the message of turn ``turn`` comes
-    after that of turn ``before``. Only waits that turn order breaks are followed,
-    a round per link of the longest chain of them; a chain longer than its
-    conversation has waits is a cycle.
+    after that of turn ``before``. A message comes at the latest turn among all
+    that it waits for, directly or not, as deep as the longest chain from there.
+    A conversation of at most ``local`` waits is ordered in one task. Longer ones
+    are peeled: a round settles all messages that wait for settled ones only, and
+    as soon as a round settles none, what is left waits in a cycle.
     """
-    spark = waits.sparkSession
-    limits = staged(waits.groupBy("conv_id").agg(F.count(F.lit(1)).alias("waits")), "chat-waits")
-    start = F.struct(F.col("turn").alias("at"), F.lit(0).alias("depth"))
-    moved = spark.createDataFrame([], "conv_id long, turn long, at long, depth int, cycle boolean")
-    while True:
-        froms = moved.select("conv_id", F.col("turn").alias("before"), F.struct("at", "depth").alias("moved"))
-        tos = moved.select("conv_id", "turn", F.struct("at", "depth").alias("now"), "cycle")
-        first = F.coalesce("moved", F.struct(F.col("before").alias("at"), F.lit(0).alias("depth")))
-        placed = (
-            waits.join(froms, ["conv_id", "before"], "left")
-            .withColumn("first", first)
-            .join(tos, ["conv_id", "turn"], "left")
-            .withColumn("now", F.coalesce("now", start))
-            .filter((F.col("first") >= F.col("now")) & ~F.coalesce("cycle", F.lit(False)))
-        )
-        late = placed.groupBy("conv_id", "turn").agg(F.max("first").alias("first"))
-        late = late.join(limits, "conv_id").select(
-            "conv_id",
-            "turn",
-            F.col("first.at").alias("at"),
-            (F.col("first.depth") + 1).alias("depth"),
-            (F.col("first.depth") + 1 > F.col("waits")).alias("cycle"),
-        )
-        late = staged(late, "chat-late")
-        if late.isEmpty():
-            return moved
-        moved = staged(late.unionByName(moved.join(late, ["conv_id", "turn"], "left_anti")), "chat-moved")
+    counts = staged(waits.groupBy("conv_id").agg(F.count(F.lit(1)).alias("waits")), "chat-waits")
+    long = counts.filter(F.col("waits") > local).select("conv_id")
+    short = waits.join(long, "conv_id", "left_anti")
+    found = short.groupBy("conv_id").applyInPandas(_order, MOVED)
+    if long.isEmpty():
+        return found
+    edges = staged(waits.join(long, "conv_id"), "chat-long")
+    ends = edges.select("conv_id", F.explode(F.array("before", "turn")).alias("turn")).distinct()
+    waiting = edges.select("conv_id", "turn").distinct()
+    fresh = ends.join(waiting, ["conv_id", "turn"], "left_anti").select(
+        "conv_id", "turn", F.col("turn").alias("at"), F.lit(0).alias("depth")
+    )
+    settled = fresh = staged(fresh, "chat-settled")
+    while not fresh.isEmpty():
+        best = F.max(F.struct(F.col("at"), (F.col("depth") + 1).alias("depth"))).alias("first")
+        come = fresh.withColumnRenamed("turn", "before").join(edges, ["conv_id", "before"])
+        asked = edges.join(come.select("conv_id", "turn").distinct(), ["conv_id", "turn"])
+        known = settled.withColumnRenamed("turn", "before")
+        full = asked.join(known, ["conv_id", "before"], "left").groupBy("conv_id", "turn")
+        full = full.agg(best, F.count_if(F.col("at").isNull()).alias("missing")).filter("missing = 0")
+        own = F.struct(F.col("turn").alias("at"), F.lit(0).alias("depth"))
+        place = full.select("conv_id", "turn", F.greatest("first", own).alias("place"))
+        fresh = staged(place.select("conv_id", "turn", "place.at", "place.depth"), "chat-fresh")
+        settled = staged(settled.unionByName(fresh), "chat-settled")
+    left = ends.join(settled, ["conv_id", "turn"], "left").select(
+        "conv_id",
+        "turn",
+        F.coalesce("at", "turn").alias("at"),
+        F.coalesce("depth", F.lit(0)).alias("depth"),
+        F.col("at").isNull().alias("cycle"),
+    )
+    return found.unionByName(left)
 
 
 def linked(
@@ -266,11 +342,15 @@ def linked(
     )
     named = rows.filter(F.size("after") > 0).select("conv_id", "turn", F.explode("after").alias("call_id"))
     named = named.join(ends, ids).select("conv_id", F.coalesce("answered", "called").alias("before"), "turn")
+    # At one turn a call comes before its result anyhow; a call that names itself waits for ever.
+    own = own.filter("before <> turn")
     waits = own.unionByName(named).filter(F.col("turn").isNotNull()).distinct()
     waits = staged(waits, "chat-order")
     moved = waits.limit(0).selectExpr("conv_id", "turn", "turn AS at", "0 AS depth", "false AS cycle")
-    if not waits.filter("before >= turn").isEmpty():
-        moved = _settled(waits)
+    late = waits.filter("before >= turn").select("conv_id").distinct()
+    if not late.isEmpty():
+        # Only conversations in which some message comes too early.
+        moved = staged(_settled(staged(waits.join(late, "conv_id"), "chat-early")), "chat-moved")
 
     other = F.when(F.col("kind") == "call", F.col("answered")).when(F.col("kind") == "result", F.col("called"))
     return (

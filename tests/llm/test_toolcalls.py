@@ -134,3 +134,54 @@ def test_canonical_json(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_odd_json_ends_no_job(spark):
+    deep = '{"a":' * 2500 + "1" + "}" * 2500
+    rows = [
+        (1, 0, "assistant", '{"tool_calls":[{"id":"x\\ud800","name":"find","arguments":{"q":"\\ud800"}}]}'),
+        (1, 1, "tool", '{"tool_call_id":"y","content":"\\ud83d"}'),
+        (1, 2, "assistant", '{"tool_calls":[{"id":"d","name":"find","arguments":' + deep + "}]}"),
+        (1, 3, "assistant", '{"tool_calls":[{"id":"e","arguments":1e999}]}'),
+        (1, 4, "assistant", '{"tool_calls":[7,null,["x"],{"id":{"b":1,"a":2},"name":"find","arguments":{"q":"a"}}],"note":"kept"}'),
+        (1, 5, "tool", '{"tool_call_id":{"a":2,"b":1},"content":"ok","name":"find"}'),
+        (1, 6, "assistant", '{"tool_calls":[{"id":"n","name":"find","arguments":{"q":"a","n":1' + "0" * 400 + "}}]}"),
+    ]
+    got = run(spark, rows)
+    at = lambda turn: [r for r in got if r["turn"] == turn]
+    assert at(0)[0]["call_id"] == "x�" and json.loads(at(0)[0]["json"])["tool_calls"][0]["arguments"] == {"q": "�"}
+    assert json.loads(at(1)[0]["json"])["content"] == "�"
+    assert at(2)[0]["errors"] == "$.q: missing; $.a: not allowed"
+    assert deep in at(2)[0]["json"]
+    assert at(3)[0]["kind"] == "plain" and "1e999" in at(3)[0]["json"]
+    assert sorted((r["call_id"] or "", r["errors"]) for r in at(4)) == [("", "not an object")] * 3 + [('{"a":2,"b":1}', "")]
+    assert json.loads(at(4)[0]["json"])["note"] == "kept" and at(5)[0]["linked_turn"] == 4
+    assert json.loads(at(5)[0]["json"])["name"] == "find" and at(6)[0]["errors"] == "$.n: out of range"
+
+
+def test_a_call_and_its_result_at_one_turn(spark):
+    got = run(spark, [(1, 3, "tool", result("a")), (1, 3, "assistant", calls(call("a"))), (1, 1, "tool", result("a"))])
+    assert {r["status"] for r in got} == {"answered", "linked", "repeated"}
+    order = sorted(got, key=lambda r: (r["order_at"], r["order_depth"], r["turn"], r["kind"]))
+    assert [r["kind"] for r in order][0] == "call"
+    assert run(spark, [(1, 0, "assistant", calls(call("a", after=["a"])))])[0]["status"] == "cycle"
+
+
+def test_long_conversations_are_peeled(spark, monkeypatch):
+    """Peeled in rounds or ordered at once is the same; a cycle ends with the first round that settles nothing."""
+    rows = [(1, 2 * i, "tool", result(f"r{i}")) for i in range(300)]
+    rows += [(1, 2 * i + 1, "assistant", calls(call(f"r{i}"))) for i in range(300)]
+    rows += [(1, 1000, "assistant", calls(call("x", after=["y"]))), (1, 1001, "assistant", calls(call("y", after=["x"])))]
+    rows += [(1, 1002, "assistant", calls(call("z", after=["y"])))]
+    rows += [(1, 2000 + i, "assistant", calls(call(f"k{i}", after=[f"k{i + 1}", f"k{i + 2}"]))) for i in range(6)]
+    key = lambda found: sorted((r["turn"], r["status"], r["order_at"], r["order_depth"]) for r in found)
+    once = key(run(spark, rows))
+    rounds = []
+    stage = toolcalls.staged
+    monkeypatch.setattr(toolcalls, "staged", lambda df, label: rounds.append(label) or stage(df, label))
+    settled = toolcalls._settled
+    monkeypatch.setattr(toolcalls, "_settled", lambda waits: settled(waits, local=5))
+    assert key(run(spark, rows)) == once
+    assert rounds.count("chat-fresh") <= 8
+    assert [s for t, s, *_ in once if 1000 <= t <= 1002] == ["cycle"] * 3
+    assert [d for t, _, at, d in once if t >= 2000 and at == 2005] == [5, 4, 3, 2, 1, 0]
