@@ -2,7 +2,7 @@
 
 =====================  ====================================================
 ``hf_files:dir:split``  shards ``split-*`` of JSON lines in a directory
-``hf:dir:split``        columnar dataset, one sub-directory per split
+``hf:dir:split``        columnar dataset (Arrow or Parquet), one sub-directory per split
 ``org/name``            catalog table ``org.name`` with a ``split`` column
 anything else           glob over JSON line files
 =====================  ====================================================
@@ -13,10 +13,12 @@ The split is ``train`` where none is named.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corvane.sources import arrow
 from corvane.sources.files import (
     data_files,
     glob_paths,
@@ -35,9 +37,15 @@ NAMED = re.compile(r"(?!\.{0,2}/)[^*:/]+(/[^*:/]+)+")
 def read_columnar(
     spark: SparkSession, directory: str, split: str | None = None, strict: bool = True
 ) -> DataFrame:
-    """Parquet dataset: ``directory/split``, or the directory itself if it has no
-    splits. A missing split is an error, or with ``strict=False`` all splits."""
+    """Arrow dataset with a description, or Parquet: ``directory/split``, or the directory
+    itself if it has no splits. A missing split is an error, or with ``strict=False`` all splits."""
     root = directory.rstrip("/")
+    if glob_paths(spark, f"{root}/{{{arrow.SPLITS_FILE},{arrow.STATE_FILE}}}"):
+        names = arrow.splits_of(root)
+        if names is None or strict or split in names:
+            return arrow.read_arrow(spark, root, split or DEFAULT_SPLIT)
+        parts = [arrow.read_arrow(spark, root, name) for name in names]
+        return reduce(DataFrame.unionByName, parts)
     if glob_paths(spark, f"{root}/*.parquet"):
         return spark.read.parquet(root)
     splits = subdirectories(spark, root)

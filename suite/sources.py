@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvane.operators.ingest import parse_record
 from corvane.operators.scores import identify_runs
 from corvane.session import scratch_dir, staged
-from corvane.sources import catalog, files, locator, sinks
+from corvane.sources import arrow, catalog, files, locator, sinks
 from corvane.streaming.examples import stream_lines, stream_prepare as prepare_stream
 from corvane.streaming.history import stream_history as history_stream, stream_messages
 from corvane.streaming.metrics import stream_metrics as metrics_stream
@@ -109,6 +109,19 @@ def src_columnar(spark, sf):
     return rows.select("doc_id", F.md5("text").alias("digest"))
 
 
+@query("SELECT doc_id, lang, source, n_chars, md5(text) AS digest FROM documents")
+def src_arrow(spark, sf):
+    """A dataset of two Arrow splits with a description, read in ranges of its files."""
+    directory = scratch_dir(spark, "arrow")
+    docs = load(spark, sf, "documents")
+    french = F.col("lang").eqNullSafe("fr")
+    arrow.write_arrow_splits({"test": docs.filter(french), "train": docs.filter(~french)}, directory)
+    test = locator.read_dataset(spark, f"hf:{directory}:test")
+    train = arrow.read_arrow(spark, directory, "train", ["text", "doc_id", "n_chars", "source", "lang"], 1 << 20)
+    rows = test.unionByName(train)
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("digest"))
+
+
 @query(f"{DOCS_SQL} WHERE lang <> 'de'")
 def src_named(spark, sf):
     docs = load(spark, sf, "documents")
