@@ -15,8 +15,8 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corvane.functions import fixed
-from corvane.functions.let import let
 from corvane.session import staged
+from corvane.sources import json_lists
 
 SPLITS = 1_000_000  # rows of the broadcast table of splits
 
@@ -78,22 +78,32 @@ def read_lines(spark: SparkSession, paths: Sequence[str], tolerant: bool = False
     Gzip files cannot be split: lines that come from such files only are spread
     out once. A ``.json`` file may be one JSON list; it gives a line per element.
     """
-    lists = json_lists(spark, [p for p in paths if _is_json(p)], tolerant)
+    named = [p for p in paths if _is_json(p)]
+    where = json_lists.places(spark, named, tolerant) if named else None
+    lists = _listed(where, named) if named else set()
     plain = [p for p in paths if p not in lists]
-    found = []
-    if plain or not lists:
-        lines = _reader(spark, tolerant).text(plain).select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
-            F.col("value").alias("line"),
-        )
-        found.append(spread(lines) if plain and all(p.endswith(".gz") for p in plain) else lines)
+    found = [_plain_lines(spark, plain, tolerant)] if plain or not lists else []
     if lists:
-        found.append(read_json_lists(spark, sorted(lists), tolerant))
+        found.append(json_lists.elements(spark, sorted(lists), where, tolerant))
     return reduce(DataFrame.unionByName, found)
 
 
+def _plain_lines(spark: SparkSession, paths: Sequence[str], tolerant: bool) -> DataFrame:
+    lines = _reader(spark, tolerant).text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+        F.col("value").alias("line"),
+    )
+    return spread(lines) if paths and all(p.endswith(".gz") for p in paths) else lines
+
+
+def _listed(where: DataFrame, paths: Sequence[str]) -> set[str]:
+    """Those of the paths that are one JSON list (their names are on the driver as it is)."""
+    found = {_plain(r["file"]) for r in where.filter("listed").select("file").distinct().collect()}
+    return {p for p in paths if _plain(p) in found}
+
+
 def _reader(spark: SparkSession, tolerant: bool):
     options = {"ignoreCorruptFiles": str(tolerant).lower(), "ignoreMissingFiles": str(tolerant).lower()}
     return spark.read.options(**options)
@@ -103,23 +113,6 @@ def _is_json(path: str) -> bool:
     return path.endswith((".json", ".json.gz"))
 
 
-def json_lists(spark: SparkSession, paths: Sequence[str], tolerant: bool = False) -> set[str]:
-    """Those of the files whose text begins with a bracket. Runs a job over ``.json`` files."""
-    if not paths:
-        return set()
-    # The first line with any text in it; a list may stand on one line or on many.
-    text = F.ltrim("value")
-    rows = _reader(spark, tolerant).text(list(paths)).select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"), "value",
-        F.col("_metadata.file_block_start").alias("block"),
-    )
-    heads = rows.filter(F.length(F.btrim("value", F.lit(fixed.WHITESPACE))) > 0).groupBy("file").agg(
-        F.min_by(F.substr(text, F.lit(1), F.lit(1)), F.struct("block", "seq")).alias("head")
-    )
-    found = {_plain(r["file"]) for r in heads.filter("head = '['").collect()}
-    return {p for p in paths if _plain(p) in found}
-
-
 def _plain(path: str) -> str:
     """A path in one spelling: the metadata column writes it as a URI, listings do not."""
     named = path if re.match(r"[a-z][a-z0-9]*:", path) else f"file:{path}"
@@ -154,25 +147,6 @@ def read_jsonl(spark: SparkSession, pattern: str) -> DataFrame:
     return read_lines(spark, paths)
 
 
-def read_json_lists(spark: SparkSession, paths: Sequence[str], tolerant: bool = False) -> DataFrame:
-    """Files that are one JSON list each: a line per element, as JSON text.
-
-    JSON has no line structure, so such a file is one value while it is read (up
-    to 2 GB); use JSON lines beyond that. A file that is no list after all, only
-    begins like one, gives its lines as they are.
-    """
-    whole = _reader(spark, tolerant).text(list(paths), wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), "value"
-    )
-    # As the first of two elements: nothing may follow the list.
-    marked = F.from_json(F.concat(F.lit("["), "value", F.lit(',"\\u0001"]')), "array<string>")
-    listed = let(marked, lambda m: F.when((F.size(m) == 2) & (m[1] == "\x01"), F.from_json(m[0], "array<string>")))
-    lines = F.coalesce(listed, F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n"))
-    return whole.select(
-        "file", F.lit(0).cast("long").alias("block"), F.posexplode(lines).alias("seq", "line")
-    ).withColumn("seq", F.col("seq").cast("long"))
-
-
 def split_files(spark: SparkSession, directory: str, split: str) -> list[str]:
     """Shards ``{split}-*`` of the known kinds, without repeats, sorted."""
     found: set[str] = set()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from contextlib import contextmanager
+
+from pyspark.sql import Window, functions as F
 
 from corvane.operators.ingest import parse_record
 from corvane.operators.scores import identify_runs
@@ -49,9 +51,19 @@ def src_jsonl(spark, sf):
     return _digests(files.read_jsonl(spark, f"{directory}/**/*.txt"))
 
 
-@query(DOCS_SQL)
-def src_json_list(spark, sf):
-    """JSON lists per language, some pretty, some on one line, beside files of lines with the same suffix."""
+@contextmanager
+def _ranges(spark, size):
+    """Files are read in splits of this size; what is read has to be stored inside."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def _json_lists(spark, sf):
+    """Folder of JSON lists per language, some pretty, some on one line, beside files of lines with the same suffix."""
     directory = scratch_dir(spark, "json-lists")
     docs = document_json(spark, sf).select("lang", "doc_id", "line")
     plain = F.col("lang").eqNullSafe("en")
@@ -67,26 +79,46 @@ def src_json_list(spark, sf):
     lists = lists.select(F.replace(text, F.lit("\x02"), F.col("gap")).alias("value"), "lang", "list")
     lists.write.partitionBy("lang", "list").option("lineSep", " ").text(f"{directory}/raw/lists")
     name_as_json(spark, f"{directory}/raw")
-    return _digests(files.read_jsonl(spark, f"{directory}/**/raw/**/*.json"))
+    return directory
 
 
-@query(
-    """SELECT doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS number FROM documents"""
-)
+@query(DOCS_SQL)
+def src_json_list(spark, sf):
+    return _digests(files.read_jsonl(spark, f"{_json_lists(spark, sf)}/**/raw/**/*.json"))
+
+
+@query(DOCS_SQL)
+def src_json_ranges(spark, sf):
+    """The same lists in ranges of 64 KB, so that elements lie across ranges."""
+    directory = _json_lists(spark, sf)
+    with _ranges(spark, "64k"):
+        return staged(_digests(files.read_jsonl(spark, f"{directory}/**/raw/**/*.json")), "json-ranges")
+
+
+@query("SELECT doc_id, lang, source, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS BIGINT) AS number FROM documents")
 def src_line_numbers(spark, sf):
-    """Line numbers do not depend on the splits; the texts here are read in splits of 64 KB."""
+    """Line numbers do not depend on the splits; the texts here are read in splits of 64 KB.
+
+    Each file is one language's part of a range of ids, so a number counts on from
+    the files before it.
+    """
     directory = scratch_dir(spark, "numbered")
-    docs = document_json(spark, sf).select("lang", "doc_id", "line")
-    docs.repartition(1).sortWithinPartitions("lang", "doc_id").select("lang", "line").write.partitionBy("lang").text(directory)
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
-    try:
-        # Stored, because the setting counts while the files are read.
+    docs = document_json(spark, sf).select("lang", "source", "doc_id", "line")
+    ranged = docs.repartitionByRange("lang", "source", "doc_id").sortWithinPartitions("lang", "source", "doc_id")
+    ranged.select("lang", "source", "line").write.partitionBy("lang", "source").text(directory)
+    with _ranges(spark, "64k"):
         rows = files.number_lines(files.read_jsonl(spark, f"{directory}/**/*.txt"))
-        rows = rows.select(parse_record(F.col("line"))["doc_id"].cast("long").alias("doc_id"), "number")
-        return staged(rows, "numbers")
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        rows = rows.select(parse_record(F.col("line"))["doc_id"].cast("long").alias("doc_id"), "file", "number")
+        rows = staged(rows, "numbers")
+    # Files of one group hold ranges of ids in order; a row per file.
+    rows = rows.withColumn("group", F.regexp_extract("file", "/(lang=[^/]*/source=[^/]*)/", 1))
+    counted = rows.groupBy("group", "file").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("group").orderBy("first")) - F.col("lines")
+    counted = counted.select("group", "file", before.alias("before"))
+    name = lambda part: F.nullif(F.regexp_extract("group", f"{part}=([^/]*)", 1), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    return rows.join(counted, ["group", "file"]).select(
+        "doc_id", name("lang").alias("lang"), name("source").alias("source"), (F.col("number") + F.col("before")).alias("number")
+    )
 
 
 @query(f"{DOCS_SQL} WHERE lang = 'en'")

@@ -66,7 +66,7 @@ def test_json_list_files(spark, root):
     os.makedirs(os.path.dirname(path))
     with open(path, "w", encoding="utf-8") as f:
         json.dump([{"text": "x"}, {"text": "y\n"}], f, indent=2)
-    rows = files.read_json_lists(spark, [path])
+    rows = files.read_lines(spark, [path])
     assert texts(rows) == ["x", "y\n"]
     assert rows.columns == ["file", "block", "seq", "line"]
 
