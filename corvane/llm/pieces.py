@@ -6,9 +6,10 @@ vocabulary, best score first and leftmost among equals; the best pair merges,
 its new neighbours enter the agenda, and entries whose parts have changed since
 are passed over. Characters that are no piece become their UTF-8 bytes.
 
-No piece has the space mark after another character, so no merge crosses the
-place before a run of marks: a text is worked on unit by unit, each different
-unit once per task, and in blocks of bounded length. The library encodes and
+No piece has the space mark after another character, or a sign such as a comma or
+a digit after a Latin letter, so no merge crosses these places: a text is worked on unit
+by unit, each different unit once while a process remembers it, and in blocks of
+bounded length. The library encodes and
 decodes the same blocks, and ``agrees`` says whether all of it was equal.
 
 Defined results. NULL text reads as empty, which has no ids; a space mark in a
@@ -21,8 +22,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
+from struct import pack
 from typing import NamedTuple
 
 import numpy as np
@@ -38,8 +41,17 @@ MERGES = 2  # model type
 
 BLOCK = 1 << 16  # characters worked on at a time
 UNIT = 64  # characters up to which a unit is kept
-KNOWN = 300_000  # units that a task holds; they are dropped beyond that
-UNITS = re.compile(f"{MARK}*[^{MARK}]*")
+KNOWN = 600_000  # units that a process holds; they are dropped beyond that
+SIGNS = re.escape("".join(c for c in map(chr, range(128)) if not c.isalpha()))  # of ASCII, no letters
+LATIN = "[A-Za-zÀ-ɏ]"
+#: Units, from fine to coarse, each with what no piece may have in it for them.
+UNITS = [
+    (
+        re.compile(f"{MARK}*[{SIGNS}]*(?:[^{MARK}{SIGNS}]+|(?<!{LATIN})[{SIGNS}])*"),
+        re.compile(f"[^{MARK}]{MARK}|{LATIN}[{SIGNS}]"),
+    ),
+    (re.compile(f"{MARK}*[^{MARK}]*"), re.compile(f"[^{MARK}]{MARK}")),
+]
 CUT = re.compile(f"(?<=[^{MARK}]){MARK}(?=.)", re.DOTALL)
 
 
@@ -87,48 +99,59 @@ class PieceEncoder:
         self.kinds = [p.type for p in proto.pieces]
         self.unknown_surface = proto.trainer_spec.unk_surface
         self.unknown = self.kinds.index(UNKNOWN)
-        self.known = {p.piece: (i, p.score) for i, p in enumerate(proto.pieces) if p.type == NORMAL}
+        self.known = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
+        order = {score: n for n, score in enumerate(sorted({p.score for p in proto.pieces}, reverse=True))}
+        self.ranks = {p.piece: order[p.score] for p in proto.pieces if p.type == NORMAL}  # pieces of one score share one
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
-        self.apart = not any(re.search(f"[^{MARK}]{MARK}", piece) for piece in self.known)
+        normal = [k == NORMAL for k in self.kinds]
+        self.surfaces = [p.replace(MARK, " ") if own else None for p, own in zip(self.pieces, normal)]
+        self.decimal = [str(i).encode() for i in range(len(self.pieces))]
+        self.cuts = next((u for u, no in UNITS if not any(map(no.search, self.known))), None)
         self.units: dict[str, Unit] = {}
 
     def merge(self, text: str) -> list[str]:
-        """The symbols that are left when no adjacent pair is a piece."""
-        symbols: list[str] = list(text)
-        after = list(range(1, len(symbols) + 1))
-        before = list(range(-1, len(symbols) - 1))
-        known, end = self.known, len(symbols)
-
-        def entry(left: int, right: int) -> tuple[float, int, int, int] | None:
-            pair = symbols[left] + symbols[right]
-            found = known.get(pair)
-            return found and (-found[1], left, right, len(pair))
-
-        agenda = [e for i in range(end - 1) if (e := entry(i, i + 1))]
+        """The symbols that are left when no adjacent pair is a piece.
+
+        An entry of the agenda is one number: rank of the merged piece, left
+        symbol, length of the piece. It is stale when the left symbol is gone, or
+        it and its neighbour now have another length together.
+        """
+        rank, symbols, end = self.ranks.get, list(text), len(text)
+        bits = end.bit_length() + 1
+        mask, high = (1 << bits) - 1, 2 * bits
+        agenda = [r << high | i << bits | 2 for i in range(end - 1) if (r := rank(text[i : i + 2])) is not None]
+        if not agenda:
+            return symbols
         heapify(agenda)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
         while agenda:
-            _, left, right, size = heappop(agenda)
-            a, b = symbols[left], symbols[right]
-            # A part that has grown since, or has been taken, makes the entry stale.
-            if not a or not b or len(a) + len(b) != size:
+            entry = heappop(agenda)
+            left = entry >> bits & mask
+            a, right = symbols[left], after[left]
+            if not a or right >= end or len(a) + len(symbols[right]) != entry & mask:
                 continue
-            symbols[left], symbols[right] = a + b, ""
+            symbols[left] = a = a + symbols[right]
+            symbols[right] = ""
             after[left] = beyond = after[right]
             if beyond < end:
                 before[beyond] = left
-                if e := entry(left, beyond):
-                    heappush(agenda, e)
-            if before[left] >= 0 and (e := entry(before[left], left)):
-                heappush(agenda, e)
+                pair = a + symbols[beyond]
+                if (r := rank(pair)) is not None:
+                    heappush(agenda, r << high | left << bits | len(pair))
+            if (prior := before[left]) >= 0:
+                pair = symbols[prior] + a
+                if (r := rank(pair)) is not None:
+                    heappush(agenda, r << high | prior << bits | len(pair))
         return [s for s in symbols if s]
 
     def ids(self, marked: str) -> list[int]:
         """Ids of a text that has its space marks."""
         out: list[int] = []
+        known = self.known.get
         for symbol in self.merge(marked):
-            if found := self.known.get(symbol):
-                out.append(found[0])
+            if (found := known(symbol)) is not None:
+                out.append(found)
             elif self.byte_ids:
                 out += [self.byte_ids[b] for b in symbol.encode()]
             elif not out or out[-1] != self.unknown:
@@ -137,6 +160,9 @@ class PieceEncoder:
 
     def surface(self, ids: list[int]) -> str:
         """Ids as text, with the space before the start where there is one."""
+        plain = [self.surfaces[i] for i in ids]
+        if None not in plain:
+            return "".join(plain)
         out, run = [], bytearray()
         for i in [*ids, -1]:
             if i in self.bytes_of:
@@ -148,7 +174,7 @@ class PieceEncoder:
             if i >= 0 and self.kinds[i] == UNKNOWN:
                 out.append(self.unknown_surface)
             elif i >= 0 and self.kinds[i] == NORMAL:
-                out.append(self.pieces[i].replace(MARK, " "))
+                out.append(self.surfaces[i])
         return "".join(out)
 
     def decode(self, ids: list[int]) -> str:
@@ -160,7 +186,8 @@ class PieceEncoder:
         found = self.units.get(marked)
         if found is None:
             ids = self.ids(marked)
-            found = Unit(np.array(ids, dtype="<i4").tobytes(), ",".join(map(str, ids)).encode(), self.surface(ids))
+            decimal = b",".join([self.decimal[i] for i in ids])
+            found = Unit(pack(f"<{len(ids)}i", *ids), decimal, self.surface(ids))
             if len(marked) <= UNIT:
                 if len(self.units) >= KNOWN:
                     self.units.clear()
@@ -178,10 +205,10 @@ class PieceEncoder:
         at = 0
         while at < len(marked):
             end = len(marked)
-            if self.apart and end - at > size and (cut := CUT.search(marked, at + size)):
+            if self.cuts and end - at > size and (cut := CUT.search(marked, at + size)):
                 end = cut.start()
             block = marked[at:end]
-            units = [self.unit(u) for u in (UNITS.findall(block)[:-1] if self.apart else [block])]
+            units = [self.unit(u) for u in (self.cuts.findall(block)[:-1] if self.cuts else [block])]
             ids = np.frombuffer(b"".join([u.ids for u in units]), dtype="<i4")
             decoded = "".join([u.decoded for u in units])
             theirs = np.asarray(self.library.encode_as_numpy(block[1:]))
@@ -190,6 +217,12 @@ class PieceEncoder:
             at = end
 
 
+@lru_cache(maxsize=2)
+def encoder_of(model: bytes) -> PieceEncoder:
+    """The process's encoder of a model, with the units that earlier tasks have met."""
+    return PieceEncoder(model)
+
+
 def encoded(
     docs: DataFrame, model: str, id: str = "doc_id", text: str = "text", with_ids: bool = False
 ) -> DataFrame:
@@ -224,7 +257,7 @@ def encoded(
         return found + ([np.concatenate(parts) if parts else [], "".join(texts)] if with_ids else [])
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(content.value)
+        encoder = encoder_of(content.value)
         for batch in rows:
             found = [row(encoder, value.as_py() or "") for value in batch.column(1)]
             columns = [pa.array([r[i] for r in found], type=kind) for i, (_, kind) in enumerate(fields[1:])]
