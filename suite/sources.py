@@ -244,10 +244,10 @@ def stream_prepare(spark, sf):
     return spark.read.parquet(out)
 
 
-def _drain(spark, rows, out):
+def _drain(spark, rows, out, progress=None):
     running = (
         rows.writeStream.format("parquet")
-        .option("checkpointLocation", scratch_dir(spark, "progress"))
+        .option("checkpointLocation", progress or scratch_dir(spark, "progress"))
         .trigger(availableNow=True)
         .start(out)
     )
@@ -256,11 +256,39 @@ def _drain(spark, rows, out):
 
 @query(f"WITH {HISTORY_SQL} SELECT conv_id, turn, prompt FROM prompts")
 def stream_history(spark, sf):
+    """All messages, in files of any order of turns."""
     source, out = scratch_dir(spark, "messages"), scratch_dir(spark, "prompts")
+    load(spark, sf, "conversations").repartition(4, "text").write.parquet(source)
+    _drain(spark, history_stream(stream_messages(spark, source, 2), idle=None), out)
+    rows = spark.read.parquet(out)
+    return rows.filter("kind = 'prompt'").drop("kind")
+
+
+@query(
+    f"""WITH given AS (SELECT conv_id, max(turn) AS n FROM conversations GROUP BY conv_id),
+    heard AS (SELECT c.* FROM conversations c JOIN given USING (conv_id) WHERE c.conv_id % 3 <> 1 OR turn <> 2 OR n < 5),
+    {HISTORY_SQL.replace("FROM conversations", "FROM heard AS conversations")}
+    SELECT conv_id, turn, 'prompt' AS kind, prompt FROM prompts
+    UNION ALL SELECT conv_id, turn, 'repeated', NULL FROM conversations WHERE conv_id % 3 = 0 AND turn < 2
+    UNION ALL SELECT c.conv_id, turn, 'late', NULL FROM conversations c JOIN given USING (conv_id)
+      WHERE c.conv_id % 3 = 1 AND turn = 2 AND n >= 5"""
+)
+def stream_history_late(spark, sf):
+    """A window of three turns: in a third of the conversations turn 2 comes after turn 5, in another third turns come twice.
+
+    The second run goes on from the first one's state. A late message is a row of
+    its own, as is a repeated one.
+    """
+    source, out, progress = (scratch_dir(spark, x) for x in ("messages", "prompts", "progress"))
     table = load(spark, sf, "conversations")
-    table.write.parquet(source)
-    _drain(spark, history_stream(stream_messages(spark, source), idle=None), out)
-    return spark.read.parquet(out)
+    # Conversations that end before turn 5 have no message that gives the gap up: they come whole.
+    known = table.join(table.groupBy("conv_id").agg(F.max("turn").alias("n")), "conv_id")
+    held = (F.col("conv_id") % 3 == 1) & (F.col("turn") == 2) & (F.col("n") >= 5)
+    again = (F.col("conv_id") % 3 == 0) & (F.col("turn") < 2)
+    for part in (~held, held | again):
+        known.filter(part).select(*table.columns).write.mode("append").parquet(source)
+        _drain(spark, history_stream(stream_messages(spark, source, 1000), idle=None, window=3), out, progress)
+    return spark.read.parquet(out).select("conv_id", "turn", "kind", "prompt")
 
 
 @query(f"WITH {LOG_SQL} SELECT DISTINCT run, ts, step, metric, value FROM log_metrics")

@@ -1,4 +1,7 @@
 import json
+import os
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -8,7 +11,7 @@ from corvane.operators.ingest import ingest
 from corvane.operators.telemetry import parse_log
 from corvane.session import scratch_dir
 from corvane.streaming.examples import stream_lines, stream_prepare
-from corvane.streaming.history import stream_history, stream_messages
+from corvane.streaming.history import OUTPUT, stream_history, stream_messages
 from corvane.streaming.metrics import stream_log_lines, stream_metrics
 from test_ordered import random_turns
 
@@ -31,31 +34,78 @@ def test_prepare_stream_equals_batch(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_history_stream_equals_batch(spark):
-    """Messages arrive over several triggers, the state carries history over."""
-    rows = random_turns(4)
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    source = scratch_dir(spark, "in")
-    for low in range(0, 200, 15):
-        part = df.filter((F.col("turn") >= low) & (F.col("turn") < low + 15))
-        part.coalesce(1).write.mode("append").parquet(source)
-    arriving = stream_messages(spark, source, 1)
-    got, progress = drain(spark, stream_history(arriving, idle=None), scratch_dir(spark, "out"))
-    assert sum(p["numInputRows"] > 0 for p in progress) >= 3
-    want = history_prompts(df)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+TURNS = "conv_id long, turn long, role string, text string"
 
 
-def test_replayed_and_late_messages_are_dropped(spark):
-    rows = [(1, t, ("user", "assistant")[t % 2], f"m{t}") for t in range(6)]
+def arrive(spark, parts):
+    """Files of messages, in the order in which they are to be read."""
     source = scratch_dir(spark, "in")
-    # The first four, then a replay of two with one more, then a late one with the rest.
-    for part in (rows[:4], rows[2:5], [(1, 1, "user", "late"), rows[5]]):
-        df = spark.createDataFrame(part, "conv_id long, turn long, role string, text string")
+    for part in parts:
+        df = part if hasattr(part, "write") else spark.createDataFrame(part, TURNS)
         df.coalesce(1).write.mode("append").parquet(source)
-    got, _ = drain(spark, stream_history(stream_messages(spark, source, 1), idle=None), scratch_dir(spark, "out"))
-    want = history_prompts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        time.sleep(0.02)  # files are read by their time
+    return source
+
+
+def by_kind(rows):
+    found = {}
+    for r in rows.collect():
+        found.setdefault(r["kind"], []).append((r["conv_id"], r["turn"], r["prompt"]))
+    return {k: sorted(v, key=str) for k, v in found.items()}
+
+
+def test_history_stream_equals_batch_in_any_order(spark):
+    """Messages arrive over several triggers, out of order; the state carries history and what waits."""
+    rows = [(c, t, r, x) for c, t, r, x in random_turns(4) if c is not None]
+    least = {}
+    for c, t, *_ in rows:
+        least[c] = min(t, least.get(c, t))
+    turns = {c: sorted(t for k, t, *_ in rows if k == c) for c in least}
+    rows = [(c, turns[c].index(t), r, x) for c, t, r, x in rows]  # turns without gaps
+    draw = random.Random(3)
+    arriving = sorted(rows, key=lambda r: r[1] + draw.uniform(0, 30))
+    size = len(arriving) // 6 + 1
+    source = arrive(spark, [arriving[i : i + size] for i in range(0, len(arriving), size)])
+    got, progress = drain(spark, stream_history(stream_messages(spark, source, 1), idle=None), scratch_dir(spark, "out"))
+    assert sum(p["numInputRows"] > 0 for p in progress) >= 3
+    want = history_prompts(spark.createDataFrame(rows, TURNS))
+    assert by_kind(got) == {"prompt": sorted(map(tuple, want.collect()), key=str)}
+
+
+def test_replayed_and_late_messages_are_rows_of_their_own(spark):
+    rows = [(1, t, ("user", "assistant")[t % 2], f"m{t}") for t in range(12)]
+    parts = [
+        [r for r in rows[:4]] + [rows[2]],  # a replay within the trigger
+        [rows[1], rows[6], rows[7], (1, None, "user", "?")],  # 4 and 5 are missing
+        [rows[9], rows[8], rows[8]],  # 9 gives up turns 4 and 5 with a window of 4
+        [rows[4], rows[5], rows[4], rows[10]],  # too late
+    ]
+    source = arrive(spark, parts)
+    arriving = stream_messages(spark, source, 1)
+    got = by_kind(drain(spark, stream_history(arriving, idle=None, window=4), scratch_dir(spark, "out"))[0])
+    assert got["late"] == [(1, 4, None), (1, 5, None), (1, None, None)]
+    assert got["repeated"] == [(1, 1, None), (1, 2, None), (1, 4, None), (1, 8, None)]
+    known = [r for r in rows[:11] if r[1] not in (4, 5)]
+    want = history_prompts(spark.createDataFrame(known, TURNS))
+    assert got["prompt"] == sorted(map(tuple, want.collect()), key=str)
+    given = sum(len(p) for p in parts)
+    answered = sum(r[2] == "assistant" for r in known)
+    assert sum(map(len, got.values())) == given - answered  # none vanishes
+
+
+def test_idle_conversations_are_released_by_a_timer(spark):
+    source = arrive(spark, [[(1, 0, "user", "a"), (1, 2, "user", "c"), (1, 5, "user", "f")]])
+    rows = stream_history(stream_messages(spark, source, 1), idle="2 seconds")
+    out = scratch_dir(spark, "out")
+    running = rows.writeStream.format("parquet").option("checkpointLocation", scratch_dir(spark, "progress")).start(out)
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            if os.path.isdir(f"{out}/_spark_metadata") and spark.read.schema(OUTPUT).parquet(out).count() == 3:
+                break
+    finally:
+        running.stop()
+    assert [t for _, t, _ in by_kind(spark.read.schema(OUTPUT).parquet(out))["prompt"]] == [0, 2, 5]
 
 
 def test_metric_stream_drops_repeats(spark, tmp_path):
