@@ -91,14 +91,15 @@ def best_step(spark, sf):
     return best(metric_rows(spark, sf), "eval_loss")
 
 
-@query(
-    f"""WITH {METRICS_SQL}, e AS (SELECT run, step, value,
+EARLY_STOP_SQL = f"""WITH {METRICS_SQL}, e AS (SELECT run, step, value,
         MIN(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best,
         row_number() OVER (PARTITION BY run ORDER BY step) AS i FROM metrics WHERE metric = 'eval_loss'),
     g AS (SELECT *, MAX(CASE WHEN best IS NULL OR best - value > 0.001 THEN i END)
         OVER (PARTITION BY run ORDER BY step) AS last_gain FROM e)
     SELECT run, COUNT(*) AS evaluations, MIN(CASE WHEN i - last_gain >= 3 THEN step END) AS stop_step FROM g GROUP BY run"""
-)
+
+
+@query(EARLY_STOP_SQL)
 def early_stop(spark, sf):
     return stop(metric_rows(spark, sf), "eval_loss", 3, 0.001)
 

@@ -10,17 +10,20 @@ from corvane.operators.ingest import parse_record
 from corvane.operators.scores import identify_runs
 from corvane.session import scratch_dir, staged
 from corvane.sources import arrow, catalog, files, locator, sinks
+from corvane.streaming import examples as arriving, stopping
 from corvane.streaming.examples import stream_lines, stream_prepare as prepare_stream
 from corvane.streaming.history import stream_history as history_stream, stream_messages
 from corvane.streaming.metrics import stream_metrics as metrics_stream
 from suite.dialogs import HISTORY_SQL
 from suite.examples import VALID_SQL
 from suite.inputs import (
+    WS,
     LOG_SQL,
     PAIRS_SQL,
     document_json,
     load,
     log_lines,
+    metric_rows,
     move_one,
     name_as_json,
     predictions,
@@ -28,6 +31,7 @@ from suite.inputs import (
     sharded_documents,
 )
 from suite.registry import query
+from suite.runs import EARLY_STOP_SQL
 
 LIST_BYTES = 16 << 20  # about so much text goes into one JSON list
 DOCS_SQL = "SELECT doc_id, md5(text) AS digest FROM documents"
@@ -244,6 +248,50 @@ def stream_prepare(spark, sf):
     return spark.read.parquet(out)
 
 
+@query(
+    f"""WITH {VALID_SQL}, judged AS (
+      SELECT CASE WHEN shape = 9 THEN 'malformed' WHEN shape NOT IN (0, 1, 2, 3, 4, 6) THEN 'no_known_shape'
+                  WHEN length(trim(r.text, {WS})) = 0 THEN 'empty' ELSE 'example' END AS kind,
+             CASE WHEN shape IN (0, 1, 2, 3, 4, 6) AND length(trim(r.text, {WS})) > 0 THEN md5(r.text) END AS digest
+      FROM d LEFT JOIN rendered r USING (doc_id, shape)),
+    totals AS (SELECT count(*) AS n, count(*) FILTER (kind IN ('example', 'empty')) AS valid,
+                      count(*) FILTER (kind = 'empty') AS blank FROM judged)
+    SELECT kind, digest, count(*) AS n FROM judged GROUP BY ALL
+    UNION ALL SELECT 'total_rows', NULL, n FROM totals
+    UNION ALL SELECT 'valid_rows', NULL, valid FROM totals
+    UNION ALL SELECT 'skipped_rows', NULL, n - valid FROM totals
+    UNION ALL SELECT 'empty_rows', NULL, blank FROM totals"""
+)
+def stream_rejects(spark, sf):
+    """Examples, rejects by reason and counts of arriving lines, over several triggers."""
+    source, out = scratch_dir(spark, "arriving"), scratch_dir(spark, "ingested")
+    record_lines(spark, sf).select("line").repartition(4).write.text(source)
+    progress = scratch_dir(spark, "progress")
+    lines = stream_lines(spark, source, 2)
+    arriving.stream_ingest(lines, out, progress, 1536, permissive=True, availableNow=True).awaitTermination()
+    good = arriving.examples(spark, out).select(F.lit("example").alias("kind"), F.md5("text").alias("digest"))
+    none = F.lit(None).cast("string").alias("digest")
+    bad = arriving.rejects(spark, out).select(F.col("reason").alias("kind"), none)
+    rows = good.unionByName(bad).groupBy("kind", "digest").agg(F.count(F.lit(1)).alias("n"))
+    totals = arriving.counts(spark, out).unpivot([], ["total_rows", "valid_rows", "skipped_rows", "empty_rows"], "kind", "n")
+    return rows.unionByName(totals.select("kind", none, "n"))
+
+
+@query(EARLY_STOP_SQL)
+def stream_early_stop(spark, sf):
+    """The runs' logs arrive in four parts of their steps; each run of the stream goes on from the last one's state."""
+    source, out, progress = (scratch_dir(spark, x) for x in ("metrics", "stops", "progress"))
+    table = metric_rows(spark, sf)
+    bounds = table.agg(F.percentile_approx("step", [0.25, 0.5, 0.75])).first()[0]
+    part = sum((F.when(F.col("step") > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    for number in range(len(bounds) + 1):
+        table.filter(part == number).write.mode("append").parquet(source)
+        metrics = spark.readStream.schema(table.schema).parquet(source)
+        changes = stopping.stream_early_stop(metrics, "eval_loss", 3, 0.001)
+        stopping.keep_current(changes, out, progress, availableNow=True).awaitTermination()
+    return stopping.current(spark, out, "run").select("run", "evaluations", "stop_step")
+
+
 def _drain(spark, rows, out, progress=None):
     running = (
         rows.writeStream.format("parquet")

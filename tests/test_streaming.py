@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from corvane.operators.conversations import history_prompts
 from corvane.operators.examples import render, validate
-from corvane.operators.ingest import ingest
-from corvane.operators.telemetry import parse_log
+from corvane.operators.ingest import count_reasons, ingest, with_record
+from corvane.operators.telemetry import best_step, early_stop, parse_log
 from corvane.session import scratch_dir
-from corvane.streaming.examples import stream_lines, stream_prepare
+from corvane.streaming import examples as arriving_examples, sinks, stopping
+from corvane.streaming.examples import stream_ingest, stream_lines, stream_prepare
 from corvane.streaming.history import OUTPUT, stream_history, stream_messages
 from corvane.streaming.metrics import stream_log_lines, stream_metrics
 from test_ordered import random_turns
@@ -119,3 +120,79 @@ def test_metric_stream_drops_repeats(spark, tmp_path):
     want = parse_log(lines)
     key = ["run", "step", "metric", "value"]
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
+
+
+def test_rejects_and_counts_of_a_stream_equal_the_batch(spark, monkeypatch):
+    lines = [json.dumps({"text": f"t{i}"}) if i % 4 else "{bad" for i in range(40)]
+    lines += [json.dumps({"text": " "}), json.dumps({"odd": 1}), "", json.dumps({"instruction": "a", "output": "b"})]
+    source, out, progress = scratch_dir(spark, "in"), scratch_dir(spark, "out"), scratch_dir(spark, "progress")
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    df.repartition(4).write.text(source)
+    arriving = stream_lines(spark, source, 1)
+
+    def run():
+        stream_ingest(arriving, out, progress, 100, permissive=True, availableNow=True).awaitTermination()
+
+    # The second trigger fails between its two writes; the next run plays it again.
+    write, calls = sinks.write_batch, []
+
+    def failing(rows, path, number, *by):
+        calls.append(path)
+        if len(calls) == 4:
+            raise OSError("disk gone")
+        write(rows, path, number, *by)
+
+    monkeypatch.setattr(arriving_examples, "write_batch", failing)
+    try:
+        run()
+    except Exception as error:
+        assert "disk gone" in str(error)
+    run()
+    assert sum(p.endswith("counts") for p in calls) > 3
+    tagged = with_record(df, permissive=True)
+    want = validate(render(ingest(df).good), 100)
+    good = arriving_examples.examples(spark, out)
+    assert sorted(map(tuple, good.select("text", "overlong").collect())) == sorted(map(tuple, want.collect()))
+    bad = arriving_examples.rejects(spark, out).groupBy("reason").count().collect()
+    reasons = tagged.filter("reason IS NOT NULL").groupBy("reason").count().collect()
+    assert sorted(map(tuple, bad)) == sorted([*map(tuple, reasons), ("empty", 1)])
+    total = arriving_examples.counts(spark, out).first()
+    assert tuple(total)[:3] == tuple(count_reasons(tagged).first()) and total["empty_rows"] == 1
+    assert good.count() + arriving_examples.rejects(spark, out).count() == len(lines)
+    before = sorted(map(tuple, good.collect()))
+    run()  # nothing new
+    assert sorted(map(tuple, arriving_examples.examples(spark, out).collect())) == before
+
+
+def test_live_early_stop_equals_the_batch_after_every_trigger(spark):
+    draw = random.Random(6)
+    schema = "run string, step long, metric string, value double"
+    rows = [
+        (run, step, metric, draw.choice([draw.random(), 0.5, 0.5, float("nan")]))
+        for run in ("a", "b", "c", None)
+        for step in range(0, 400, draw.choice([7, 20]))
+        for metric in ("eval_loss", "loss")
+    ]
+    source, out, progress = (scratch_dir(spark, x) for x in ("in", "out", "progress"))
+    spark.createDataFrame([], schema).write.parquet(source)
+    arriving = spark.readStream.schema(schema).parquet(source)
+    done = 0
+    for upto in (100, 101, 230, 400):
+        part = [r for r in rows if done <= r[1] < upto]
+        done = upto
+        draw.shuffle(part)
+        spark.createDataFrame(part, schema).write.mode("append").parquet(source)
+        changes = stopping.stream_early_stop(arriving, "eval_loss", 3, 0.001)
+        stopping.keep_current(changes, out, progress, availableNow=True).awaitTermination()
+        known = spark.read.parquet(source)
+        stops = {r["run"]: (r["evaluations"], r["stop_step"]) for r in early_stop(known, "eval_loss", 3, 0.001).collect()}
+        bests = {r["run"]: (r["best_step"], str(r["best_value"])) for r in best_step(known, "eval_loss").collect()}
+        got = stopping.current(spark, out, "run").collect()
+        assert {r["run"]: (r["evaluations"], r["stop_step"]) for r in got} == stops
+        assert {r["run"]: (r["best_step"], str(r["best_value"])) for r in got} == bests
+        assert {r["late"] for r in got} == {0}
+    # A repeated line and a late one are counted and change nothing else.
+    spark.createDataFrame([("a", 0, "eval_loss", -1.0), ("a", 1, "eval_loss", -9.0)], schema).write.mode("append").parquet(source)
+    stopping.keep_current(stopping.stream_early_stop(arriving, "eval_loss", 3, 0.001), out, progress, availableNow=True).awaitTermination()
+    got = {r["run"]: r for r in stopping.current(spark, out, "run").collect()}
+    assert got["a"]["late"] == 2 and (got["a"]["evaluations"], got["a"]["stop_step"]) == stops["a"]
