@@ -34,13 +34,15 @@ def parse_record(line: Column) -> Column:
 
     The line is read as the first of a list's two elements, the second being a
     mark: whatever closes, continues or follows the object moves the mark from
-    its place or breaks the list. Of a repeated key the last value stands.
+    its place or breaks the list. The mark holds the line's own digest, so that no
+    line can bring it along. Of a repeated key the last value stands.
     """
-    marked = F.concat(F.lit("["), line, F.lit(',{"\\u0001":"end"}]'))
+    own = F.md5(line)
+    marked = F.concat(F.lit("["), line, F.lit(',{"\\u0001":"'), own, F.lit('"}]'))
     listed = F.from_json(marked, f"array<{RECORD_TYPE}>", JSON_OPTIONS)
 
     def first(found: Column) -> Column:
-        in_place = F.map_contains_key(F.get(found, F.lit(1)), MARK)
+        in_place = F.get(found, F.lit(1))[MARK] == own
         return F.when((F.size(found) == 2) & in_place, F.get(found, F.lit(0)))
 
     return let(let(listed, first), _last_of_each_key)

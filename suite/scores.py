@@ -13,6 +13,7 @@ from corvane.functions.scoring import recommendations as advice_of
 from corvane.functions.similarity import greedy_match as match_vectors
 from corvane.functions.similarity import rouge_l as rouge
 from corvane.functions.text import overlap_words
+from corvane.operators.positions import attach_by_position
 from corvane.operators.scores import (
     attach_predictions as attach,
     breakdown,
@@ -41,7 +42,8 @@ from suite.inputs import (
     run_metrics,
 )
 from suite.registry import query
-from corvane.session import staged
+from corvane.session import scratch_dir, staged
+from corvane.sources.files import read_jsonl
 from suite.tokens import NGRAM_SQL
 
 DIM = 8
@@ -170,6 +172,28 @@ def attach_predictions(spark, sf):
     return _answered(spark, sf)
 
 
+@query(
+    f"""WITH {PAIRS_SQL} SELECT example_id, run_id, reference, prediction FROM pairs JOIN preds USING (example_id)
+    WHERE length(reference) % 5 <> 0"""
+)
+def predictions_by_position(spark, sf):
+    """The answers of both runs as lines without keys, met by their place after some pairs were filtered."""
+    rows = _answered(spark, sf).select("run_id", "example_id", "reference", "prediction")
+    rows = staged(rows.repartitionByRange(4, "example_id", "run_id").sortWithinPartitions("example_id", "run_id"), "answered")
+    folder = scratch_dir(spark, "positional")
+    line = F.to_json(F.struct("run_id", "example_id", "reference"))
+    asked = F.length("reference") % 5 != 0
+    rows.select(line.alias("value")).write.text(f"{folder}/pairs")
+    # A prediction per kept pair in its order, dealt into other files: ranges of the same keys, cut elsewhere.
+    kept = rows.filter(asked).repartitionByRange(3, "example_id", "run_id").sortWithinPartitions("example_id", "run_id")
+    kept.select(F.to_json(F.struct("prediction")).alias("value")).write.text(f"{folder}/predictions")
+    pairs = read_jsonl(spark, f"{folder}/pairs/*.txt")
+    pairs = pairs.select("file", "block", "seq", F.from_json("line", "run_id string, example_id long, reference string").alias("p"))
+    pairs = pairs.select("file", "block", "seq", "p.*").filter(asked)
+    met = attach_by_position(pairs, read_jsonl(spark, f"{folder}/predictions/*.txt"))
+    return met.select("example_id", "run_id", "reference", F.get_json_object("prediction", "$.prediction").alias("prediction"))
+
+
 @query(f"WITH RECURSIVE {ROUGE_SQL} SELECT run_id, example_id, round(f * 100, 6) AS rougeL FROM rouge")
 def rouge_l(spark, sf):
     score = rouge(F.col("prediction"), F.col("reference")) * 100

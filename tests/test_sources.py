@@ -111,7 +111,7 @@ def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
     assert [json.loads(line)["id"] for _, _, line in found[0]] == [*range(5000), *range(9000, 9003)]
 
 
-@pytest.mark.parametrize("after", ["]", "}", ",", '"', " x", "] x", "] , [{\"text\":\"b\"}", ',{"text":"b"}', ", 1", "[", "{"])
+@pytest.mark.parametrize("after", [',{"\\u0001":"end"}] garbage', ',{"\\u0001":"end"}]', "]", "}", ",", '"', " x", "] x", "] , [{\"text\":\"b\"}", ',{"text":"b"}', ", 1", "[", "{"])
 def test_nothing_may_follow_a_record(spark, after):
     lines = ['{"text":"a"}' + after, '{"text":"a"}', "", " ", "1", "null", "[]", '[{"text":"a"}]', ' {"text": "a"} ']
     df = spark.createDataFrame([(line,) for line in lines], "line string")
