@@ -7,10 +7,11 @@ its new neighbours enter the agenda, and entries whose parts have changed since
 are passed over. Characters that are no piece become their UTF-8 bytes.
 
 No piece has the space mark after another character, or a sign such as a comma or
-a digit after a Latin letter, so no merge crosses these places: a text is worked on unit
-by unit, each different unit once while a process remembers it, and in blocks of
-bounded length. The library encodes and
-decodes the same blocks, and ``agrees`` says whether all of it was equal.
+a digit after a Latin letter, so no merge crosses these places: a text is worked on
+unit by unit and in blocks of bounded length. Each different unit is worked out once
+while a process remembers it, and then checked: all that are new in a block go
+through the library's encoder and decoder, as one text. ``agrees`` says whether all
+units of a text came out equal.
 
 Defined results. NULL text reads as empty, which has no ids; a space mark in a
 text reads as a space, so it decodes to one. Rows are encoded one by one, so
@@ -25,10 +26,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
-from struct import pack
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
@@ -39,9 +38,10 @@ MARK = "▁"  # stands for a space
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGES = 2  # model type
 
+LETTER = "a"
 BLOCK = 1 << 16  # characters worked on at a time
 UNIT = 64  # characters up to which a unit is kept
-KNOWN = 600_000  # units that a process holds; they are dropped beyond that
+KNOWN = 1_000_000  # units that a process holds; they are dropped beyond that
 SIGNS = re.escape("".join(c for c in map(chr, range(128)) if not c.isalpha()))  # of ASCII, no letters
 LATIN = "[A-Za-zÀ-ɏ]"
 #: Units, from fine to coarse, each with what no piece may have in it for them.
@@ -56,9 +56,9 @@ CUT = re.compile(f"(?<=[^{MARK}]){MARK}(?=.)", re.DOTALL)
 
 
 class Unit(NamedTuple):
-    ids: bytes  # as little-endian signed 32-bit numbers
-    decimal: bytes  # as decimal numbers with commas
+    decimal: bytes  # ids as decimal numbers with commas
     decoded: str
+    agrees: bool  # with the library
 
 
 def _utf8(run: bytes) -> str:
@@ -182,38 +182,44 @@ class PieceEncoder:
         marked = first is not None and self.kinds[first] == NORMAL and self.pieces[first].startswith(MARK)
         return self.surface(ids)[marked:]
 
-    def unit(self, marked: str) -> Unit:
-        found = self.units.get(marked)
-        if found is None:
-            ids = self.ids(marked)
-            decimal = b",".join([self.decimal[i] for i in ids])
-            found = Unit(pack(f"<{len(ids)}i", *ids), decimal, self.surface(ids))
-            if len(marked) <= UNIT:
-                if len(self.units) >= KNOWN:
-                    self.units.clear()
-                self.units[marked] = found
-        return found
-
-    def blocks(self, text: str, size: int = BLOCK) -> Iterator[tuple[np.ndarray, bytes, str, bool]]:
-        """``ids, decimal, decoded, agrees`` of a text's blocks, one after the other.
-
-        Every block begins with a space mark and is what the library makes of
-        the block without it, since it puts one before any text. ``decoded``
-        has that space; the first block's is the one before the start.
-        """
+    def learn(self, fresh: list[str]) -> dict[str, Unit]:
+        """Work units out, and check them against the library: all in one text, or else one by one."""
+        own = {u: self.ids(u) for u in fresh}
+        decoded = {u: self.surface(ids) for u, ids in own.items()}
+        # The library puts a space before any text. Units that begin with a sign follow a letter here.
+        ahead = {u: "" if u.startswith(MARK) else MARK + LETTER for u in fresh}
+        before, said = {"": [], MARK + LETTER: self.library.encode(LETTER)}, {"": "", MARK + LETTER: " " + LETTER}
+
+        def same(units: list[str]) -> bool:
+            theirs = self.library.encode("".join([ahead[u] + u for u in units])[1:])
+            ours = [i for u in units for i in before[ahead[u]] + own[u]]
+            text = "".join([said[ahead[u]] + decoded[u] for u in units])
+            # Alone, the space before a text is nothing.
+            return theirs == ours and self.library.decode(theirs) == text[1:] or units == [MARK]
+
+        every = same(fresh)
+        return {
+            u: Unit(b",".join([self.decimal[i] for i in ids]), decoded[u], every or same([u])) for u, ids in own.items()
+        }
+
+    def blocks(self, text: str, size: int = BLOCK) -> Iterator[list[Unit]]:
+        """The units of a text, some at a time; the first one begins with the space before the start."""
         marked = MARK + text.replace(" ", MARK) if text else ""
-        at = 0
+        known, at = self.units, 0
         while at < len(marked):
             end = len(marked)
             if self.cuts and end - at > size and (cut := CUT.search(marked, at + size)):
                 end = cut.start()
             block = marked[at:end]
-            units = [self.unit(u) for u in (self.cuts.findall(block)[:-1] if self.cuts else [block])]
-            ids = np.frombuffer(b"".join([u.ids for u in units]), dtype="<i4")
-            decoded = "".join([u.decoded for u in units])
-            theirs = np.asarray(self.library.encode_as_numpy(block[1:]))
-            agrees = np.array_equal(theirs, ids) and self.library.decode(theirs.tolist()) == decoded[1:]
-            yield ids, b",".join([u.decimal for u in units]), decoded, bool(agrees)
+            names = self.cuts.findall(block)[:-1] if self.cuts else [block]
+            found = [known.get(u) for u in names]
+            if None in found:
+                fresh = self.learn(list({u for u, had in zip(names, found) if had is None}))
+                if len(known) > KNOWN:
+                    known.clear()
+                known.update((u, unit) for u, unit in fresh.items() if len(u) <= UNIT)
+                found = [had or fresh[u] for u, had in zip(names, found)]
+            yield found
             at = end
 
 
@@ -243,18 +249,20 @@ def encoded(
 
     def row(encoder: PieceEncoder, text: str) -> list:
         ids_hash, text_hash, count, agrees = sha256(), sha256(), 0, True
-        parts, texts = [], []
-        for ids, decimal, decoded, same in encoder.blocks(text):
+        numbers, texts = [], []
+        for units in encoder.blocks(text):
+            decimal = b",".join([u.decimal for u in units])
+            decoded = "".join([u.decoded for u in units])
             ids_hash.update(b"," + decimal if count else decimal)
             surface = decoded if count else decoded[1:]
             text_hash.update(surface.encode())
-            count += len(ids)
-            agrees &= same
+            count += decimal.count(b",") + 1
+            agrees = agrees and all([u.agrees for u in units])
             if with_ids:
-                parts.append(ids)
+                numbers += map(int, decimal.split(b","))
                 texts.append(surface)
         found = [count, ids_hash.hexdigest(), text_hash.hexdigest(), agrees]
-        return found + ([np.concatenate(parts) if parts else [], "".join(texts)] if with_ids else [])
+        return found + ([numbers, "".join(texts)] if with_ids else [])
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(content.value)
