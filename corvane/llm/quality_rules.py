@@ -32,6 +32,7 @@ FEWEST_DIFFERENT = 0.25  # different words per word of a line
 LONG_LINE = 12  # words from which a line can be monotonous
 SHORT_LINE = 4  # words up to which a line without an end mark is a menu entry
 BOILERPLATE_WORDS = 25  # a longer line is prose, whatever it mentions
+# Stock phrases of pages in English, German, French and Spanish.
 BOILERPLATE = (
     "accept all cookies",
     "we use cookies",
@@ -48,7 +49,29 @@ BOILERPLATE = (
     "enable javascript",
     "skip to content",
     "lorem ipsum",
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "hier klicken",
+    "mehr erfahren",
+    "zum inhalt springen",
+    "tous droits réservés",
+    "accepter les cookies",
+    "politique de confidentialité",
+    "mentions légales",
+    "cliquez ici",
+    "lire la suite",
+    "aller au contenu",
+    "todos los derechos reservados",
+    "aceptar cookies",
+    "política de privacidad",
+    "términos de uso",
+    "haga clic aquí",
+    "leer más",
+    "saltar al contenido",
 )
+MARKED = r"[#*$%&|<>»›•·]|[!?]{2}"  # what a line of symbols, bars or shouting has somewhere
 END_MARK = r"[.!?:;…。！？\"'”’»)\]]\s*$"
 LEAST_KEPT = 0.5  # of a document's words
 
@@ -105,30 +128,34 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def line_fails(line: Column) -> Column:
-    """Whether one line is symbols, shouting, navigation, monotony or boilerplate."""
-    words = count_words(line)
+def line_fails(line: Column, words: Column) -> Column:
+    """Whether one line of so many words is symbols, shouting, navigation, monotony or boilerplate.
+
+    The dearer a condition, the later it comes and the fewer lines reach it.
+    """
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
+    bars = F.regexp_count(line, F.lit(r"[|»›•·]"))
     loud = F.regexp_count(line, F.lit(r"[!?]{2,}"))
     different = F.size(F.array_distinct(split_words(line)))
-    unended = (words <= SHORT_LINE) & ~line.rlike(END_MARK)
-    bars = F.regexp_count(line, F.lit(r"[|»›•·]"))
-    stock = (words <= BOILERPLATE_WORDS) & line.rlike("(?i)" + "|".join(BOILERPLATE))
+    marked = line.rlike(MARKED) & (
+        (symbols > SYMBOL_SHARE * words) | (bars > SYMBOL_SHARE * words) | (loud > LOUD_SHARE * words)
+    )
     return (words > 0) & (
-        (symbols > SYMBOL_SHARE * words)
-        | (bars > SYMBOL_SHARE * words)
-        | (loud > LOUD_SHARE * words)
+        ((words <= SHORT_LINE) & ~line.rlike(END_MARK))
+        | marked
+        | ((words <= BOILERPLATE_WORDS) & line.rlike("(?iu)" + "|".join(BOILERPLATE)))
         | ((words >= LONG_LINE) & (different < FEWEST_DIFFERENT * words))
-        | unended
-        | stock
     )
 
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every document with its counts, ``cleaned`` text and whether it is ``kept``."""
     counted = base_counts(docs, text)
-    counted = once(counted, good=F.filter("lines", lambda x: ~line_fails(x)))
-    left = F.aggregate("good", F.lit(0).cast("long"), lambda total, x: total + count_words(x))
+    # Lambdas work an expression out at each place that names it, so the words are counted first.
+    sized = F.transform("lines", lambda x: F.struct(x.alias("line"), count_words(x).alias("words")))
+    counted = once(counted, sized=sized)
+    counted = once(counted, good=F.filter("sized", lambda x: ~line_fails(x["line"], x["words"])))
+    left = F.aggregate("good", F.lit(0).cast("long"), lambda total, x: total + x["words"])
     counted = once(counted, kept_words=left)
     return counted.select(
         "doc",
@@ -140,5 +167,5 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
         "base_failed",
         "kept_words",
         (~F.col("base_failed") & (F.col("kept_words") >= LEAST_KEPT * F.col("n_words"))).alias("kept"),
-        F.array_join("good", "\n").alias("cleaned"),
+        F.array_join("good.line", "\n").alias("cleaned"),
     )

@@ -127,7 +127,7 @@ judged AS (
            OR len(regexp_extract_all(x, '[!?]{2,}')) > 0.3 * len(w)
            OR (len(w) >= 12 AND len(list_distinct(w)) < 0.25 * len(w))
            OR (len(w) <= 4 AND NOT regexp_matches(x, '[.!?:;…。！？"''”’»)\]]\s*$'))
-           OR (len(w) <= 25 AND regexp_matches(x, '(?i)accept all cookies|we use cookies|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|click here|read more|sign up for|subscribe to our|log in to|enable javascript|skip to content|lorem ipsum'))
+           OR (len(w) <= 25 AND regexp_matches(x, '(?i)STOCK PHRASES'))
          ) AS fails
   FROM line),
 kept AS (SELECT row_id, coalesce(sum(n) FILTER (NOT fails), 0) AS kept_words FROM judged GROUP BY row_id),
@@ -141,7 +141,7 @@ counted AS (
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND kept_words >= 0.5 * n_words AS kept
 FROM counted
-"""
+""".replace("STOCK PHRASES", "|".join(quality_rules.BOILERPLATE))
 )
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base counts of every document and whether line-first cleaning keeps it."""

@@ -55,11 +55,13 @@ def test_lines_that_go_and_documents_that_stay(spark):
         4: (" ".join(f"LOUD{i}!!" for i in range(30)), False),
         5: ("\n".join(f"a{i} | b{i} | c{i} | d{i} | e{i}" for i in range(9)), False),
         6: ("Short text.", False),
+        7: (f"{PROSE}\nAlle Rechte vorbehalten durch den Verlag in Köln, seit 1990.\n{more}\nTOUS DROITS RÉSERVÉS par nous depuis.\nPolítica de privacidad y cookies del sitio.", True),
     }
     df = spark.createDataFrame([(i, t, "", "", "", "") for i, (t, _) in cases.items()], SCHEMA)
     found = {r["doc"]["doc_id"]: r for r in quality_rules.judged(df).collect()}
     assert {i: found[i]["kept"] for i in cases} == {i: k for i, (_, k) in cases.items()}
     assert found[1]["cleaned"] == cases[1][0] and found[2]["cleaned"] == f"{PROSE}\n{more}"
+    assert found[7]["cleaned"] == f"{PROSE}\n{more}"
     assert quality_rules.judged(df.limit(0)).collect() == []
 
 
