@@ -42,6 +42,7 @@ from corvane.session import staged
 SEED = 42
 SHINGLE = 3
 SEGMENT = 32
+NAMELESS = 1 << 62  # documents without an id are numbered from here on
 BUCKET = 64  # fingerprints in a table entry up to which its pairs are listed
 CHUNK = 1 << 15  # hashes whose bits are spread out at a time
 
@@ -153,20 +154,24 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     """One document of each component, the one with the smallest id, all columns as they are.
 
     Rows with the same id are one document, of which one row stays. Documents
-    without an id all stay. What goes is named, being much less than what stays:
-    Spark broadcasts those ids while they are few, and shuffles the texts once
-    beyond that.
+    without an id count by their text, behind all others: one stays of a component
+    that has no ids. What goes is named, being much less than what stays: Spark
+    broadcasts those ids while they are few, and shuffles the texts once beyond that.
     """
-    return one_of_each(docs, grouped(docs, id, text), id)
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    nameless = NAMELESS + F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(NAMELESS))
+    keyed = docs.withColumn(key, F.coalesce(F.col(id).cast("long"), nameless))
+    return one_of_each(keyed, grouped(keyed, key, text), key).drop(key)
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id: str = "doc_id") -> DataFrame:
-    """One document of each component of ``found``, which has ``doc_id, component_id`` of every row."""
+    """One document of each component of ``found``, which has ``doc_id, component_id`` of every row. No id is NULL."""
     names = F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     ids = staged(found.groupBy("doc_id").agg(names.alias("names"), F.count(F.lit(1)).alias("rows")), "document-ids")
     gone = staged(ids.filter(~F.col("names")).select(F.col("doc_id").alias("gone")), "removed-ids")
     kept = docs.join(gone, docs[id] == gone["gone"], "left_anti")
-    if ids.filter((F.col("rows") > 1) & F.col("doc_id").isNotNull()).isEmpty():
+    if ids.filter(F.col("rows") > 1).isEmpty():
         return kept
-    once = kept.filter(F.col(id).isNotNull()).dropDuplicates([id])
-    return once.unionAll(kept.filter(F.col(id).isNull()))
+    return kept.dropDuplicates([id])

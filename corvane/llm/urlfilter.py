@@ -44,12 +44,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(text, parts, 1)), F.regexp_extract(text, parts, 2)
 
 
-def url_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All keys by which a rule could list a url."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(
-        labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")
-    )
+def url_keys(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """All keys by which a rule of so many host labels, with a path of such a length, could list a url."""
+    own = F.size(F.split(host, r"\."))
+    suffixes = F.array_compact(F.array(*[F.when(own >= n, F.substring_index(host, ".", -n)) for n in labels]))
     prefixes = F.transform(
         F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path)),
         lambda n: F.substr(path, F.lit(1), n),
@@ -134,10 +132,13 @@ def judge(
     parsed = pages.select(F.struct(*pages.columns).alias("page"), host.alias("host"), path.alias("path"))
     prefix = F.length("key") - F.instr("key", "/") + 1
     lengths = [r[0] for r in rules.select(prefix.alias("n")).distinct().orderBy("n").collect()]
-    keyed = parsed.withColumn("keys", url_keys(F.col("host"), F.col("path"), lengths))
+    labels = F.size(F.split(F.substring_index("key", "/", 1), r"\."))
+    labels = [r[0] for r in rules.select(labels.alias("n")).distinct().orderBy("n").collect()]
+    keys = url_keys(F.col("host"), F.col("path"), labels, lengths)
+    keyed = parsed.withColumn("keys", keys)
     universe = staged(
         parsed.select("host", "path")
-        .withColumn("keys", url_keys(F.col("host"), F.col("path"), lengths))
+        .withColumn("keys", keys)
         .select(F.explode("keys").alias("key"))
         .distinct(),
         "url-keys",

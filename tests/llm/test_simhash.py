@@ -125,3 +125,14 @@ def test_one_of_each_group_stays(spark):
     kept = simhash.deduplicated(df)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({g for _, _, g in plain_groups(rows)})
+
+
+def test_documents_without_an_id(spark):
+    """They go where a component has an id, and one of them stays where none has."""
+    rows = [(None, "one two three four"), (None, "one two three four"), (4, "one two three four"), (None, "quite another text here")]
+    rows += [(None, "quite another text here"), (None, "QUITE another text here"), (None, None), (None, ""), (9, "a last one by itself")]
+    df = spark.createDataFrame([(i, t, "_key", "y") for i, t in rows], SCHEMA).withColumnRenamed("fp", "_key")
+    kept = simhash.deduplicated(df).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in kept) == [
+        (0, ""), (0, "quite another text here"), (4, "one two three four"), (9, "a last one by itself")
+    ]

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import urlfilter
 
@@ -62,3 +63,14 @@ def test_cascade_is_exact_over_its_universe(spark):
 def test_empty(spark):
     rules = spark.createDataFrame(RULES, "key string, verdict string")
     assert urlfilter.judge(spark.createDataFrame([], SCHEMA), rules).collect() == []
+
+
+def test_hosts_of_many_labels_have_few_keys(spark):
+    """A host is cut at the label counts that rules have, whatever its length."""
+    hosts = ["a." * 20_000 + "b.a.org", "a." * 20_000 + "com", "." * 5000 + "net"]
+    df = spark.createDataFrame([(i, f"http://{h}/x", "", "", "") for i, h in enumerate(hosts)], SCHEMA)
+    keys = urlfilter.url_keys(F.lit(hosts[0]), F.lit("/x"), [1, 3], [1, 2])
+    assert df.select(F.size(keys)).first()[0] == 4
+    rules = spark.createDataFrame(RULES, "key string, verdict string")
+    found = sorted(urlfilter.judge(df, rules).collect(), key=lambda r: r["page"]["page_id"])
+    assert [r["rule"] for r in found] == [plain(f"http://{h}/x")[2] for h in hosts]
