@@ -1,12 +1,14 @@
 """Row-wise text similarity.
 
-Both kernels are quadratic in one row's tokens and need arrays of numbers or
-bit sets, so they run as Arrow-batched pandas functions; the text clean-up
+Both kernels compare all tokens of a row's two sides and need arrays of numbers
+or bit sets, so they run as Arrow-batched pandas functions; the text clean-up
 before and the arithmetic after them stay in the JVM.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -16,21 +18,63 @@ from corvane.functions.text import overlap_words
 MATCH = T.StructType([T.StructField(n, T.DoubleType()) for n in ("precision", "recall", "f1")])
 
 
+FREQUENT = 64  # places from which a token's bits are kept; there are few such tokens
+ROW = 4  # matches that cost as much as a row of bits, and one more for every
+BITS = 600  # bits in it
+
+
 def common_subsequence(left: list[str], right: list[str]) -> int:
-    """Length of the longest common subsequence, with one bit per left token."""
+    """Length of the longest common subsequence.
+
+    What the ends have in common is part of it. Of the rest, few matching pairs of
+    places are gone through one by one; otherwise a row of bits, one per left
+    token, is moved on by each right token. Memory is linear in the tokens: bits are
+    kept for frequent tokens only, of which there are few.
+    """
     if len(left) < len(right):
         left, right = right, left
-    where: dict[str, int] = {}
+    ends, same, short = 0, 0, len(right)
+    while ends < short and left[ends] == right[ends]:
+        ends += 1
+    while same < short - ends and left[-1 - same] == right[-1 - same]:
+        same += 1
+    left, right = left[ends : len(left) - same], right[ends : short - same]
+    places: dict[str, list[int]] = {}
     for i, token in enumerate(left):
-        where[token] = where.get(token, 0) | (1 << i)
-    full = (1 << len(left)) - 1
+        places.setdefault(token, []).append(i)
+    right = [token for token in right if token in places]
+    matches = sum(len(places[token]) for token in right)
+    few = matches <= len(right) * (ROW + len(left) // BITS)
+    return ends + same + (_by_matches(places, right) if few else _by_bits(places, right, len(left)))
+
+
+def _by_matches(places: dict[str, list[int]], right: list[str]) -> int:
+    """``ends[k]`` is the least left place at which a common subsequence of k + 1 tokens ends."""
+    ends: list[int] = []
+    for token in right:
+        for place in reversed(places[token]):
+            if not ends or place > ends[-1]:
+                ends.append(place)
+            else:
+                ends[bisect_left(ends, place)] = place
+    return len(ends)
+
+
+def _by_bits(places: dict[str, list[int]], right: list[str], size: int) -> int:
+    def bits(token: str) -> int:
+        row = bytearray(size // 8 + 1)
+        for place in places[token]:
+            row[place >> 3] |= 1 << (place & 7)
+        return int.from_bytes(row, "little")
+
+    kept = {token: bits(token) for token, own in places.items() if len(own) >= FREQUENT or size <= FREQUENT * 64}
+    full = (1 << size) - 1
     open_bits = full
     for token in right:
-        hits = where.get(token)
-        if hits:
-            matched = open_bits & hits
-            open_bits = ((open_bits + matched) | (open_bits - matched)) & full
-    return len(left) - open_bits.bit_count()
+        hits = kept[token] if token in kept else bits(token)
+        matched = open_bits & hits
+        open_bits = ((open_bits + matched) | (open_bits - matched)) & full
+    return size - open_bits.bit_count()
 
 
 @F.pandas_udf(T.DoubleType())

@@ -8,6 +8,8 @@ from corvane.session import staged
 
 PARTS = 200  # ranges in which a large table is ranked
 STEPS = 8  # histogram groups per doubling of the count
+MANY = 4  # times as many rows as are wanted
+AT_ONCE = 100_000  # rows that are sorted for the first ones whatever is wanted
 
 
 def most_frequent(counts: DataFrame, n: int, count: str, *order: str | Column) -> DataFrame:
@@ -15,17 +17,22 @@ def most_frequent(counts: DataFrame, n: int, count: str, *order: str | Column) -
 
     Sorting for the first ``n`` makes every partition send ``n`` rows to one
     task. A histogram of the counts (some hundred groups) first gives a count
-    that at least ``n`` rows reach, and only those rows are sorted.
+    that at least ``n`` rows reach, and only those rows are sorted: at once while
+    they are not many more than ``n``, in ranges where very many rows share the
+    lowest count that is needed. Runs a job for the histogram.
     """
     step = F.floor(F.log2(F.col(count)) * STEPS)
     histogram = counts.groupBy(step.alias("step")).agg(
         F.count(F.lit(1)).alias("rows"), F.min(count).alias("lowest")
     )
     reached = F.sum("rows").over(Window.orderBy(F.desc("step")))
-    bound = histogram.withColumn("reached", reached).agg(
-        F.coalesce(F.max(F.when(F.col("reached") >= n, F.col("lowest"))), F.lit(0)).alias("bound")
-    )
-    return counts.filter(F.col(count) >= bound.scalar()).orderBy(F.desc(count), *order).limit(n)
+    enough = histogram.withColumn("reached", reached).filter(F.col("reached") >= n)
+    found = enough.agg(F.max_by(F.struct("lowest", "reached"), "step").alias("found")).first()["found"]
+    high = counts if found is None else counts.filter(F.col(count) >= found["lowest"])
+    if found is None or found["reached"] <= max(MANY * n, AT_ONCE):
+        return high.orderBy(F.desc(count), *order).limit(n)
+    place = "_place"
+    return ranked(high, place, F.desc(count), *order).filter(F.col(place) <= n).drop(place)
 
 
 def ranked(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
