@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -111,6 +112,7 @@ def map_texts(
     added: list[T.StructField],
     batch_size: int,
     keep_text: bool = True,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Add columns that a user function makes of one text column.
 
@@ -118,7 +120,7 @@ def map_texts(
     not per batch. The function gets lists of at most ``batch_size`` texts and
     returns a list per added column. All other columns stay in their Arrow
     batch, bit by bit; rows never leave their partition. A NULL text reaches
-    the function as None.
+    the function as None. ``profile`` asks for executors of a kind for this stage.
     """
     kept = [f for f in df.schema.fields if keep_text or f.name != text]
     schema = T.StructType([*kept, *added])
@@ -135,7 +137,7 @@ def map_texts(
                 arrays += [pa.array(values, type=kind) for values, kind in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema, profile=profile)
 
 
 def tokenize_with(

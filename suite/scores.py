@@ -179,14 +179,18 @@ def attach_predictions(spark, sf):
 def predictions_by_position(spark, sf):
     """The answers of both runs as lines without keys, met by their place after some pairs were filtered."""
     rows = _answered(spark, sf).select("run_id", "example_id", "reference", "prediction")
-    rows = staged(rows.repartitionByRange(4, "example_id", "run_id").sortWithinPartitions("example_id", "run_id"), "answered")
+    rows = staged(rows, "answered")
     folder = scratch_dir(spark, "positional")
-    line = F.to_json(F.struct("run_id", "example_id", "reference"))
     asked = F.length("reference") % 5 != 0
-    rows.select(line.alias("value")).write.text(f"{folder}/pairs")
-    # A prediction per kept pair in its order, dealt into other files: ranges of the same keys, cut elsewhere.
-    kept = rows.filter(asked).repartitionByRange(3, "example_id", "run_id").sortWithinPartitions("example_id", "run_id")
-    kept.select(F.to_json(F.struct("prediction")).alias("value")).write.text(f"{folder}/predictions")
+
+    def write(part, value, files, name):
+        """In order of the keys: a range of them per file, the files in their order."""
+        ordered = part.repartitionByRange(files, "example_id", "run_id").sortWithinPartitions("example_id", "run_id")
+        ordered.select(F.to_json(value).alias("value")).write.text(f"{folder}/{name}")
+
+    write(rows, F.struct("run_id", "example_id", "reference"), 4, "pairs")
+    # A prediction per kept pair, in other files, cut elsewhere.
+    write(rows.filter(asked), F.struct("prediction"), 3, "predictions")
     pairs = read_jsonl(spark, f"{folder}/pairs/*.txt")
     pairs = pairs.select("file", "block", "seq", F.from_json("line", "run_id string, example_id long, reference string").alias("p"))
     pairs = pairs.select("file", "block", "seq", "p.*").filter(asked)

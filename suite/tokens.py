@@ -294,3 +294,20 @@ def predict(spark, sf):
         return lambda prompts: [p[::-1] for p in prompts]
 
     return run_predictor(dialog_pairs(spark, sf), make_predict_fn).select("example_id", "prediction")
+
+
+@query(f"WITH {PAIRS_SQL} SELECT example_id, reverse(prompt) || '!' AS prediction FROM pairs")
+def predict_by_length(spark, sf):
+    """Batches by a token budget; the model refuses what is over it."""
+
+    def make_predict_fn():
+        def fn(prompts):
+            longest = max(len(p.split()) for p in prompts)
+            if len(prompts) > 1 and len(prompts) * longest > 2000:
+                raise ValueError("more tokens than were asked for")
+            return [p[::-1] + "!" for p in prompts]
+
+        return fn
+
+    pairs = dialog_pairs(spark, sf)
+    return run_predictor(pairs, make_predict_fn, batch_size=64, token_budget=2000).select("example_id", "prediction")
