@@ -229,12 +229,14 @@ MOVED = "conv_id long, turn long, at long, depth int, cycle boolean"
 
 
 def _order(waits: pd.DataFrame) -> pd.DataFrame:
-    """``conv_id, turn, at, depth, cycle`` of the messages of one conversation that wait, and of what they wait for.
+    """``conv_id, turn, at, depth, cycle`` of the messages of whole conversations that wait, and of what they wait for.
 
     Messages are settled once all that they wait for is; what never is, waits in a cycle.
     """
-    turns = np.unique(np.concatenate([waits["before"], waits["turn"]]))
-    before, turn = np.searchsorted(turns, waits["before"]), np.searchsorted(turns, waits["turn"])
+    ends = np.concatenate([waits[["conv_id", "before"]].to_numpy(), waits[["conv_id", "turn"]].to_numpy()])
+    known, place = np.unique(ends, axis=0, return_inverse=True)
+    turns, place = known[:, 1], place.reshape(-1)
+    before, turn = place[: len(waits)], place[len(waits) :]
     order = np.argsort(before, kind="stable")
     first = np.searchsorted(before[order], np.arange(len(turns) + 1))
     then = turn[order]
@@ -249,8 +251,9 @@ def _order(waits: pd.DataFrame) -> pd.DataFrame:
             missing[other] -= 1
             if not missing[other]:
                 ready.append(other)
-    key = waits["conv_id"].iloc[0]
-    return pd.DataFrame({"conv_id": key, "turn": turns, "at": at, "depth": depth.astype(np.int32), "cycle": missing > 0})
+    return pd.DataFrame(
+        {"conv_id": known[:, 0], "turn": turns, "at": at, "depth": depth.astype(np.int32), "cycle": missing > 0}
+    )
 
 
 def _settled(waits: DataFrame, local: int = LOCAL) -> DataFrame:
@@ -259,14 +262,17 @@ def _settled(waits: DataFrame, local: int = LOCAL) -> DataFrame:
     ``waits`` has ``conv_id, before, turn``: the message of turn ``turn`` comes
     after that of turn ``before``. A message comes at the latest turn among all
     that it waits for, directly or not, as deep as the longest chain from there.
-    A conversation of at most ``local`` waits is ordered in one task. Longer ones
+    A conversation of at most ``local`` waits is ordered in one task, together with
+    others, so that a group has about so many. Longer ones
     are peeled: a round settles all messages that wait for settled ones only, and
     as soon as a round settles none, what is left waits in a cycle.
     """
     counts = staged(waits.groupBy("conv_id").agg(F.count(F.lit(1)).alias("waits")), "chat-waits")
     long = counts.filter(F.col("waits") > local).select("conv_id")
     short = waits.join(long, "conv_id", "left_anti")
-    found = short.groupBy("conv_id").applyInPandas(_order, MOVED)
+    groups = max(1, math.ceil(waits.count() / local))
+    dealt = short.withColumn("group", F.pmod(F.xxhash64("conv_id"), F.lit(groups)))
+    found = dealt.groupBy("group").applyInPandas(_order, MOVED)
     if long.isEmpty():
         return found
     edges = staged(waits.join(long, "conv_id"), "chat-long")
