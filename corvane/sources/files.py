@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from corvane.functions import fixed
 from corvane.session import staged
 from corvane.sources import json_lists
+from corvane.sources.splits import many_to_a_task
 
 SPLITS = 1_000_000  # rows of the broadcast table of splits
 
@@ -79,12 +80,13 @@ def read_lines(spark: SparkSession, paths: Sequence[str], tolerant: bool = False
     out once. A ``.json`` file may be one JSON list; it gives a line per element.
     """
     named = [p for p in paths if _is_json(p)]
-    where = json_lists.places(spark, named, tolerant) if named else None
+    chunks = json_lists.chunks(spark, named, tolerant) if named else None
+    where = json_lists.places(chunks) if named else None
     lists = _listed(where, named) if named else set()
     plain = [p for p in paths if p not in lists]
     found = [_plain_lines(spark, plain, tolerant)] if plain or not lists else []
     if lists:
-        found.append(json_lists.elements(spark, sorted(lists), where, tolerant))
+        found.append(json_lists.elements(chunks, where))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -95,7 +97,7 @@ def _plain_lines(spark: SparkSession, paths: Sequence[str], tolerant: bool) -> D
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("line"),
     )
-    return spread(lines) if paths and all(p.endswith(".gz") for p in paths) else lines
+    return spread(lines) if paths and all(p.endswith(".gz") for p in paths) else many_to_a_task(lines)
 
 
 def _listed(where: DataFrame, paths: Sequence[str]) -> set[str]:

@@ -103,3 +103,45 @@ def test_compressed_and_empty(spark, tmp_path):
     (tmp_path / "c.json").write_text(" [ ] ")
     found = files.read_lines(spark, [str(tmp_path / n) for n in ("a.json.gz", "b.json", "c.json")]).collect()
     assert sorted(r["line"] for r in found) == ['{"a": 1}', '{"b": "x,]"}']
+
+
+def test_lists_beside_lines_are_whole(spark, small_ranges, tmp_path):
+    """How Spark cuts a file depends on all that is read with it; lists were once read with and without the lines beside them."""
+    rows = [{"i": i, "t": "a, b] " * (i % 7)} for i in range(4_000)]
+    (tmp_path / "list.json").write_text(json.dumps(rows))
+    (tmp_path / "lines.json").write_text("".join(json.dumps({"i": i}) + " " * 60 + "\n" for i in range(4_000, 9_000)))
+    small_ranges("4m")
+    spark.conf.set("spark.sql.files.minPartitionNum", "10")
+    found = files.read_lines(spark, [str(tmp_path / n) for n in ("list.json", "lines.json")])
+    # Nor does it matter that it is cut otherwise when the rows are read at last.
+    spark.conf.set("spark.sql.files.minPartitionNum", "3")
+    assert sorted(json.loads(r["line"])["i"] for r in found.collect()) == list(range(9_000))
+
+
+@pytest.mark.parametrize("size", [1, 40, 1000])
+def test_elements_across_chunks(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(files.json_lists, "CHUNK", size)
+    draw, want = random.Random(5), {}
+    for n in range(6):
+        want[f"list{n}.json"] = [value(draw) for _ in range((0, 1, 30, 40, 50, 60)[n])] + ["\\" * n + '"', ",,,"] * (n % 2)
+        (tmp_path / f"list{n}.json").write_text(json.dumps(want[f"list{n}.json"], ensure_ascii=n % 2 == 0))
+    (tmp_path / "after.json").write_text("[1,2],  \n")
+    numbered = files.number_lines(files.read_lines(spark, [str(tmp_path / n) for n in [*want, "after.json"]]))
+    got = {n: [] for n in want} | {"after.json": []}
+    for r in sorted(numbered.collect(), key=lambda r: (r["file"], r["number"])):
+        got[r["file"].rsplit("/", 1)[-1]].append(r["line"])
+    assert got.pop("after.json") == ["[1,2],  "]
+    assert {n: [json.loads(x) for x in lines] for n, lines in got.items()} == want
+
+
+def test_small_splits_share_tasks(spark, small_ranges, tmp_path):
+    (tmp_path / "a.txt").write_text("some line\n" * 5_000)
+    (tmp_path / "a.json").write_text(json.dumps(["some, line"] * 5_000))
+    small_ranges("500")
+    lines = files.read_lines(spark, [str(tmp_path / "a.txt")])
+    pieces = files.json_lists.pieces(spark, [str(tmp_path / "a.json")])
+    slots = spark.sparkContext.defaultParallelism
+    for read, blocks in ((lines, 100), (pieces, 140)):
+        assert read.rdd.getNumPartitions() <= 4 * slots
+        assert read.select("block").distinct().count() == blocks
+    assert files.number_lines(lines).agg(F.max("number")).first()[0] == 5_000
