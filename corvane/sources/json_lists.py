@@ -112,7 +112,7 @@ def chunks(spark: SparkSession, paths: Sequence[str], tolerant: bool = False) ->
 
     found = pieces(spark, paths, tolerant)
     found = found.select("file", "block", F.concat("piece", F.lit(b",")).alias("piece"))
-    return staged(found.mapInArrow(run, CHUNKS), "json-chunks")
+    return many_to_a_task(staged(found.mapInArrow(run, CHUNKS), "json-chunks"))
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int, int]]:
