@@ -1,16 +1,17 @@
 """Row-wise text similarity.
 
 Both kernels compare all tokens of a row's two sides and need arrays of numbers
-or bit sets, so they run as Arrow-batched pandas functions; the text clean-up
+or bit sets, so they run on Arrow batches; the text clean-up
 before and the arithmetic after them stay in the JVM.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from corvane.functions.text import overlap_words
@@ -77,14 +78,14 @@ def _by_bits(places: dict[str, list[int]], right: list[str], size: int) -> int:
     return size - open_bits.bit_count()
 
 
-@F.pandas_udf(T.DoubleType())
-def _overlap(left: pd.Series, right: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def _overlap(left: pa.Array, right: pa.Array) -> pa.Array:
     scores = []
     for a, b in zip(left, right):
-        a, b = (a or "").split(), (b or "").split()
+        a, b = (a.as_py() or "").split(), (b.as_py() or "").split()
         common = common_subsequence(a, b)
         scores.append(2.0 * common / (len(a) + len(b)) if common else 0.0)
-    return pd.Series(scores, dtype="float64")
+    return pa.array(scores, pa.float64())
 
 
 def rouge_l(prediction: Column, reference: Column) -> Column:
@@ -95,18 +96,32 @@ def rouge_l(prediction: Column, reference: Column) -> Column:
 BLOCK = 4096  # vectors of a side whose cosines are held at a time
 
 
-def _unit_rows(vectors) -> np.ndarray:
-    matrix = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-@F.pandas_udf(MATCH)
-def _greedy(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    rows = []
-    for a, b in zip(left, right):
-        if a is None or b is None or len(a) == 0 or len(b) == 0:
-            rows.append((0.0, 0.0, 0.0))
+def _matrices(lists: pa.Array) -> Iterator[np.ndarray | None]:
+    """Each row's vectors as a matrix, cut from the batch's one array of numbers; None without any vector."""
+    vectors = lists.values
+    numbers = vectors.values.to_numpy(zero_copy_only=False)
+    rows, places = lists.offsets.to_numpy(), vectors.offsets.to_numpy()
+    for known, first, end in zip(lists.is_valid().to_pylist(), rows[:-1], rows[1:]):
+        if not known or first == end:
+            yield None
+            continue
+        widths = np.diff(places[first : end + 1])
+        if (widths != widths[0]).any():
+            raise ValueError("vectors of one text have different lengths")
+        own = numbers[places[first] : places[end]].astype(np.float64)
+        yield own.reshape(end - first, widths[0])
+
+
+@F.arrow_udf(MATCH)
+def _greedy(left: pa.Array, right: pa.Array) -> pa.Array:
+    out = np.zeros((len(left), 3))
+    for row, (a, b) in enumerate(zip(_matrices(left), _matrices(right))):
+        if a is None or b is None:
             continue
         rows_a, rows_b = _unit_rows(a), _unit_rows(b)
         best_a, best_b = np.full(len(rows_a), -np.inf), np.full(len(rows_b), -np.inf)
@@ -116,8 +131,8 @@ def _greedy(left: pd.Series, right: pd.Series) -> pd.DataFrame:
                 best_a[i : i + BLOCK] = np.maximum(best_a[i : i + BLOCK], cosine.max(axis=1))
                 best_b[j : j + BLOCK] = np.maximum(best_b[j : j + BLOCK], cosine.max(axis=0))
         p, r = float(best_a.mean()), float(best_b.mean())
-        rows.append((p, r, 2 * p * r / (p + r) if p + r != 0 else 0.0))
-    return pd.DataFrame(rows, columns=["precision", "recall", "f1"])
+        out[row] = p, r, 2 * p * r / (p + r) if p + r != 0 else 0.0
+    return pa.StructArray.from_arrays([pa.array(c) for c in out.T], names=["precision", "recall", "f1"])
 
 
 def greedy_match(prediction: Column, reference: Column) -> Column:

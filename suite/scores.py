@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import fixed
+from corvane.functions.let import let
 from corvane.functions.scoring import clamp_score as clamp
 from corvane.functions.scoring import grade as grade_of
 from corvane.functions.scoring import length_match as match_of
@@ -52,10 +53,9 @@ DIM = 8
 def _vectors(text):
     """A vector per word from its digest; stands in for a model's encoder."""
     words = F.filter(F.split(overlap_words(text), " "), lambda w: w != "")
-    digits = lambda w: F.slice(F.split(F.md5(w), ""), 1, DIM)
-    return F.transform(
-        words, lambda w: F.transform(digits(w), lambda d: F.conv(d, 16, 10).cast("double") - 7.5)
-    )
+    number = lambda w: F.conv(F.substring(F.md5(w), 1, DIM), 16, 10).cast("long")
+    digit = lambda n, i: F.shiftright(n, 4 * (DIM - 1 - i)).bitwiseAND(F.lit(15)).cast("double") - 7.5
+    return F.transform(words, lambda w: let(number(w), lambda n: F.array(*[digit(n, i) for i in range(DIM)])))
 
 
 GRADE_SQL = (
