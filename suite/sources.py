@@ -34,6 +34,7 @@ from suite.registry import query
 from suite.runs import EARLY_STOP_SQL
 
 LIST_BYTES = 16 << 20  # about so much text goes into one JSON list
+ARRIVING = 64 << 20  # about so many characters arrive in one file
 DOCS_SQL = "SELECT doc_id, md5(text) AS digest FROM documents"
 
 
@@ -239,10 +240,17 @@ def split_catalog_columnar(spark, sf):
     return catalog.split_catalog(spark, directory)
 
 
+def _arriving(spark, sf):
+    """Folder of record lines in four files, or in as many as their length asks for."""
+    directory = scratch_dir(spark, "arriving")
+    size = load(spark, sf, "documents").agg(F.sum("n_chars")).first()[0] or 0
+    record_lines(spark, sf).select("line").repartition(max(4, -(-size // ARRIVING))).write.text(directory)
+    return directory
+
+
 @query(f"WITH {VALID_SQL} SELECT md5(text) AS digest FROM valid WHERE shape IN (0, 1, 2, 3, 4, 6)")
 def stream_prepare(spark, sf):
-    source, out = scratch_dir(spark, "arriving"), scratch_dir(spark, "prepared")
-    record_lines(spark, sf).select("line").repartition(4).write.text(source)
+    source, out = _arriving(spark, sf), scratch_dir(spark, "prepared")
     rows = prepare_stream(stream_lines(spark, source, 2), 1536, permissive=True).select(F.md5("text").alias("digest"))
     _drain(spark, rows, out)
     return spark.read.parquet(out)
@@ -264,8 +272,7 @@ def stream_prepare(spark, sf):
 )
 def stream_rejects(spark, sf):
     """Examples, rejects by reason and counts of arriving lines, over several triggers."""
-    source, out = scratch_dir(spark, "arriving"), scratch_dir(spark, "ingested")
-    record_lines(spark, sf).select("line").repartition(4).write.text(source)
+    source, out = _arriving(spark, sf), scratch_dir(spark, "ingested")
     progress = scratch_dir(spark, "progress")
     lines = stream_lines(spark, source, 2)
     arriving.stream_ingest(lines, out, progress, 1536, permissive=True, availableNow=True).awaitTermination()
