@@ -8,7 +8,7 @@ before and the arithmetic after them stay in the JVM.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,11 +119,16 @@ def _matrices(lists: pa.Array) -> Iterator[np.ndarray | None]:
 
 @F.arrow_udf(MATCH)
 def _greedy(left: pa.Array, right: pa.Array) -> pa.Array:
-    out = np.zeros((len(left), 3))
-    for row, (a, b) in enumerate(zip(_matrices(left), _matrices(right))):
-        if a is None or b is None:
+    units = lambda lists: (None if m is None else _unit_rows(m) for m in _matrices(lists))
+    return _matched(len(left), units(left), units(right))
+
+
+def _matched(size: int, left: Iterable[np.ndarray | None], right: Iterable[np.ndarray | None]) -> pa.Array:
+    """The match of each row's unit vectors; zeros where a side has none."""
+    out = np.zeros((size, 3))
+    for row, (rows_a, rows_b) in enumerate(zip(left, right)):
+        if rows_a is None or rows_b is None:
             continue
-        rows_a, rows_b = _unit_rows(a), _unit_rows(b)
         best_a, best_b = np.full(len(rows_a), -np.inf), np.full(len(rows_b), -np.inf)
         for i in range(0, len(rows_a), BLOCK):
             for j in range(0, len(rows_b), BLOCK):
@@ -143,3 +148,35 @@ def greedy_match(prediction: Column, reference: Column) -> Column:
     and not with their pairs.
     """
     return _greedy(prediction, reference)
+
+
+def greedy_word_match(
+    prediction: Column, reference: Column, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]]
+) -> Column:
+    """``greedy_match`` of word lists whose vectors depend on the words alone.
+
+    The encoder that ``make_encoder`` makes in the worker gives a matrix, a row
+    per word. It sees each different word of a batch once, and vectors exist
+    there only: no column of vectors is computed or sent.
+    """
+
+    @F.arrow_udf(MATCH)
+    def match(left: pa.Array, right: pa.Array) -> pa.Array:
+        own = left.flatten()
+        words = pa.concat_arrays([own, right.flatten()]).dictionary_encode()
+        if not len(words):
+            return _matched(len(left), [], [])
+        units = _unit_rows(np.asarray(make_encoder()(words.dictionary.to_pylist()), np.float64))
+        codes = words.indices.to_numpy(zero_copy_only=False)
+        sides = (left, codes[: len(own)]), (right, codes[len(own) :])
+        return _matched(len(left), *[_rows_of(units, lists, places) for lists, places in sides])
+
+    return match(prediction, reference)
+
+
+def _rows_of(units: np.ndarray, lists: pa.Array, places: np.ndarray) -> Iterator[np.ndarray | None]:
+    """Each row's vectors, its words being the next ``places`` in a table; None without any word."""
+    at = 0
+    for size in lists.value_lengths().fill_null(0).to_pylist():
+        yield units[places[at : at + size]] if size else None
+        at += size

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corvane.functions import fixed
 from corvane.functions.scoring import clamp_score, final_score, grade, ppl_score, two_decimals
@@ -19,16 +19,28 @@ def attach_predictions(pairs: DataFrame, predictions: DataFrame, key: str = "exa
     return pairs.join(predictions, key)
 
 
-def score_rows(df: DataFrame, *keep: str, pred_vectors: str, ref_vectors: str) -> DataFrame:
-    """One scored row per prediction, scores on the 0-100 scale."""
-    ready = once(df, _pred=F.col(pred_vectors), _ref=F.col(ref_vectors))
-    raw = ready.select(
+def score_rows(
+    df: DataFrame,
+    *keep: str,
+    pred_vectors: str | None = None,
+    ref_vectors: str | None = None,
+    match: Column | None = None,
+) -> DataFrame:
+    """One scored row per prediction, scores on the 0-100 scale.
+
+    The match is that of two columns of vectors, or ``match`` (a struct as from
+    ``greedy_word_match``).
+    """
+    if match is None:
+        df = once(df, _pred=F.col(pred_vectors), _ref=F.col(ref_vectors))
+        match = greedy_match(F.col("_pred"), F.col("_ref"))
+    raw = df.select(
         *keep,
         "prompt",
         "reference",
         "prediction",
         rouge_l(F.col("prediction"), F.col("reference")).alias("_rouge"),
-        greedy_match(F.col("_pred"), F.col("_ref"))["f1"].alias("_match"),
+        match["f1"].alias("_match"),
     )
     return raw.select(
         *keep,

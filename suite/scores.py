@@ -12,6 +12,7 @@ from corvane.functions.scoring import length_match as match_of
 from corvane.functions.scoring import ppl_score as ppl_score_of
 from corvane.functions.scoring import recommendations as advice_of
 from corvane.functions.similarity import greedy_match as match_vectors
+from corvane.functions.similarity import greedy_word_match as match_words
 from corvane.functions.similarity import rouge_l as rouge
 from corvane.functions.text import overlap_words
 from corvane.operators.positions import attach_by_position
@@ -50,12 +51,32 @@ from suite.tokens import NGRAM_SQL
 DIM = 8
 
 
+def _words(text):
+    return F.filter(F.split(overlap_words(text), " "), lambda w: w != "")
+
+
 def _vectors(text):
     """A vector per word from its digest; stands in for a model's encoder."""
-    words = F.filter(F.split(overlap_words(text), " "), lambda w: w != "")
     number = lambda w: F.conv(F.substring(F.md5(w), 1, DIM), 16, 10).cast("long")
     digit = lambda n, i: F.shiftright(n, 4 * (DIM - 1 - i)).bitwiseAND(F.lit(15)).cast("double") - 7.5
-    return F.transform(words, lambda w: let(number(w), lambda n: F.array(*[digit(n, i) for i in range(DIM)])))
+    return F.transform(_words(text), lambda w: let(number(w), lambda n: F.array(*[digit(n, i) for i in range(DIM)])))
+
+
+def _make_encoder():
+    """The same vectors, for many words at a time."""
+
+    def make_encoder():
+        from hashlib import md5
+
+        import numpy as np
+
+        def encode(words):
+            pairs = np.frombuffer(b"".join(md5(w.encode()).digest()[: DIM // 2] for w in words), np.uint8)
+            return np.stack([pairs >> 4, pairs & 15], axis=1).reshape(-1, DIM) - 7.5
+
+        return encode
+
+    return make_encoder
 
 
 GRADE_SQL = (
@@ -79,8 +100,8 @@ def _answered(spark, sf):
 
 def _scored(spark, sf, rows=None):
     rows = _answered(spark, sf) if rows is None else rows
-    rows = rows.withColumn("pv", _vectors(F.col("prediction"))).withColumn("rv", _vectors(F.col("reference")))
-    return score_rows(rows, "run_id", "example_id", pred_vectors="pv", ref_vectors="rv")
+    match = match_words(_words(F.col("prediction")), _words(F.col("reference")), _make_encoder())
+    return score_rows(rows, "run_id", "example_id", match=match)
 
 
 def _rounded(df, digits, *names):
