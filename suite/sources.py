@@ -112,9 +112,11 @@ def src_line_numbers(spark, sf):
     ranged = docs.repartitionByRange("lang", "source", "doc_id").sortWithinPartitions("lang", "source", "doc_id")
     ranged.select("lang", "source", "line").write.partitionBy("lang", "source").text(directory)
     with _ranges(spark, "64k"):
-        rows = files.number_lines(files.read_jsonl(spark, f"{directory}/**/*.txt"))
-        rows = rows.select(parse_record(F.col("line"))["doc_id"].cast("long").alias("doc_id"), "file", "number")
-        rows = staged(rows, "numbers")
+        rows = files.read_jsonl(spark, f"{directory}/**/*.txt")
+        rows = rows.select(parse_record(F.col("line"))["doc_id"].cast("long").alias("doc_id"), "file", "block", "seq")
+        rows = staged(rows, "places")
+    # The texts are read once: lines are counted and numbered by what is stored of their places.
+    rows = files.number_lines(rows)
     # Files of one group hold ranges of ids in order; a row per file.
     rows = rows.withColumn("group", F.regexp_extract("file", "/(lang=[^/]*/source=[^/]*)/", 1))
     counted = rows.groupBy("group", "file").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("lines"))
