@@ -13,6 +13,7 @@ from corvane.session import staged
 
 START = "<s>"
 HOT_ROWS = 10_000
+TEXT = 32 << 20  # about so many bytes of text are counted by one task
 
 
 @dataclass(frozen=True)
@@ -35,14 +36,22 @@ def _bigrams(df: DataFrame, text: str, max_tokens: int | None = None) -> DataFra
     return once(df, _words=tokens).withColumn("bigrams", both)
 
 
+def _dealt(df: DataFrame, text: str) -> DataFrame:
+    """The texts in shares of ``TEXT`` where their splits hold more, so that the counts a task combines stay bounded."""
+    texts = df.select(text)
+    total = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    tasks = -(-total // TEXT)
+    return texts.repartition(tasks) if tasks > texts.rdd.getNumPartitions() else texts
+
+
 def fit_ngram(df: DataFrame, text: str = "text", k: float = 1.0) -> Bigrams:
     """Count the corpus's bigrams; counts combine before the shuffle.
 
-    Fitting reads the corpus once, when called: the counts and the size of the
-    vocabulary are stored, scoring reads them.
+    Fitting reads the corpus when called, once for its length and once for the
+    counts: these and the size of the vocabulary are stored, scoring reads them.
     """
     pairs = (
-        _bigrams(df, text).select(F.explode("bigrams").alias("b"))
+        _bigrams(_dealt(df, text), text).select(F.explode("bigrams").alias("b"))
         .groupBy("b.w1", "b.w2")
         .agg(F.count(F.lit(1)).alias("n"))
     )
